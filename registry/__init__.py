@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("tables", "rows")
+_MODULES = ("tables", "rows", "documents", "retrieval", "replies", "metrics")
 
 
 def load() -> tuple[dict, dict]:

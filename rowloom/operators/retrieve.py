@@ -323,8 +323,11 @@ def _meet(
         F.pmod(F.xxhash64(query_id), F.lit(query_parts)).cast("int").alias("part"),
     )
     # A block is copied only to the query parts that visit it.
-    wanted = asked.select("pivot", "block", "part").distinct()
-    offered = blocks.join(wanted, ["pivot", "block"])
+    wanted = asked.select(*[F.col(c).alias(f"_{c}") for c in ("pivot", "block", "part")]).distinct()
+    offered = (
+        blocks.join(wanted, [F.col("pivot") == F.col("_pivot"), F.col("block") == F.col("_block")])
+        .withColumnRenamed("_part", "part").drop("_pivot", "_block")
+    )
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return _score(_Side(q, [query_id]), _Side(_in_order(c), _PLACE), k)
