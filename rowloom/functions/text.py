@@ -55,13 +55,14 @@ def _float_text(value: Column) -> Column:
     size = F.abs(value)
     java = value.cast("string")
     # Older Java versions print some doubles with more digits than needed; only long texts can be such.
-    long = F.length(F.regexp_replace(java, "E.*|[^0-9]", "")) >= 17
+    long = (F.length(java) >= 18) & (F.length(F.regexp_replace(java, "E.*|[^0-9]", "")) >= 17)
     shortest = F.when(long, _shortest(value, java)).otherwise(java)
     plain = F.when(long, _as_plain(shortest)).when((size >= 1e-3) & (size < 1e7), java).otherwise(
         F.call_function("format_number", value, F.lit("0.0" + "#" * 20))
     )
     return (
-        F.when(F.isnan(value), F.lit("nan"))
+        F.when((size >= 1e-3) & (size < 1e7) & (F.length(java) < 18), java)
+        .when(F.isnan(value), F.lit("nan"))
         .when(size == F.lit(float("inf")), F.lower(F.replace(java, F.lit("Infinity"), F.lit("inf"))))
         .when(value == 0, java)
         .when((size >= 1e-4) & (size < 1e16), plain)
@@ -84,12 +85,9 @@ def _as_plain(number: Column) -> Column:
 
 
 def _as_scientific(number: Column) -> Column:
-    upper = F.upper(number)
-    mantissa = F.regexp_replace(F.split_part(upper, F.lit("E"), F.lit(1)), r"\.?0+$", "")
-    exponent = F.split_part(upper, F.lit("E"), F.lit(2))
-    digits = F.regexp_replace(exponent, "[-+]", "")
-    sign = F.when(exponent.startswith("-"), F.lit("e-")).otherwise(F.lit("e+"))
-    return F.concat(mantissa, sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
+    text = F.regexp_replace(F.upper(number), r"\.?0*E", "E")
+    text = F.regexp_replace(F.regexp_replace(text, r"E\+?(?=\d)", "e+"), "E", "e")
+    return F.regexp_replace(text, r"(?<=e[+-])(?=\d$)", "0")
 
 
 def _time_text(value: Column, zone: bool) -> Column:

@@ -74,11 +74,19 @@ def _definition_struct(index: int, item: dict) -> Column:
 
 
 def columns_per_definition(
-    values: DataFrame, names: Sequence[str], row_id: str = ROW_ID, name: str = "column", value: str = "value"
+    values: DataFrame, names: Sequence[str], row_id: str = ROW_ID, newest: Column | None = None
 ) -> DataFrame:
-    """Long values ``(row_id, column, value)`` to one column per definition, in the given order."""
-    picked = [
-        F.max(F.when(F.col(name) == n, F.coalesce(F.col(value), F.lit("")))).alias(n) for n in names
-    ]
-    wide = values.groupBy(row_id).agg(*picked)
+    """Long values ``(row_id, column, value)`` to one column per definition, in the given order.
+
+    One aggregate, combined before its shuffle. ``newest`` orders repeated values; the greatest counts.
+    """
+    value = F.coalesce(F.col("value"), F.lit(""))
+
+    def pick(name: str) -> Column:
+        mine = F.col("column") == name
+        if newest is None:
+            return F.max(F.when(mine, value))
+        return F.max_by(F.when(mine, value), F.when(mine, newest))
+
+    wide = values.groupBy(row_id).agg(*[pick(n).alias(n) for n in names])
     return wide.select(row_id, *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])

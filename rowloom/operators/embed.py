@@ -13,13 +13,13 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.operators.chunks import chunk_array
-from rowloom.plans.scale import salted_join
+from rowloom.plans.scale import salted_join, spread_small
 
 #: Texts in, one vector per text out.
 Encoder = Callable[[Sequence[str]], np.ndarray]
@@ -69,11 +69,10 @@ def hashing_encoder(dimension: int = 64) -> Callable[[], Encoder]:
             return found
 
         def encode(texts: Sequence[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dimension), dtype=np.float32)
-            for row, text in enumerate(texts):
-                words = [bucket(w) for w in _WORD.findall(text.lower())]
-                out[row] = np.bincount(words, minlength=dimension) if words else 0.0
-            return out
+            words = [[bucket(w) for w in _WORD.findall(text.lower())] for text in texts]
+            rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+            cells = rows * dimension + np.fromiter((b for w in words for b in w), dtype=np.int64, count=len(rows))
+            return np.bincount(cells, minlength=len(texts) * dimension).reshape(len(texts), dimension)
 
         return encode
 
@@ -84,18 +83,24 @@ def encode_column(
     df: DataFrame, load_encoder: Callable[[], Encoder], text: str = "chunk", name: str = "embedding",
     batch: int = BATCH,
 ) -> DataFrame:
-    """Adds one vector per row. The encoder is loaded once per task and called on small batches."""
+    """Adds one vector per row. The encoder is loaded once per task and called on small batches.
+
+    Rows travel as Arrow batches: the other columns pass through untouched, and vectors go
+    back as one flat buffer.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder()
-        for frame in frames:
-            texts = frame[text].tolist()
+        for rows in batches:
+            texts = rows.column(text).to_pylist()
             parts = [np.asarray(encode(texts[i : i + batch]), dtype=np.float32) for i in range(0, len(texts), batch)]
-            frame[name] = list(np.concatenate(parts)) if parts else []
-            yield frame
+            vectors = np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
+            offsets = np.arange(len(texts) + 1, dtype=np.int32) * vectors.shape[1]
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, name])
 
-    return df.mapInPandas(run, schema)
+    return spread_small(df).mapInArrow(run, schema)
 
 
 def embed_documents(
@@ -124,8 +129,13 @@ def read_meta(spark: SparkSession, store: str) -> DataFrame:
     return meta.groupBy("content_hash").agg(newest.alias("m")).select("content_hash", "m.*")
 
 
-def complete_entries(spark: SparkSession, store: str) -> DataFrame:
-    """Entries with as many chunks stored as their metadata promises; others count as misses."""
+def complete_entries(spark: SparkSession, store: str, verify: bool = True) -> DataFrame:
+    """Entries with as many chunks stored as their metadata promises; others count as misses.
+
+    ``verify=False`` trusts the metadata, which is only written after the chunks.
+    """
+    if not verify:
+        return read_meta(spark, store)
     stored = (
         _read(spark, f"{store}/chunks", CHUNK_SCHEMA)
         .groupBy("content_hash", "write_id").agg(F.count("*").alias("_stored"))
@@ -134,12 +144,12 @@ def complete_entries(spark: SparkSession, store: str) -> DataFrame:
     return entries.where(F.col("_stored") == F.col("num_chunks")).drop("_stored")
 
 
-def has_cached(docs: DataFrame, store: str) -> DataFrame:
+def has_cached(docs: DataFrame, store: str, verify: bool = True) -> DataFrame:
     """``docs`` with ``cached``: whether their content is stored completely.
 
     The store is asked by content, so copies of one document are found under any path.
     """
-    known = complete_entries(docs.sparkSession, store).select("content_hash", F.lit(True).alias("cached"))
+    known = complete_entries(docs.sparkSession, store, verify).select("content_hash", F.lit(True).alias("cached"))
     found = salted_join(docs, known, "content_hash")
     return found.withColumn("cached", F.coalesce("cached", F.lit(False)))
 

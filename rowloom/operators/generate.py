@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowloom.plans.scale import spread_small
 from rowloom.operators.payload import END_MARKER, approx_tokens, token_budget
 
 # Request defaults, and how much of an error message is kept.
@@ -62,8 +63,7 @@ def run_generator(
     ``max_tasks`` bounds how many tasks call the endpoint at a time.
     """
     schema = T.StructType([*requests.schema.fields, *REPLY_FIELDS])
-    if max_tasks is not None:
-        requests = requests.repartition(max_tasks)
+    requests = spread_small(requests) if max_tasks is None else requests.repartition(max_tasks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -146,7 +146,8 @@ def generate_once(
     """Replies for all ``requests``, written to ``path``: calls cost money, so none is made twice.
 
     Requests whose id has a reply at ``path`` already are not sent again, so a run that broke
-    off is resumed by starting it again. Failed requests are sent again.
+    off is resumed by starting it again. Failed requests are sent again, and then have two rows
+    (see ``reply_order``).
     """
     spark = requests.sparkSession
     keys = list(request_id)
@@ -161,7 +162,9 @@ def generate_once(
         todo = requests.join(done.select(*keys), keys, "left_anti")
     replies = run_generator(todo, load_generator, batch, max_tasks).select(*stored_schema.names)
     replies.write.mode("append").parquet(path)
-    stored = spark.read.schema(stored_schema).parquet(path)
-    # A request that failed and then succeeded has two rows; the reply counts.
-    latest = F.max_by(F.struct(*[f.name for f in REPLY_FIELDS]), F.struct(F.col("error").isNull(), "seconds"))
-    return stored.groupBy(*keys).agg(latest.alias("r")).select(*keys, "r.*")
+    return spark.read.schema(stored_schema).parquet(path)
+
+
+def reply_order() -> Column:
+    """Of several replies to one request (a failed one and its repeat) the greatest counts."""
+    return F.struct(F.col("error").isNull(), F.col("seconds"), F.col("reply"))

@@ -71,14 +71,15 @@ def promote_headers(
         header_rows = int(detect_header_rows(df, row_id).first()["header_rows"])
     if header_rows <= 0:
         return df
-    leading = df.orderBy(row_id).limit(header_rows).collect()
-    if not leading:
+    # The ids first: then the header rows are a filter that the file reader can use.
+    last = df.select(row_id).orderBy(row_id).limit(header_rows).agg(F.max(row_id)).first()[0]
+    if last is None:
         return df
+    leading = df.where(F.col(row_id) <= F.lit(last)).orderBy(row_id).collect()
     cells = [c for c in df.columns if c != row_id]
     names = [
         column_name(i, ["" if row[c] is None else str(row[c]) for row in leading]) for i, c in enumerate(cells)
     ]
-    last = leading[-1][row_id]
     data = df.where(F.col(row_id) > F.lit(last)).select(F.col(row_id), *[F.col(f"`{c}`") for c in cells])
     data = data.toDF(row_id, *names)
     if infer:

@@ -18,14 +18,15 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions.text import strip
 from rowloom.operators.embed import Encoder, encode_column
-from rowloom.plans.scale import salted_join
+from rowloom.plans.scale import salted_join, spread_small
 from rowloom.session import written
 
 # Chunks per query by default, chunks per line of a cell, chunks per document without vectors.
@@ -41,8 +42,9 @@ SCORE_DIGITS = 9
 class Limits:
     """Sizes that choose the plan."""
 
-    #: Vectors of the broadcast side, at most; with ``broadcast_bytes`` the tighter one counts.
+    #: Chunks, or queries, that may be broadcast; with ``broadcast_bytes`` the tighter one counts.
     broadcast_rows: int = 200_000
+    broadcast_queries: int = 20_000
     broadcast_bytes: int = 128 << 20
     #: Chunks and queries that meet in one task.
     block_chunks: int = 8_192
@@ -79,10 +81,10 @@ def top_k(
         T.StructField("chunk_ord", T.LongType()),
         T.StructField("score", T.DoubleType()),
     ])
-    if _small(chunks, limits):
+    if _small(chunks, limits.broadcast_rows, limits):
         return _chunks_broadcast(queries, chunks, k, query_id, schema)
     queries = written(queries, "query-vectors")
-    if _small(queries, limits):
+    if _small(queries, limits.broadcast_queries, limits):
         found = _queries_broadcast(queries, chunks, k, query_id, schema)
     else:
         found = _through_blocks(queries, chunks, k, query_id, schema, limits)
@@ -94,16 +96,26 @@ def _best(found: DataFrame, k: int, query_id: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _small(vectors: DataFrame, limits: Limits) -> bool:
-    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
-    return size["n"] <= limits.broadcast_rows and size["n"] * (size["width"] or 0) * 8 <= limits.broadcast_bytes
+def _small(vectors: DataFrame, rows: int, limits: Limits, row_bytes: Column | None = None) -> bool:
+    """Whether a side can be broadcast: its rows are counted, and its bytes if there are few rows."""
+    count = vectors.count()
+    if count > rows:
+        return False
+    each = F.lit(8) * F.coalesce(F.size("embedding"), F.lit(0)) if row_bytes is None else row_bytes
+    size = vectors.agg(F.sum(each).alias("bytes")).first()["bytes"]
+    return (size or 0) <= limits.broadcast_bytes
 
 
 # --- inside a task -----------------------------------------------------------------------------
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column as rows of a matrix, in double precision."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    if isinstance(flat, pa.ChunkedArray):
+        flat = flat.chunk(0) if flat.num_chunks else pa.array([], flat.type)
+    count = len(flat)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(count, -1 if count else 0)
 
 
 def _norms(matrix: np.ndarray) -> np.ndarray:
@@ -111,12 +123,13 @@ def _norms(matrix: np.ndarray) -> np.ndarray:
 
 
 def _block_top_k(
-    queries: np.ndarray, query_norms: np.ndarray, chunks: np.ndarray, chunk_norms: np.ndarray, k: int
+    queries: np.ndarray, query_norms: np.ndarray, chunks: np.ndarray, chunk_norms: np.ndarray, k: int,
+    floors: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and column numbers and scores of the k best columns per row.
 
-    Columns must be in ranking order for equal scores. Rows are worked off in pieces of
-    bounded size.
+    Columns must be in ranking order for equal scores. Scores below a row's floor are left out.
+    Rows are worked off in pieces of bounded size.
     """
     rows_out, columns_out, scores_out = [], [], []
     width = len(chunks)
@@ -126,11 +139,10 @@ def _block_top_k(
         scale = query_norms[part, None] * chunk_norms[None, :]
         product = queries[part] @ chunks.T
         scores = np.round(np.divide(product, scale, out=np.zeros_like(product), where=scale > 0), SCORE_DIGITS)
+        least = np.full(len(scores), -np.inf) if floors is None else floors[part]
         if width > k:
-            least = np.partition(scores, width - k, axis=1)[:, width - k]
-            rows, columns = np.nonzero(scores >= least[:, None])
-        else:
-            rows, columns = np.nonzero(np.ones_like(scores, dtype=bool))
+            least = np.maximum(least, np.partition(scores, width - k, axis=1)[:, width - k])
+        rows, columns = np.nonzero(scores >= least[:, None])
         values = scores[rows, columns]
         order = np.lexsort((columns, -values, rows))
         rows, columns, values = rows[order], columns[order], values[order]
@@ -144,69 +156,92 @@ def _block_top_k(
     return np.concatenate(rows_out), np.concatenate(columns_out), np.concatenate(scores_out)
 
 
-def _in_order(chunks: pd.DataFrame) -> pd.DataFrame:
-    return chunks.sort_values(["doc_ord", "chunk_ord"], kind="stable")
+_PLACE = ("doc_ord", "chunk_ord")
 
 
 class _Side:
     """Vectors of one side as a matrix, with their norms and identifying columns."""
 
-    def __init__(self, frame: pd.DataFrame, names: Sequence[str]):
-        self.ids = {name: frame[name].to_numpy() for name in names}
-        self.matrix = _matrix(frame["embedding"])
+    def __init__(self, rows: pa.Table | pa.RecordBatch, names: Sequence[str], ordered: bool = False):
+        if ordered:
+            rows = rows.take(pc.sort_indices(rows, [(name, "ascending") for name in names]))
+        self.ids = {name: rows.column(name) for name in names}
+        self.matrix = _matrix(rows.column("embedding"))
         self.norms = _norms(self.matrix)
 
 
-def _score(queries: _Side, chunks: _Side, k: int) -> pd.DataFrame:
+def _score(queries: _Side, chunks: _Side, k: int, floors: np.ndarray | None = None) -> pa.Table:
     """The k best chunks of this block for every query, best first within a query."""
-    if not len(queries.matrix) or not len(chunks.matrix):
-        names = [*queries.ids, *chunks.ids, "score"]
-        return pd.DataFrame({name: [] for name in names})
-    rows, columns, scores = _block_top_k(queries.matrix, queries.norms, chunks.matrix, chunks.norms, k)
-    out = {name: values[rows] for name, values in queries.ids.items()}
-    out.update({name: values[columns] for name, values in chunks.ids.items()})
-    return pd.DataFrame({**out, "score": scores})
+    rows = columns = np.zeros(0, dtype=np.int64)
+    scores = np.zeros(0)
+    if len(queries.matrix) and len(chunks.matrix):
+        rows, columns, scores = _block_top_k(queries.matrix, queries.norms, chunks.matrix, chunks.norms, k, floors)
+    out = {name: values.take(pa.array(rows)) for name, values in queries.ids.items()}
+    out.update({name: values.take(pa.array(columns)) for name, values in chunks.ids.items()})
+    return pa.table({**out, "score": scores})
 
 
-# --- plans -------------------------------------------------------------------------------------
+def _ranks(found: pa.Table, query_id: str) -> np.ndarray:
+    """Rank within a query, from 1, for rows that are grouped by query and in order."""
+    if not len(found):
+        return np.zeros(0, dtype=np.int32)
+    ids = found.column(query_id).combine_chunks()
+    starts = np.r_[True, pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)]
+    at = np.arange(len(found))
+    return (at - np.maximum.accumulate(np.where(starts, at, 0)) + 1).astype(np.int32)
 
-_PLACE = ("doc_ord", "chunk_ord")
+
+# --- plans -------------------------------------------------------------------------------------
 
 
 def _chunks_broadcast(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema) -> DataFrame:
     """Every query meets all chunks in its own task: no shuffle, and ranks are final."""
-    shared = queries.sparkSession.sparkContext.broadcast(_in_order(chunks.toPandas()))
+    shared = queries.sparkSession.sparkContext.broadcast(chunks.toArrow())
     ranked = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        side = _Side(shared.value, _PLACE)
-        for frame in frames:
-            best = _score(_Side(frame, [query_id]), side, k)
-            best["rank"] = (best.groupby(query_id, sort=False).cumcount() + 1).astype(np.int32)
-            yield best
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = _Side(shared.value, _PLACE, ordered=True)
+        for batch in batches:
+            best = _score(_Side(batch, [query_id]), side, k)
+            yield from best.append_column("rank", pa.array(_ranks(best, query_id))).to_batches()
 
-    return queries.mapInPandas(run, ranked)
+    return spread_small(queries).mapInArrow(run, ranked)
 
 
 def _queries_broadcast(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema) -> DataFrame:
     """Every task keeps the k best of its chunks per query; only these are shuffled."""
-    shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        side = _Side(shared.value, [query_id])
-        best = None
-        for frame in frames:
-            part = _score(side, _Side(_in_order(frame), _PLACE), k)
-            best = part if best is None else _trim(pd.concat([best, part]), k, query_id)
+    shared = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        numbers = pa.array(np.arange(len(asked)))
+        side = _Side(asked.append_column("_query", numbers), ["_query"])
+        floors = np.full(len(asked), -np.inf)
+        best, fresh, fresh_rows = None, [], 0
+        for batch in batches:
+            fresh.append(_score(side, _Side(batch, _PLACE, ordered=True), k, floors))
+            fresh_rows += len(fresh[-1])
+            # Merging is put off until it halves the rows; a query's k-th score then sorts out most of what follows.
+            if best is None or fresh_rows >= len(best):
+                best = _trim(pa.concat_tables(([best] if best else []) + fresh), k, floors)
+                fresh, fresh_rows = [], 0
+        if fresh:
+            best = _trim(pa.concat_tables(([best] if best else []) + fresh), k, floors)
         if best is not None:
-            yield best
+            found = asked.column(query_id).take(best.column("_query"))
+            yield from best.set_column(0, query_id, found).to_batches()
 
-    return chunks.mapInPandas(run, schema)
+    return spread_small(chunks).mapInArrow(run, schema)
 
 
-def _trim(found: pd.DataFrame, k: int, query_id: str) -> pd.DataFrame:
-    found = found.sort_values([query_id, "score", "doc_ord", "chunk_ord"], ascending=[True, False, True, True])
-    return found[found.groupby(query_id, sort=False).cumcount() < k]
+def _trim(found: pa.Table, k: int, floors: np.ndarray) -> pa.Table:
+    """The k best rows per query; raises the floors of the queries that have k."""
+    order = [("_query", "ascending"), ("score", "descending"), ("doc_ord", "ascending"), ("chunk_ord", "ascending")]
+    found = found.take(pc.sort_indices(found, order))
+    ranks = _ranks(found, "_query")
+    last = found.filter(pa.array(ranks == k))
+    floors[last.column("_query").to_numpy()] = last.column("score").to_numpy()
+    return found.filter(pa.array(ranks <= k))
 
 
 def _through_blocks(
@@ -228,9 +263,9 @@ def _through_blocks(
     n_pivots = int(min(limits.pivots, max(1, -(-total // limits.block_chunks))))
     picked = (
         chunks.select("embedding", F.xxhash64("doc_ord", "chunk_ord").alias("at"))
-        .orderBy("at").limit(n_pivots).toPandas()
+        .orderBy("at").limit(n_pivots).toArrow()
     )
-    pivots = _unit(_matrix(picked["embedding"]))
+    pivots = _unit(_matrix(picked.column("embedding")))
 
     near = written(_nearest(chunks, pivots), "chunk-blocks")
     stats = near.groupBy("pivot").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).toPandas()
@@ -272,18 +307,19 @@ def _nearest(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     ])
     lengths = np.einsum("ij,ij->i", pivots, pivots)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
                 continue
-            unit = _unit(_matrix(frame["embedding"]))
+            unit = _unit(_matrix(batch.column("embedding")))
             squares = np.einsum("ij,ij->i", unit, unit)[:, None] - 2 * unit @ pivots.T + lengths[None, :]
             nearest = squares.argmin(axis=1)
-            frame["pivot"] = nearest.astype(np.int32)
-            frame["distance"] = np.linalg.norm(unit - pivots[nearest], axis=1)
-            yield frame
+            distance = np.linalg.norm(unit - pivots[nearest], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(distance)], names=schema.names
+            )
 
-    return vectors.mapInPandas(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
 def _other_pivots(home: DataFrame, pivots: np.ndarray, radius: np.ndarray, query_id: str) -> DataFrame:
@@ -291,25 +327,23 @@ def _other_pivots(home: DataFrame, pivots: np.ndarray, radius: np.ndarray, query
     schema = T.StructType([home.schema[query_id], home.schema["embedding"], T.StructField("pivot", T.IntegerType())])
     slack = 10.0 ** -SCORE_DIGITS
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
                 continue
-            unit = _unit(_matrix(frame["embedding"]))
+            unit = _unit(_matrix(batch.column("embedding")))
             bound = unit @ pivots.T + radius[None, :]
-            floor = frame["floor"].fillna(-np.inf).to_numpy()
+            floor = batch.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
             needed = (bound >= floor[:, None] - 2 * slack) & np.isfinite(radius)[None, :]
-            needed[np.arange(len(frame)), frame["pivot"].to_numpy()] = False
+            needed[np.arange(len(batch)), batch.column("pivot").to_numpy()] = False
             rows, columns = np.nonzero(needed)
+            visits = pa.RecordBatch.from_arrays([batch.column(query_id), batch.column("embedding")], names=schema.names[:2])
             for start in range(0, len(rows), 10_000):
-                part = rows[start : start + 10_000]
-                yield pd.DataFrame({
-                    query_id: frame[query_id].to_numpy()[part],
-                    "embedding": [frame["embedding"].iloc[r] for r in part],
-                    "pivot": columns[start : start + 10_000].astype(np.int32),
-                })
+                part = visits.take(pa.array(rows[start : start + 10_000]))
+                pivot = pa.array(columns[start : start + 10_000].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns, pivot], names=schema.names)
 
-    return home.select(query_id, "embedding", "pivot", "floor").mapInPandas(run, schema)
+    return home.select(query_id, "embedding", "pivot", "floor").mapInArrow(run, schema)
 
 
 def _meet(
@@ -329,11 +363,11 @@ def _meet(
         .withColumnRenamed("_part", "part").drop("_pivot", "_block")
     )
 
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        return _score(_Side(q, [query_id]), _Side(_in_order(c), _PLACE), k)
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        return _score(_Side(q, [query_id]), _Side(c, _PLACE, ordered=True), k)
 
     keys = ["pivot", "block", "part"]
-    return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(run, schema)
+    return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(run, schema)
 
 
 # --- what the rows of a table ask ----------------------------------------------------------------
@@ -390,8 +424,7 @@ def _same_for_all(asked: DataFrame, packed: Sequence[tuple[int, str]], query_id:
 def _labelled(hits: DataFrame, chunks: DataFrame, label: Column, limits: Limits) -> DataFrame:
     """Fetches the text of the chosen chunks; one chunk may be the answer to very many queries."""
     texts = chunks.select(F.col("doc_ord").cast("long"), F.col("chunk_ord").cast("long"), label)
-    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("label")).alias("bytes")).first()
-    if size["n"] <= limits.broadcast_rows and (size["bytes"] or 0) <= limits.broadcast_bytes:
+    if _small(texts, limits.broadcast_rows, limits, row_bytes=F.octet_length("label")):
         return hits.join(F.broadcast(texts), list(_PLACE))
     return salted_join(written(hits, "hits"), texts, _PLACE, "inner")
 
@@ -423,12 +456,13 @@ def chunks_per_row(
     line, over a join that splits frequent lines.
     """
     lines = row_lines(cells, columns, row_id)
-    distinct = written(lines.select("line").distinct().withColumn("query_id", F.col("line")), "lines")
+    counted = written(lines.groupBy("line").agg(F.count("*").alias("rows")), "lines")
+    distinct = counted.select("line", F.col("line").alias("query_id"))
     found = find_relevant_chunks(distinct, chunks, load_encoder, k, "query_id", "line", limits=limits)
     answers = found.groupBy(F.col("query_id").alias("line")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda h: h["label"]).alias("labels")
     )
-    matched = salted_join(lines, answers, "line", "inner")
+    matched = salted_join(lines, answers, "line", "inner", left_counts=counted)
     # A group is the lines of one row, so it is as small as the row itself.
     per_row = matched.groupBy(row_id).agg(
         F.array_sort(F.collect_list(F.struct("col_ord", "line_ord", "labels"))).alias("hits")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.text import json_object
 from rowloom.operators.combine import align_in_place, columns_per_definition, one_row_per_definition
 from rowloom.operators.embed import Encoder
-from rowloom.operators.generate import Generator, generate_once, reply_or_error, with_request
+from rowloom.operators.generate import Generator, generate_once, reply_or_error, reply_order, with_request
 from rowloom.operators.payload import (
     PromptTemplate, cells_as_text, output_column_name, prompt, row_payload,
 )
@@ -93,10 +93,10 @@ def generate_columns(
     path = path or new_folder(table.sparkSession, "replies")
     replies = generate_once(requests, load_generator, path, [row_id, "def_id", "column"], batch, max_tasks)
     value = new_value(reply_or_error(F.col("reply"), F.col("error"), on_error))
-    parsed = replies.select(row_id, "column", value.alias("value"))
+    parsed = replies.withColumn("value", value)
 
     names = [" - ".join(d["headers"]) for d in definitions]
-    wide = columns_per_definition(parsed, names, row_id)
+    wide = columns_per_definition(parsed, names, row_id, newest=reply_order())
     out = table.join(wide.select(F.col(row_id), *[quoted(n).alias(f"_value_{i}") for i, n in enumerate(names)]), row_id, "left")
     final = []
     for i, name in enumerate(names):

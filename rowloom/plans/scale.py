@@ -22,6 +22,20 @@ HEAVY_KEYS = 1024
 ROWS_PER_SALT = 1_000_000
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spreads a small input over all cores before a stage that computes much per row.
+
+    A small file is one split, so a model would run in one task. Inputs that fill the cluster
+    by themselves (by the optimizer's estimate, or by their number of files) are left as they
+    are: no shuffle at scale.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsc.sc().conf().getSizeAsBytes("spark.sql.files.maxPartitionBytes", "128m")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split and len(df.inputFiles()) < cores else df
+
+
 def running_sums(
     df: DataFrame,
     group: Sequence[str],
@@ -75,6 +89,7 @@ def salted_join(
     keys: str | Sequence[str],
     how: str = "left",
     right_unique: bool = True,
+    left_counts: DataFrame | None = None,
 ) -> DataFrame:
     """An equi-join that splits hot keys: every task gets about ``ROWS_PER_SALT`` rows of one key.
 
@@ -83,11 +98,14 @@ def salted_join(
     piece. A key outside the list holds at most 1/``HEAVY_KEYS`` of the rows. Where ``right``
     can repeat keys too (``right_unique=False``, inner joins only) its hot keys are dealt in the same way.
     The piece of a row is a hash of the row, so a task that runs again makes the same choice.
+
+    Finding the hot keys takes one aggregate over the keys of ``left``; ``left_counts`` (the keys and
+    ``rows``) saves it where the counts are at hand.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not right_unique and how != "inner":
         raise ValueError("repeated keys on the right are only supported for inner joins")
-    hot = _hot_keys(left, keys)
+    hot = _hot_keys(left, keys, left_counts)
     left, right = _deal(left, keys, hot, "_salt"), _copy(right, keys, hot, "_salt")
     salts = ["_salt"]
     if not right_unique:
@@ -97,10 +115,11 @@ def salted_join(
     return left.join(right, [*keys, *salts], how).drop(*salts)
 
 
-def _hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > ROWS_PER_SALT)
-    hot = counts.orderBy(F.desc("_rows"), *keys).limit(HEAVY_KEYS)
-    pieces = F.ceil(F.col("_rows") / ROWS_PER_SALT).cast("int")
+def _hot_keys(df: DataFrame, keys: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count("*").alias("rows"))
+    hot = counts.where(F.col("rows") > ROWS_PER_SALT).orderBy(F.desc("rows"), *keys).limit(HEAVY_KEYS)
+    pieces = F.ceil(F.col("rows") / ROWS_PER_SALT).cast("int")
     return F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], pieces.alias("_pieces")))
 
 
