@@ -54,14 +54,15 @@ def _float_text(value: Column) -> Column:
     """A double the way Python prints it (``10000000.0``, ``1e+16``, ``1e-05``)."""
     size = F.abs(value)
     java = value.cast("string")
-    # Older Java versions print some doubles with more digits than needed; only long texts can be such.
-    long = (F.length(java) >= 18) & (F.length(F.regexp_replace(java, "E.*|[^0-9]", "")) >= 17)
-    shortest = F.when(long, _shortest(value, java)).otherwise(java)
+    # Older Java versions print some doubles with more digits than needed; only long texts can be
+    # such, and the tiniest numbers.
+    long = (F.length(java) >= 17) & (F.length(F.regexp_replace(java, "E.*|[^0-9]", "")) >= 16)
+    shortest = F.when(long | (size < _SMALLEST_NORMAL), _shortest(value, java)).otherwise(java)
     plain = F.when(long, _as_plain(shortest)).when((size >= 1e-3) & (size < 1e7), java).otherwise(
         F.call_function("format_number", value, F.lit("0.0" + "#" * 20))
     )
     return (
-        F.when((size >= 1e-3) & (size < 1e7) & (F.length(java) < 18), java)
+        F.when((size >= 1e-3) & (size < 1e7) & (F.length(java) < 17), java)
         .when(F.isnan(value), F.lit("nan"))
         .when(size == F.lit(float("inf")), F.lower(F.replace(java, F.lit("Infinity"), F.lit("inf"))))
         .when(value == 0, java)
@@ -70,13 +71,20 @@ def _float_text(value: Column) -> Column:
     )
 
 
+_SMALLEST_NORMAL = 2.2250738585072014e-308
+
+
 def _shortest(value: Column, java: Column) -> Column:
-    sixteen, seventeen = F.format_string("%.15e", value), F.format_string("%.16e", value)
-    return (
-        F.when(sixteen.cast("double") == value, sixteen)
-        .when(seventeen.cast("double") == value, seventeen)
-        .otherwise(java)
+    """The scientific form with the fewest digits that reads back as the same number.
+
+    Fewer than 15 digits that do so appear as 15 with zeros at the end, except for the tiniest numbers.
+    """
+    least = F.when(F.abs(value) < _SMALLEST_NORMAL, F.lit(0)).otherwise(F.lit(14))
+    forms = F.transform(
+        F.sequence(least, F.lit(16)),
+        lambda n: F.call_function("format_string", F.concat(F.lit("%."), n.cast("string"), F.lit("e")), value),
     )
+    return F.coalesce(F.get(F.filter(forms, lambda form: form.cast("double") == value), F.lit(0)), java)
 
 
 def _as_plain(number: Column) -> Column:
