@@ -122,52 +122,97 @@ def _norms(matrix: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
 
 
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = _norms(matrix)[:, None]
+    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+
+#: Queries and chunks of one matrix product; candidates that are scored exactly at a time.
+_ROWS, _COLUMNS, _CANDIDATES = 512, 8_192, 65_536
+
+
 def _block_top_k(
-    queries: np.ndarray, query_norms: np.ndarray, chunks: np.ndarray, chunk_norms: np.ndarray, k: int,
-    floors: np.ndarray | None = None,
+    queries: _Side, chunks: _Side, k: int, floors: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and column numbers and scores of the k best columns per row.
+    """Query numbers, chunk numbers and scores of the k best chunks per query.
 
-    Columns must be in ranking order for equal scores. Scores below a row's floor are left out.
-    Rows are worked off in pieces of bounded size.
+    The chunks are in ranking order. Scores below a query's floor are left out. Products in
+    single precision pick the candidates: what their rounding error could hide is let through, and
+    every candidate is scored in double precision.
     """
-    rows_out, columns_out, scores_out = [], [], []
-    width = len(chunks)
-    step = max(1, (4 << 20) // max(1, width))
-    for start in range(0, len(queries), step):
-        part = slice(start, start + step)
-        scale = query_norms[part, None] * chunk_norms[None, :]
-        product = queries[part] @ chunks.T
-        scores = np.round(np.divide(product, scale, out=np.zeros_like(product), where=scale > 0), SCORE_DIGITS)
-        least = np.full(len(scores), -np.inf) if floors is None else floors[part]
-        if width > k:
-            least = np.maximum(least, np.partition(scores, width - k, axis=1)[:, width - k])
-        rows, columns = np.nonzero(scores >= least[:, None])
-        values = scores[rows, columns]
-        order = np.lexsort((columns, -values, rows))
-        rows, columns, values = rows[order], columns[order], values[order]
-        first = np.searchsorted(rows, np.arange(len(scores)))
-        keep = np.arange(len(rows)) - first[rows] < k
-        rows_out.append(rows[keep] + start)
-        columns_out.append(columns[keep])
-        scores_out.append(values[keep])
-    if not rows_out:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.concatenate(rows_out), np.concatenate(columns_out), np.concatenate(scores_out)
+    dimension = chunks.matrix.shape[1]
+    slack = 4 * (dimension + 4) * 2.0**-24 + 2 * 10.0**-SCORE_DIGITS
+    found = []
+    for start in range(0, len(queries.matrix), _ROWS):
+        unit = queries.unit[start : start + _ROWS]
+        floor = np.full(len(unit), -np.inf) if floors is None else floors[start : start + _ROWS].copy()
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for left in range(0, len(chunks.matrix), _COLUMNS):
+            scores = unit @ chunks.unit[left : left + _COLUMNS].T
+            width = scores.shape[1]
+            open_rows = np.flatnonzero(~np.isfinite(floor))
+            least = floor.copy()
+            if len(open_rows) and width > k:
+                least[open_rows] = np.partition(scores[open_rows], width - k, axis=1)[:, width - k]
+            hits = np.flatnonzero(scores >= (least - slack).astype(np.float32)[:, None])
+            for piece in range(0, len(hits), _CANDIDATES):
+                rows, columns = np.divmod(hits[piece : piece + _CANDIDATES], width)
+                columns += left
+                exact = _exact(queries, rows + start, chunks, columns)
+                keep = exact >= floor[rows]
+                best = _k_best([*zip(best, (rows[keep], columns[keep], exact[keep]))], k, floor)
+        found.append((best[0] + start, best[1], best[2]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _exact(queries: _Side, rows: np.ndarray, chunks: _Side, columns: np.ndarray) -> np.ndarray:
+    product = np.einsum("ij,ij->i", queries.matrix[rows], chunks.matrix[columns])
+    scale = queries.norms[rows] * chunks.norms[columns]
+    return np.round(np.divide(product, scale, out=np.zeros_like(product), where=scale > 0), SCORE_DIGITS)
+
+
+def _k_best(parts: list[tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray):
+    """The k best of both parts per row, best first; raises the floors of rows that have k."""
+    rows, columns, scores = (np.concatenate(part) for part in parts)
+    order = np.lexsort((columns, -scores, rows))
+    rows, columns, scores = rows[order], columns[order], scores[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    last = place == k - 1
+    floor[rows[last]] = np.maximum(floor[rows[last]], scores[last])
+    keep = place < k
+    return rows[keep], columns[keep], scores[keep]
 
 
 _PLACE = ("doc_ord", "chunk_ord")
 
 
 class _Side:
-    """Vectors of one side as a matrix, with their norms and identifying columns."""
+    """Vectors of one side as matrices, with their norms and identifying columns."""
 
-    def __init__(self, rows: pa.Table | pa.RecordBatch, names: Sequence[str], ordered: bool = False):
-        if ordered:
+    def __init__(self, rows: pa.Table | pa.RecordBatch, names: Sequence[str], copies: int | None = None):
+        """``copies`` puts the rows in the order of ``names`` and keeps so many of equal vectors:
+        a copy after k others in front of it is never among the k best."""
+        if copies is not None:
             rows = rows.take(pc.sort_indices(rows, [(name, "ascending") for name in names]))
-        self.ids = {name: rows.column(name) for name in names}
         self.matrix = _matrix(rows.column("embedding"))
+        if copies is not None and len(rows) > copies:
+            kept = np.flatnonzero(_copy_number(self.matrix) < copies)
+            if len(kept) < len(rows):
+                rows, self.matrix = rows.take(pa.array(kept)), self.matrix[kept]
+        self.ids = {name: rows.column(name) for name in names}
         self.norms = _norms(self.matrix)
+        self.unit = _unit(self.matrix).astype(np.float32)
+
+
+def _copy_number(matrix: np.ndarray) -> np.ndarray:
+    """How many equal rows come before each row."""
+    flat = np.ascontiguousarray(matrix)
+    _, group = np.unique(flat.view(np.dtype((np.void, flat.shape[1] * flat.itemsize))).ravel(), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    ordered = group[order]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order)) - np.searchsorted(ordered, ordered)
+    return number
 
 
 def _score(queries: _Side, chunks: _Side, k: int, floors: np.ndarray | None = None) -> pa.Table:
@@ -175,7 +220,7 @@ def _score(queries: _Side, chunks: _Side, k: int, floors: np.ndarray | None = No
     rows = columns = np.zeros(0, dtype=np.int64)
     scores = np.zeros(0)
     if len(queries.matrix) and len(chunks.matrix):
-        rows, columns, scores = _block_top_k(queries.matrix, queries.norms, chunks.matrix, chunks.norms, k, floors)
+        rows, columns, scores = _block_top_k(queries, chunks, k, floors)
     out = {name: values.take(pa.array(rows)) for name, values in queries.ids.items()}
     out.update({name: values.take(pa.array(columns)) for name, values in chunks.ids.items()})
     return pa.table({**out, "score": scores})
@@ -200,7 +245,7 @@ def _chunks_broadcast(queries: DataFrame, chunks: DataFrame, k: int, query_id: s
     ranked = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = _Side(shared.value, _PLACE, ordered=True)
+        side = _Side(shared.value, _PLACE, copies=k)
         for batch in batches:
             best = _score(_Side(batch, [query_id]), side, k)
             yield from best.append_column("rank", pa.array(_ranks(best, query_id))).to_batches()
@@ -219,7 +264,7 @@ def _queries_broadcast(queries: DataFrame, chunks: DataFrame, k: int, query_id:
         floors = np.full(len(asked), -np.inf)
         best, fresh, fresh_rows = None, [], 0
         for batch in batches:
-            fresh.append(_score(side, _Side(batch, _PLACE, ordered=True), k, floors))
+            fresh.append(_score(side, _Side(batch, _PLACE, copies=k), k, floors))
             fresh_rows += len(fresh[-1])
             # Merging is put off until it halves the rows; a query's k-th score then sorts out most of what follows.
             if best is None or fresh_rows >= len(best):
@@ -295,11 +340,6 @@ def _through_blocks(
     return first.unionByName(_meet(visits, blocks, parts, query_parts, k, query_id, schema))
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norms = _norms(matrix)[:, None]
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
 def _nearest(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds the nearest pivot of the unit vector, and the distance to it."""
     schema = T.StructType([
@@ -364,7 +404,7 @@ def _meet(
     )
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        return _score(_Side(q, [query_id]), _Side(c, _PLACE, ordered=True), k)
+        return _score(_Side(q, [query_id]), _Side(c, _PLACE, copies=k), k)
 
     keys = ["pivot", "block", "part"]
     return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(run, schema)

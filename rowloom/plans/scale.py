@@ -51,31 +51,33 @@ def running_sums(
     summed the same way one level up, so no window group at any level exceeds
     ``2**span_bits`` rows for order values below ``2**(span_bits * levels)``.
 
-    The sums must be of integer or decimal type: a floating sum depends on its order.
+    The sums must be of integer or decimal type: a floating sum depends on its order. ``order`` is
+    never null.
     """
     names = list(sums)
-    # One struct key: equal nulls match in joins, and windows reuse the join's partitioning.
-    keys = ["_group"] if group else []
-    key = [F.struct(*group).alias("_group")] if group else []
-    values = [value.alias(f"_v_{name}") for name, value in sums.items()]
-    out = _running(df.select("*", *key, *values), keys, order, names, span_bits, levels)
-    return out.drop(*keys, *[f"_v_{name}" for name in names])
+    values = df.select("*", *[value.alias(f"_v_{name}") for name, value in sums.items()])
+    out = _running(values, list(group), order, names, span_bits, levels)
+    return out.drop(*[f"_v_{name}" for name in names])
 
 
-def _running(df: DataFrame, keys: list[str], order: str, names: list[str], bits: int, levels: int) -> DataFrame:
+def _running(df: DataFrame, group: list[str], order: str, names: list[str], bits: int, levels: int) -> DataFrame:
+    first = F.col(order).asc_nulls_first()
     if levels <= 1:
-        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        window = Window.partitionBy(*group).orderBy(first).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(f"_v_{n}").over(window).alias(n) for n in names])
 
     span = f"_span{levels}"
     spanned = df.withColumn(span, F.shiftright(F.col(order).cast("long"), bits))
-    totals = spanned.groupBy(*keys, span).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names])
-    upper = _running(totals, keys, span, names, bits, levels - 1)
-    before = upper.select(*keys, span, *[(F.col(n) - F.col(f"_v_{n}")).alias(f"_b_{n}") for n in names])
-
-    window = Window.partitionBy(*keys, span).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = [(F.sum(f"_v_{n}").over(window) + F.col(f"_b_{n}")).alias(n) for n in names]
-    return spanned.join(before, [*keys, span]).select(*[F.col(c) for c in df.columns], *out)
+    totals = spanned.groupBy(*group, span).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names])
+    upper = _running(totals, group, span, names, bits, levels - 1)
+    # What the stretches before add up to enters each stretch as one more row, in front of the others:
+    # no join, and one shuffle of the rows.
+    carry = upper.select(*group, span, *[(F.col(n) - F.col(f"_v_{n}")).alias(f"_v_{n}") for n in names])
+    carry = carry.withColumn("_carry", F.lit(True))
+    rows = spanned.withColumn("_carry", F.lit(False)).unionByName(carry, allowMissingColumns=True)
+    window = Window.partitionBy(*group, span).orderBy(first).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.select("*", *[F.sum(f"_v_{n}").over(window).alias(n) for n in names])
+    return summed.where(~F.col("_carry")).select(*df.columns, *names)
 
 
 def with_position(df: DataFrame, order: str, name: str = "position", group: Sequence[str] = ()) -> DataFrame:
