@@ -105,8 +105,9 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     name = F.concat("p_name", F.lit("-"), key.cast("string"))
     local = parts.select(name.alias("name"), F.col("p_size").cast("bigint").alias("size"))
-    remote = parts.where(key % 17 != 0).select(
-        name.alias("name"),
+    listed = F.when(key % 17 == 0, F.concat(F.lit("other-"), name)).otherwise(name)
+    remote = parts.select(
+        listed.alias("name"),
         F.when(key % 29 == 0, F.lit(None)).when(key % 31 == 0, F.lit(0)).when(key % 19 == 0, F.col("p_size") + 1)
         .otherwise(F.col("p_size")).cast("bigint").alias("size"),
     )

@@ -20,12 +20,12 @@ def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that hold one array each: at most a thousand customers to a file."""
+    """Files that hold one array each, of at most 50,000 customers."""
     path = new_folder(spark, "json-arrays")
     record = F.struct("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     arrays = (
         table(spark, sf_dir, "customer")
-        .groupBy(F.floor(F.col("c_custkey") / 1000).alias("file"))
+        .groupBy(F.floor(F.col("c_custkey") / 50_000).alias("file"))
         .agg(F.to_json(F.collect_list(record)).alias("value"))
     )
     arrays.write.partitionBy("file").text(path)

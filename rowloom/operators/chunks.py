@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.names import all_named
 from rowloom.functions.text import strip, whitespace_class
 from rowloom.plans.scale import ordered_concat
 
@@ -58,7 +59,7 @@ def chunk_documents(docs: DataFrame, kind: str = "sentence", text: str = "text",
         array = chunk_array(F.col(text), kind)
     else:
         array = block_chunks(F.col(text)) if kind == "block" else _KINDS.get(kind, paragraph_chunks)(F.col(text))
-    others = [c for c in docs.columns if c != text]
+    others = all_named(c for c in docs.columns if c != text)
     return docs.select(*others, F.posexplode(array).alias("chunk_ord", "chunk"))
 
 
@@ -72,7 +73,7 @@ def distinct_chunks(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def raw_context(docs: DataFrame, kind: str = "sentence", text: str = "text") -> DataFrame:
     """All chunks of a document as one text (``context``), joined by blank lines, row by row."""
-    others = [c for c in docs.columns if c != text]
+    others = all_named(c for c in docs.columns if c != text)
     return docs.select(*others, F.array_join(chunk_array(F.col(text), kind), "\n\n").alias("context"))
 
 

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.names import all_named, named
 from rowloom.sources.tables import ROW_ID
 
 
 def align(table: DataFrame, generated: DataFrame, column: str, row_id: str = ROW_ID) -> DataFrame:
     """Every row of ``table`` with its value from ``generated`` (``row_id``, ``column``), else ``''``."""
-    values = generated.select(row_id, F.col(f"`{column}`").alias("_value"))
+    values = generated.select(row_id, named(column).alias("_value"))
     joined = table.join(values, row_id, "left")
-    return joined.select(*[F.col(f"`{c}`") for c in table.columns], _or_empty(F.col("_value")).alias(column))
+    return joined.select(*all_named(table.columns), _or_empty(F.col("_value")).alias(column))
 
 
 def align_in_place(table: DataFrame, processed: Column, value: Column, column: str) -> DataFrame:
@@ -27,7 +28,7 @@ def append_remainder(
 ) -> DataFrame:
     """Processed rows, then the rows of ``table`` that were not processed, with ``''``."""
     rest = table.join(processed.select(row_id), row_id, "left_anti").withColumn(column, F.lit(""))
-    return processed.withColumn(column, _or_empty(F.col(f"`{column}`"))).unionByName(rest)
+    return processed.withColumn(column, _or_empty(named(column))).unionByName(rest)
 
 
 def _or_empty(value: Column) -> Column:
@@ -89,4 +90,4 @@ def columns_per_definition(
         return F.max_by(F.when(mine, value), F.when(mine, newest))
 
     wide = values.groupBy(row_id).agg(*[pick(n).alias(n) for n in names])
-    return wide.select(row_id, *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+    return wide.select(row_id, *[F.coalesce(named(n), F.lit("")).alias(n) for n in names])

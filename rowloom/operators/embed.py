@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.operators.chunks import chunk_array
+from rowloom.operators.chunks import chunk_documents
 from rowloom.plans.scale import salted_join, spread_small
 
 #: Texts in, one vector per text out.
@@ -81,12 +81,12 @@ def hashing_encoder(dimension: int = 64) -> Callable[[], Encoder]:
 
 def encode_column(
     df: DataFrame, load_encoder: Callable[[], Encoder], text: str = "chunk", name: str = "embedding",
-    batch: int = BATCH,
+    batch: int = BATCH, spread: bool = True,
 ) -> DataFrame:
     """Adds one vector per row. The encoder is loaded once per task and called on small batches.
 
     Rows travel as Arrow batches: the other columns pass through untouched, and vectors go
-    back as one flat buffer.
+    back as one flat buffer. Small inputs are spread over all cores unless ``spread`` is off.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
 
@@ -100,16 +100,15 @@ def encode_column(
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, name])
 
-    return spread_small(df).mapInArrow(run, schema)
+    return (spread_small(df) if spread else df).mapInArrow(run, schema)
 
 
 def embed_documents(
     docs: DataFrame, load_encoder: Callable[[], Encoder], kind: str = CHUNK_TYPE, text: str = "text"
 ) -> DataFrame:
     """Chunks of ``docs`` with vectors; documents without text or chunks give no rows."""
-    others = [c for c in docs.columns if c != text]
-    chunks = docs.select(*others, F.posexplode(chunk_array(F.col(text), kind)).alias("chunk_ord", "chunk"))
-    return encode_column(chunks, load_encoder)
+    chunks = chunk_documents(spread_small(docs), kind, text)
+    return encode_column(chunks, load_encoder, spread=False)
 
 
 # --- store -----------------------------------------------------------------------------------

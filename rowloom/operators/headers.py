@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.names import all_named, named
 from rowloom.functions.text import canonical_string
 from rowloom.sources.tables import ROW_ID, typed
 
@@ -24,7 +25,7 @@ def detect_header_rows(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """
     cells = [c for c in df.columns if c != row_id]
     texts = [
-        F.when(F.col(f"`{c}`").isNull(), F.lit("")).otherwise(canonical_string(F.col(f"`{c}`"), df.schema[c].dataType))
+        F.when(named(c).isNull(), F.lit("")).otherwise(canonical_string(named(c), df.schema[c].dataType))
         for c in cells[:COLUMNS_CHECKED]
     ]
     leading = df.orderBy(row_id).limit(MIN_ROWS).select(F.col(row_id).alias("_at"), F.array(*texts).alias("_cells"))
@@ -80,7 +81,7 @@ def promote_headers(
     names = [
         column_name(i, ["" if row[c] is None else str(row[c]) for row in leading]) for i, c in enumerate(cells)
     ]
-    data = df.where(F.col(row_id) > F.lit(last)).select(F.col(row_id), *[F.col(f"`{c}`") for c in cells])
+    data = df.where(F.col(row_id) > F.lit(last)).select(F.col(row_id), *all_named(cells))
     data = data.toDF(row_id, *names)
     if infer:
         data = typed(data, rows=None, keep=(row_id,))

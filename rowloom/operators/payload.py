@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.names import named
 from rowloom.functions.text import canonical_string, json_object
-from rowloom.operators.rows import quoted
 
 # Characters per token, and the pieces of the output-token budget.
 CHARS_PER_TOKEN = 4
@@ -50,7 +50,7 @@ class PromptTemplate:
 
 
 def cells_as_text(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, Column]]:
-    return [(c, canonical_string(quoted(c), df.schema[c].dataType)) for c in columns]
+    return [(c, canonical_string(named(c), df.schema[c].dataType)) for c in columns]
 
 
 def row_payload(df: DataFrame, columns: Sequence[str], indent: int | None = 2) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowloom.functions.names import all_named
 from rowloom.functions.text import strip
 from rowloom.operators.embed import Encoder, encode_column
 from rowloom.plans.scale import salted_join, spread_small
@@ -81,13 +82,15 @@ def top_k(
         T.StructField("chunk_ord", T.LongType()),
         T.StructField("score", T.DoubleType()),
     ])
-    if _small(chunks, limits.broadcast_rows, limits):
+    n_chunks = chunks.count()
+    if n_chunks <= limits.broadcast_rows and _fits(chunks, limits):
         return _chunks_broadcast(queries, chunks, k, query_id, schema)
     queries = written(queries, "query-vectors")
-    if _small(queries, limits.broadcast_queries, limits):
+    n_queries = queries.count()
+    if n_queries <= limits.broadcast_queries and _fits(queries, limits):
         found = _queries_broadcast(queries, chunks, k, query_id, schema)
     else:
-        found = _through_blocks(queries, chunks, k, query_id, schema, limits)
+        found = _through_blocks(queries, chunks, k, query_id, schema, limits, n_queries, n_chunks)
     return _best(found, k, query_id)
 
 
@@ -96,14 +99,10 @@ def _best(found: DataFrame, k: int, query_id: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _small(vectors: DataFrame, rows: int, limits: Limits, row_bytes: Column | None = None) -> bool:
-    """Whether a side can be broadcast: its rows are counted, and its bytes if there are few rows."""
-    count = vectors.count()
-    if count > rows:
-        return False
+def _fits(side: DataFrame, limits: Limits, row_bytes: Column | None = None) -> bool:
+    """Whether a side of few rows is also small enough in bytes to be broadcast."""
     each = F.lit(8) * F.coalesce(F.size("embedding"), F.lit(0)) if row_bytes is None else row_bytes
-    size = vectors.agg(F.sum(each).alias("bytes")).first()["bytes"]
-    return (size or 0) <= limits.broadcast_bytes
+    return (side.agg(F.sum(each)).first()[0] or 0) <= limits.broadcast_bytes
 
 
 # --- inside a task -----------------------------------------------------------------------------
@@ -290,7 +289,7 @@ def _trim(found: pa.Table, k: int, floors: np.ndarray) -> pa.Table:
 
 
 def _through_blocks(
-    queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema, limits: Limits
+    queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema, limits: Limits, n_queries: int, n_chunks: int
 ) -> DataFrame:
     """Both sides are large: blocks of chunks around pivots, visited by the queries that need them.
 
@@ -304,8 +303,7 @@ def _through_blocks(
     Hot pivots are cut into blocks of about ``limits.block_chunks`` chunks, and the queries of
     a block into parts of ``limits.block_queries``, so no task holds more than that.
     """
-    total = chunks.count()
-    n_pivots = int(min(limits.pivots, max(1, -(-total // limits.block_chunks))))
+    n_pivots = int(min(limits.pivots, max(1, -(-n_chunks // limits.block_chunks))))
     picked = (
         chunks.select("embedding", F.xxhash64("doc_ord", "chunk_ord").alias("at"))
         .orderBy("at").limit(n_pivots).toArrow()
@@ -319,7 +317,6 @@ def _through_blocks(
     parts[stats["pivot"]] = -(-stats["n"].to_numpy() // limits.block_chunks)
     radius[stats["pivot"]] = stats["radius"]
 
-    n_queries = queries.count()
     query_parts = int(max(1, -(-n_queries // limits.block_queries)))
     pieces = F.get(F.lit([int(p) for p in parts]), F.col("pivot"))
     blocks = near.select(
@@ -464,7 +461,7 @@ def _same_for_all(asked: DataFrame, packed: Sequence[tuple[int, str]], query_id:
 def _labelled(hits: DataFrame, chunks: DataFrame, label: Column, limits: Limits) -> DataFrame:
     """Fetches the text of the chosen chunks; one chunk may be the answer to very many queries."""
     texts = chunks.select(F.col("doc_ord").cast("long"), F.col("chunk_ord").cast("long"), label)
-    if _small(texts, limits.broadcast_rows, limits, row_bytes=F.octet_length("label")):
+    if texts.count() <= limits.broadcast_rows and _fits(texts, limits, F.octet_length("label")):
         return hits.join(F.broadcast(texts), list(_PLACE))
     return salted_join(written(hits, "hits"), texts, _PLACE, "inner")
 
@@ -474,7 +471,7 @@ def row_lines(cells: DataFrame, columns: Sequence[str], row_id: str) -> DataFram
 
     ``cells`` holds the cells as canonical strings.
     """
-    array = F.array(*[F.col(f"`{c}`") for c in columns])
+    array = F.array(*all_named(columns))
     exploded = cells.select(row_id, F.posexplode(array).alias("col_ord", "cell"))
     told = exploded.where(~strip(F.col("cell")).isin("", "null"))
     lines = told.select(row_id, "col_ord", F.posexplode(F.split("cell", "\n", -1)).alias("line_ord", "line"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.names import named
 from rowloom.functions.text import is_filled
 from rowloom.plans.scale import with_position
 from rowloom.sources.tables import ROW_ID
@@ -32,11 +33,6 @@ def parse_column_indices(text: str | None, total: int) -> list[int]:
     return sorted(i for i in chosen if i < total)
 
 
-def quoted(name: str) -> Column:
-    """A column by its exact name, whatever characters it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def select_sources(
     df: DataFrame, columns: str | Sequence[int] | None = None, row_id: str | None = ROW_ID
 ) -> DataFrame:
@@ -47,7 +43,7 @@ def select_sources(
         indices = parse_column_indices(columns, len(names))
     else:
         indices = list(dict.fromkeys(i for i in columns if 0 <= i < len(names)))
-    return df.select(*[quoted(c) for c in keep], *[quoted(names[i]) for i in indices])
+    return df.select(*[named(c) for c in keep], *[named(names[i]) for i in indices])
 
 
 def non_empty(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -55,7 +51,7 @@ def non_empty(df: DataFrame, columns: Sequence[str]) -> Column:
     known = [c for c in columns if c in df.columns]
     if not known:
         return F.lit(False)
-    filled = [is_filled(quoted(c), df.schema[c].dataType) for c in known]
+    filled = [is_filled(named(c), df.schema[c].dataType) for c in known]
     out = filled[0]
     for cell in filled[1:]:
         out = out | cell

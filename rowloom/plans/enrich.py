@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.names import all_named, named
 from rowloom.functions.text import json_object
 from rowloom.operators.combine import align_in_place, columns_per_definition, one_row_per_definition
 from rowloom.operators.embed import Encoder
@@ -16,7 +17,7 @@ from rowloom.operators.payload import (
 )
 from rowloom.operators.replies import new_value
 from rowloom.operators.retrieve import LINE_TOP_K, Limits, chunks_per_row, context_text
-from rowloom.operators.rows import last_row_to_process, non_empty, non_empty_rows, quoted
+from rowloom.operators.rows import last_row_to_process, non_empty, non_empty_rows
 from rowloom.session import new_folder
 from rowloom.sources.tables import ROW_ID
 
@@ -69,9 +70,11 @@ def generate_columns(
     """
     if not columns:
         raise ValueError("choose at least one source column")
+    # Of definitions with one name the last counts, at the place of the first.
+    definitions = list({" - ".join(d["headers"]): d for d in definitions}.values())
     rows = non_empty_rows(table, columns, max_rows, row_id)
     cells = rows.select(row_id, *[text.alias(name) for name, text in cells_as_text(rows, columns)])
-    values = [(c, quoted(c)) for c in columns]
+    values = [(c, named(c)) for c in columns]
     asked = cells.select(
         row_id,
         json_object(values, indent=2).alias("payload"),
@@ -97,8 +100,8 @@ def generate_columns(
 
     names = [" - ".join(d["headers"]) for d in definitions]
     wide = columns_per_definition(parsed, names, row_id, newest=reply_order())
-    out = table.join(wide.select(F.col(row_id), *[quoted(n).alias(f"_value_{i}") for i, n in enumerate(names)]), row_id, "left")
+    out = table.join(wide.select(F.col(row_id), *[named(n).alias(f"_value_{i}") for i, n in enumerate(names)]), row_id, "left")
     final = []
     for i, name in enumerate(names):
         final.append(F.coalesce(F.col(f"_value_{i}"), F.lit("")).alias(output_column_name(name, table.columns, names)))
-    return out.select(*[quoted(c) for c in table.columns], *final)
+    return out.select(*all_named(table.columns), *final)

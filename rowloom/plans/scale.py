@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.functions.names import all_named
+
 #: Rows per stretch: 2**20. Three levels cover 2**60 order values.
 SPAN_BITS = 20
 _LEVELS = 3
@@ -77,7 +79,7 @@ def _running(df: DataFrame, group: list[str], order: str, names: list[str], bits
     rows = spanned.withColumn("_carry", F.lit(False)).unionByName(carry, allowMissingColumns=True)
     window = Window.partitionBy(*group, span).orderBy(first).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.select("*", *[F.sum(f"_v_{n}").over(window).alias(n) for n in names])
-    return summed.where(~F.col("_carry")).select(*df.columns, *names)
+    return summed.where(~F.col("_carry")).select(*all_named(df.columns), *names)
 
 
 def with_position(df: DataFrame, order: str, name: str = "position", group: Sequence[str] = ()) -> DataFrame:
@@ -131,7 +133,7 @@ def _with_pieces(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFram
 
 
 def _deal(df: DataFrame, keys: Sequence[str], hot: DataFrame, salt: str) -> DataFrame:
-    row = F.xxhash64(*df.columns)
+    row = F.xxhash64(*all_named(df.columns))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowloom.functions.names import named
+
 _KNOWN = ("csv", "parquet", "json")
 
 
@@ -28,7 +30,7 @@ def save_table(df: DataFrame, path: str, mode: str = "error", encoding: str = "u
 
 def save_column(df: DataFrame, column: str, path: str, mode: str = "error") -> None:
     """Writes one column as text, each value followed by a ``---`` line; null counts as ``''``."""
-    df.select(column_text(F.col(column), df.schema[column].dataType).alias("value")).write.mode(mode).text(path)
+    df.select(column_text(named(column), df.schema[column].dataType).alias("value")).write.mode(mode).text(path)
 
 
 def column_text(value: Column, dtype: T.DataType) -> Column:

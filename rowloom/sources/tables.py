@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowloom.functions.names import named
 from rowloom.functions.text import NULL_TOKENS, strip
 from rowloom.sources.detect import detect_formats, head_of
 
@@ -28,19 +29,21 @@ def load_table(
 ) -> DataFrame:
     """Reads a table by the suffix of ``path``; anything unknown is delimited text.
 
-    Encoding and delimiter of delimited text are taken from the head of the first file
-    unless given. ``row_id=True`` adds the file order as a column (see ``with_row_id``).
+    Encoding and delimiter of text are taken from the head of the first file unless given.
+    ``row_id=True`` adds the file order as a column (see ``with_row_id``).
     """
     if path.endswith(".parquet"):
         df = read_parquet(spark, path)
-    elif path.endswith(".json"):
-        df = read_json(spark, path, encoding=encoding)
     else:
-        if encoding is None or delimiter is None:
+        is_json = path.endswith(".json")
+        if encoding is None or (delimiter is None and not is_json):
             found = detect_formats(head_of(spark, path)).first()
             encoding = encoding or found["encoding"]
             delimiter = delimiter or found["delimiter"]
-        df = read_delimited(spark, path, delimiter, encoding, infer=infer)
+        if is_json:
+            df = read_json(spark, path, encoding=encoding)
+        else:
+            df = read_delimited(spark, path, delimiter, encoding, infer=infer)
     return with_row_id(df) if row_id else df
 
 
@@ -100,7 +103,7 @@ def typed(df: DataFrame, rows: int | None = INFER_ROWS, keep: Sequence[str] = ()
     cells = [c for c in df.columns if c not in keep]
     checks = []
     for i, c in enumerate(cells):
-        value = F.col(f"`{c}`")
+        value = named(c)
         number = value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
         checks += [
             F.every(value.isNull() | value.try_cast("bigint").isNotNull()).alias(f"{i}_bigint"),
@@ -115,7 +118,7 @@ def typed(df: DataFrame, rows: int | None = INFER_ROWS, keep: Sequence[str] = ()
         if fits[f"{i}_seen"]
     }
     return df.select(
-        *[F.col(f"`{c}`").try_cast(kinds.get(c, "string")).alias(c) if c in cells else F.col(f"`{c}`") for c in df.columns]
+        *[named(c).try_cast(kinds.get(c, "string")).alias(c) if c in cells else named(c) for c in df.columns]
     )
 
 

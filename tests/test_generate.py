@@ -99,3 +99,17 @@ def test_native_column_is_one_pass(spark, people):
     rows = {r["row_id"]: r["n"] for r in out.collect()}
     assert rows[0].isdigit() and rows[1].isdigit() and [rows[i] for i in (2, 3, 4)] == ["", "", ""]
     assert "Exchange" not in plan_of(out) and "Join" not in plan_of(out)
+
+
+def test_any_column_name_will_do(spark, tmp_path):
+    odd = "[A] No. of `x` - é"
+    df = spark.createDataFrame([(0, "a", "b"), (1, "", None)], "row_id long, c0 string, c1 string").toDF("row_id", odd, "b.c")
+    out = generate_columns(df, [odd, "b.c"], [{"headers": ["v1.0"], "instructions": "i"}] * 2, logging_generator(tmp_path / "log"))
+    assert out.columns == ["row_id", odd, "b.c", "v1.0"]
+    assert {r["row_id"]: bool(r["v1.0"]) for r in out.collect()} == {0: True, 1: False}
+    native = add_column(df, [odd], "say", lambda p: p, "n.m", max_rows=1)
+    assert native.columns[-1] == "n.m" and native.count() == 2
+    from rowloom.operators.combine import align
+    from rowloom.plans.scale import with_position
+
+    assert with_position(align(df, out, "v1.0"), "row_id").columns == ["row_id", odd, "b.c", "v1.0", "position"]

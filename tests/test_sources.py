@@ -81,6 +81,10 @@ def test_json(spark, tmp_path):
     records = [{"a": 1, "b": "x"}, {"a": None, "b": "é\n"}]
     array = put(tmp_path, "array.json", json.dumps(records, indent=1))
     assert cells(load_table(spark, array)) == [(1, "x"), (None, "é\n")]
+    latin = put(tmp_path, "latin.json", '[{"a": "caf\xe9"}]'.encode("latin-1"))
+    assert cells(load_table(spark, latin)) == [("café",)]
+    wide = put(tmp_path, "wide.json", '[{"a": "café"}]'.encode("utf-16"))
+    assert cells(load_table(spark, wide)) == [("café",)]
     lines = put(tmp_path, "lines.json", "\n".join(json.dumps(r) for r in records))
     assert cells(read_json(spark, lines, lines=True)) == [(1, "x"), (None, "é\n")]
 
