@@ -130,15 +130,24 @@ def canonical_string(column: Column, dtype: T.DataType) -> Column:
 
 
 def json_quote(text: Column) -> Column:
-    """``json.dumps(text, ensure_ascii=False)`` for one string."""
+    """``json.dumps(text, ensure_ascii=False)`` for one string.
+
+    Spark's own JSON differs only in the rare control characters, which it writes with capital
+    hex digits; texts that may have one take the longer way.
+    """
+    quoted = F.to_json(F.array(text))
+    usual = F.btrim(quoted, F.lit("[]"))
+    return F.when(
+        text.isNotNull(), F.when(F.contains(quoted, F.lit("\\u00")), _escaped(text)).otherwise(usual)
+    )
+
+
+def _escaped(text: Column) -> Column:
     for char, escape in _SHORT_ESCAPES:
         text = F.replace(text, F.lit(char), F.lit(escape))
     rare = F.array(*[F.struct(F.lit(c).alias("char"), F.lit(e).alias("escape")) for c, e in _RARE_ESCAPES])
-    text = F.when(
-        text.rlike("[\\x00-\\x1f]"),
-        F.aggregate(rare, text, lambda acc, pair: F.replace(acc, pair["char"], pair["escape"])),
-    ).otherwise(text)
-    return F.concat(F.lit('"'), text, F.lit('"'))
+    out = F.aggregate(rare, text, lambda acc, pair: F.replace(acc, pair["char"], pair["escape"]))
+    return F.concat(F.lit('"'), out, F.lit('"'))
 
 
 def json_object(pairs: Sequence[tuple[str, Column]], indent: int | None = None) -> Column:
