@@ -300,9 +300,11 @@ def _through_blocks(
     clustered the vectors are. In the worst case a query visits every block: then its vector
     goes to each block once, and k rows come back from each.
 
-    Hot pivots are cut into blocks of about ``limits.block_chunks`` chunks, and the queries of
+    Of equal vectors only the first k can be among the k best, so one vector never fills blocks
+    with its copies. Hot pivots are cut into blocks of about ``limits.block_chunks`` chunks, and the queries of
     a block into parts of ``limits.block_queries``, so no task holds more than that.
     """
+    chunks = written(_first_copies(chunks, k), "chunk-vectors")
     n_pivots = int(min(limits.pivots, max(1, -(-n_chunks // limits.block_chunks))))
     picked = (
         chunks.select("embedding", F.xxhash64("doc_ord", "chunk_ord").alias("at"))
@@ -337,6 +339,12 @@ def _through_blocks(
     return first.unionByName(_meet(visits, blocks, parts, query_parts, k, query_id, schema))
 
 
+def _first_copies(chunks: DataFrame, k: int) -> DataFrame:
+    """The first k chunks of every distinct vector; each task drops most copies before the shuffle."""
+    same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy(*_PLACE)
+    return chunks.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k).drop("_copy")
+
+
 def _nearest(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds the nearest pivot of the unit vector, and the distance to it."""
     schema = T.StructType([

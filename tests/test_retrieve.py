@@ -79,6 +79,16 @@ def test_fewer_chunks_than_k(spark, plan):
     assert top_k(q, c.limit(0), 5, limits=PLANS[plan]).count() == 0
 
 
+def test_copies_are_cut_before_the_shuffle(spark):
+    from rowloom.operators.retrieve import _first_copies
+
+    rows = [(i % 3, i, [1.0, 2.0]) for i in range(30)] + [(7, 7, [2.0, 4.0])]
+    c = spark.createDataFrame(rows, "doc_ord long, chunk_ord long, embedding array<float>").repartition(4)
+    kept = _first_copies(c, 2)
+    assert sorted((r[0], r[1]) for r in kept.collect()) == [(0, 0), (0, 3), (7, 7)]
+    assert "WindowGroupLimit" in kept._jdf.queryExecution().toString()
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
     c = spark.createDataFrame([(0, 0, [0.0, 1.0])], "doc_ord int, chunk_ord int, embedding array<float>")
