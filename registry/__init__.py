@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import importlib
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _MODULES = ("tables", "rows", "documents", "retrieval", "replies", "metrics")
 
