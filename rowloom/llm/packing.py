@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import columns
-from rowloom.llm.tokens import Encoder
+from rowloom.llm.tokens import worker_encoder
 from rowloom.session import new_folder, written
 
 CAPACITY = 1024
@@ -49,7 +49,7 @@ def pieces(
     """``(doc_id, piece, start, length, ids_crc32)`` of every document, ``doc_id`` under the name of ``key``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             rows, numbers, starts, lengths, sums = [], [], [], [], []
@@ -111,12 +111,14 @@ def _place(found: DataFrame, sizes: dict[int, int], capacity: int, folder: str)
     while high >= 1:
         low = capacity // 2 if high == capacity - 1 else high // (2 if high > 32 else 4)
         n_left = sum(n for size, n in sizes.items() if low < size <= high)
+        most = max((size for size in sizes if low < size <= high), default=high)
         left = found.where((F.col("length") > low) & (F.col("length") <= high)).select(
             F.col("length").alias("size"), F.col("_uid").alias("id")
         )
         while n_left:
             turn += 1
-            state = _state(left, gaps, low, high)
+            # No more slots than gaps and twice the pieces that are left.
+            state = _state(left, gaps, low, most, max(1, -(-2 * n_left // max(1, n_gaps))))
             tasks = max(1, -(-(n_left + n_gaps) // SORT_ROWS))
             path = new_folder(spark, "sorted")
             # Range-sorted by size; the place in its run of every row is its rank.
@@ -161,9 +163,9 @@ def _place(found: DataFrame, sizes: dict[int, int], capacity: int, folder: str)
         high = low
 
 
-def _state(left: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
+def _state(left: DataFrame, gaps: DataFrame, low: int, high: int, most: int) -> DataFrame:
     """Pieces and slots of a round. A wide gap is offered as several slots that each hold any piece of the band."""
-    wide = F.greatest(F.lit(1), F.floor(F.col("room") / high))
+    wide = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("room") / high)))
     offered = gaps.where(F.col("room") > low).select(
         "sequence", "room", F.explode(F.sequence(F.lit(1), wide.cast("int"))).alias("part"), wide.alias("parts")
     )
