@@ -16,7 +16,7 @@ from rowloom.operators.retrieve import (
 from rowloom.session import written
 
 #: Sizes so small that the plan for two large sides runs on test data too.
-_LARGE = Limits(broadcast_rows=0, block_chunks=256, block_queries=128)
+_LARGE = Limits(broadcast_rows=0, broadcast_queries=0, block_chunks=256, block_queries=128)
 
 
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

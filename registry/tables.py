@@ -197,14 +197,14 @@ SQL = {
         FROM part""",
     "encoding_detect": """
         SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'utf-16'
-                            WHEN doc_id % 4 = 2 AND octet_length(encode(text)) < 100000 THEN 'iso-8859-1'
+                            WHEN doc_id % 4 = 2 THEN 'iso-8859-1'
                             ELSE 'utf-8' END AS encoding
         FROM documents""",
     "delimiter_detect": """
         WITH heads AS (
             SELECT CAST(doc_id AS VARCHAR) AS path,
                    CASE WHEN doc_id % 4 = 1 THEN 'utf-16'
-                        WHEN doc_id % 4 = 2 AND octet_length(encode(text)) < 100000 THEN 'iso-8859-1'
+                        WHEN doc_id % 4 = 2 THEN 'iso-8859-1'
                         ELSE 'utf-8' END AS encoding,
                    array_to_string(regexp_split_to_array(text, '\\r\\n|\\n|\\r')[1:5], chr(10)) AS head
             FROM documents),

@@ -84,5 +84,5 @@ def promote_headers(
     data = df.where(F.col(row_id) > F.lit(last)).select(F.col(row_id), *all_named(cells))
     data = data.toDF(row_id, *names)
     if infer:
-        data = typed(data, rows=None, keep=(row_id,))
+        data = typed(data, keep=(row_id,))
     return data

@@ -18,6 +18,7 @@ from rowloom.plans.scale import SPAN_BITS, running_sums, salted_join, with_posit
 RECENT = 10
 RATIO_MIN, RATIO_MAX = 0.2, 8.0
 SPEED_MIN = 1e-6
+SECONDS_MIN = 1e-6
 
 
 def running_totals(usage: DataFrame, run: Sequence[str] = ("run_id",), order: str = "seq") -> DataFrame:
@@ -68,7 +69,7 @@ def calibration(
     picked = usage.groupBy(*definition).agg(first.alias("first"))
     tokens = F.col("first.completion_tokens").cast("double")
     ratio = tokens / F.greatest(F.lit(1), F.col("first.input_est"))
-    speed = tokens / F.col("first.seconds")
+    speed = tokens / F.greatest(F.lit(SECONDS_MIN), F.col("first.seconds"))
     return picked.select(
         *definition,
         F.greatest(F.lit(RATIO_MIN), F.least(F.lit(RATIO_MAX), ratio)).alias("ratio"),

@@ -18,8 +18,8 @@ from rowloom.functions.names import all_named
 SPAN_BITS = 20
 _LEVELS = 3
 
-#: Keys looked at when hot keys are searched for; also the bound of what is broadcast.
-HEAVY_KEYS = 1024
+#: Tasks over which rows without a key are spread.
+NULL_PIECES = 1024
 #: Rows of one hot key that go to one task.
 ROWS_PER_SALT = 1_000_000
 
@@ -97,9 +97,9 @@ def salted_join(
 ) -> DataFrame:
     """An equi-join that splits hot keys: every task gets about ``ROWS_PER_SALT`` rows of one key.
 
-    The most frequent keys of ``left`` (at most ``HEAVY_KEYS``, so the broadcast list has a
-    fixed bound) are dealt into pieces, and their matches in ``right`` are copied once per
-    piece. A key outside the list holds at most 1/``HEAVY_KEYS`` of the rows. Where ``right``
+    Every key of ``left`` with more rows than that is dealt into pieces, and its matches in ``right`` are copied
+    once per piece. The list of such keys holds at most one for each ``ROWS_PER_SALT`` rows, so
+    a broadcast of it is small beside any one task. Where ``right``
     can repeat keys too (``right_unique=False``, inner joins only) its hot keys are dealt in the same way.
     The piece of a row is a hash of the row, so a task that runs again makes the same choice.
 
@@ -122,7 +122,7 @@ def salted_join(
 def _hot_keys(df: DataFrame, keys: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     if counts is None:
         counts = df.groupBy(*keys).agg(F.count("*").alias("rows"))
-    hot = counts.where(F.col("rows") > ROWS_PER_SALT).orderBy(F.desc("rows"), *keys).limit(HEAVY_KEYS)
+    hot = counts.where(F.col("rows") > ROWS_PER_SALT)
     pieces = F.ceil(F.col("rows") / ROWS_PER_SALT).cast("int")
     return F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], pieces.alias("_pieces")))
 
@@ -138,7 +138,7 @@ def _deal(df: DataFrame, keys: Sequence[str], hot: DataFrame, salt: str) -> Data
     for k in keys:
         no_key = no_key | F.col(k).isNull()
     # Rows without a key match nothing; they are spread so that an outer join does not gather them.
-    piece = F.when(no_key, F.pmod(row, F.lit(HEAVY_KEYS))).otherwise(F.pmod(row, F.col("_pieces")))
+    piece = F.when(no_key, F.pmod(row, F.lit(NULL_PIECES))).otherwise(F.pmod(row, F.col("_pieces")))
     dealt = _with_pieces(df, keys, hot)
     return dealt.withColumn(salt, F.coalesce(piece, F.lit(0)).cast("int")).drop("_pieces")
 

@@ -31,10 +31,13 @@ def get_session(app_name: str = "rowloom", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where a session has none (plain local tests) is a fresh temporary one set.
+    Only a local session without one gets a fresh temporary folder; on a cluster it would be another
+    folder on every machine, so there the setting is asked for.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="rowloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

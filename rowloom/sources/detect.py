@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Sample size in bytes, lines looked at, delimiters in the order that settles ties.
-SAMPLE_BYTES = 100_000
+# Bytes of a file's head, lines looked at, delimiters in the order that settles ties.
+HEAD_BYTES = 1 << 20
 SAMPLE_LINES = 5
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -21,15 +21,9 @@ _CHUNK_LINES = r"\r\n|\n|\r"
 
 
 def encoding_of(content: Column) -> Column:
-    """utf-32 or utf-16 by byte order mark, utf-8 if the sample is valid, else iso-8859-1."""
-    sample = F.substring(content, 1, SAMPLE_BYTES)
+    """utf-32 or utf-16 by byte order mark, utf-8 if the whole content is valid, else iso-8859-1."""
     head = F.hex(F.substring(content, 1, 4))
-    cut = F.octet_length(content) > SAMPLE_BYTES
-    valid = F.is_valid_utf8(sample.cast("string"))
-    # A cut sample may end inside a character of up to four bytes.
-    for missing in (1, 2, 3):
-        shorter = F.substring(content, 1, SAMPLE_BYTES - missing)
-        valid = valid | (cut & F.is_valid_utf8(shorter.cast("string")))
+    valid = F.is_valid_utf8(content.cast("string"))
     out = F.when(head.startswith(_MARKS[0][0]), F.lit(_MARKS[0][1]))
     for mark, name in _MARKS[1:]:
         out = out.when(head.startswith(mark), F.lit(name))
@@ -65,11 +59,21 @@ def detect_formats(files: DataFrame) -> DataFrame:
     return with_encoding.select("path", "encoding", delimiter_of(text).alias("delimiter"))
 
 
+def _whole_characters(content: bytes) -> bytes:
+    """The content up to where its last character is whole, in UTF-8 if it is that, else in units of four bytes."""
+    for missing in range(4):
+        try:
+            content[: len(content) - missing].decode("utf-8")
+            return content[: len(content) - missing]
+        except UnicodeDecodeError:
+            continue
+    return content[: len(content) // 4 * 4]
+
+
 def head_of(spark: SparkSession, path: str) -> DataFrame:
     """One row ``(path, content)`` with the head of the first data file at ``path``.
 
-    Reads through the cluster's own file system, just far enough for both detections: the
-    encoding sample and the first lines.
+    Reads through the cluster's own file system, and never more than ``HEAD_BYTES``, however long the lines are.
     """
     jvm = spark._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)
@@ -86,14 +90,9 @@ def head_of(spark: SparkSession, path: str) -> DataFrame:
     first = min(names, key=lambda p: p.toString())
     stream = fs.open(first)
     try:
-        content = b""
-        while len(content) <= SAMPLE_BYTES or content.count(b"\n") < SAMPLE_LINES:
-            block = bytes(stream.readNBytes(SAMPLE_BYTES + 4))
-            content += block
-            if not block:
-                break
-        else:
-            content = content[: len(content) // 4 * 4]
+        content = bytes(stream.readNBytes(HEAD_BYTES))
+        if len(content) == HEAD_BYTES:
+            content = _whole_characters(content)
     finally:
         stream.close()
     return spark.createDataFrame([(first.toString(), bytearray(content))], "path string, content binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -15,9 +16,6 @@ from rowloom.sources.detect import detect_formats, head_of
 
 ROW_ID = "row_id"
 
-# Fixed value: the rows that decide the column types of delimited text.
-INFER_ROWS = 100
-
 
 def load_table(
     spark: SparkSession,
@@ -37,11 +35,12 @@ def load_table(
     else:
         is_json = path.endswith(".json")
         if encoding is None or (delimiter is None and not is_json):
-            found = detect_formats(head_of(spark, path)).first()
+            head = head_of(spark, path)
+            found = detect_formats(head).first()
             encoding = encoding or found["encoding"]
             delimiter = delimiter or found["delimiter"]
         if is_json:
-            df = read_json(spark, path, encoding=encoding)
+            df = read_json(spark, path, lines=_is_json_lines(spark, path), encoding=encoding)
         else:
             df = read_delimited(spark, path, delimiter, encoding, infer=infer)
     return with_row_id(df) if row_id else df
@@ -62,22 +61,34 @@ def read_json(spark: SparkSession, path: str, lines: bool = False, encoding: str
     return reader.json(path)
 
 
+def _is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line of the first file is a whole object; an array, or an object over several lines, is not."""
+    content = bytes(head_of(spark, path).first()["content"]).lstrip(b"\xef\xbb\xbf \t\r\n")
+    line, end, _ = content.partition(b"\n")
+    if not line.startswith(b"{"):
+        return False
+    try:
+        json.loads(line)
+    except ValueError:
+        # A first line that is longer than the head is taken as a record: nobody breaks lines after so much.
+        return not end
+    return True
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
     delimiter: str = ",",
     encoding: str = "utf-8",
     infer: bool = False,
-    infer_rows: int | None = INFER_ROWS,
     columns: int | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Header-less delimited text; null tokens become null, long rows are cut, short rows filled.
+    """Header-less delimited text; null tokens become null, short rows are filled with null.
 
-    All columns are strings by default, which needs no pass over the data. With
-    ``infer=True`` the first ``infer_rows`` rows (all rows for ``None``) decide the types, and cells
-    that do not fit become null. ``columns`` skips the look at the first line for the
-    width. ``multi_line=True`` allows line ends inside quotes, at the price of one task
+    The table is as wide as its widest line, found by one pass; ``columns`` saves the pass, and cuts what
+    is wider. All columns are strings by default. With ``infer=True`` all rows decide the types, and a
+    column with a cell that does not fit stays a string, so nothing is lost. ``multi_line=True`` allows line ends inside quotes, at the price of one task
     per file; UTF-16 and UTF-32 files are always read that way.
     """
     whole_files = multi_line or encoding.lower().startswith(("utf-16", "utf-32"))
@@ -86,10 +97,23 @@ def read_delimited(
         quote='"', escape='"', multiLine=str(whole_files).lower(),
     )
     if columns is None:
-        columns = len(reader.csv(path).columns)
+        columns = _width(spark, path, delimiter, encoding, whole_files)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(columns)])
     cells = _without_tokens(reader.schema(schema).csv(path))
-    return typed(cells, infer_rows) if infer else cells
+    return typed(cells) if infer else cells
+
+
+def _width(spark: SparkSession, path: str, delimiter: str, encoding: str, whole_files: bool) -> int:
+    """The most cells of any line: its delimiters outside quotes, and one."""
+    if encoding.lower().startswith(("utf-16", "utf-32")):
+        content = spark.read.format("binaryFile").load(path).select("content")
+        lines = content.select(F.decode("content", encoding).alias("value"))
+    else:
+        # Delimiters, quotes and line ends are single bytes in all other charsets.
+        lines = spark.read.option("wholetext", str(whole_files).lower()).text(path)
+    bare = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
+    each = F.transform(F.split(bare, r"\r\n|\r|\n"), lambda line: F.size(F.split(line, re.escape(delimiter), -1)))
+    return lines.select(F.array_max(each).alias("n")).agg(F.max("n")).first()[0] or 1
 
 
 def _without_tokens(df: DataFrame) -> DataFrame:
@@ -98,8 +122,8 @@ def _without_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def typed(df: DataFrame, rows: int | None = INFER_ROWS, keep: Sequence[str] = ()) -> DataFrame:
-    """Casts each column to the first of long, double, boolean that all looked-at cells fit."""
+def typed(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Casts each column to the first of long, double, boolean that all of its cells fit."""
     cells = [c for c in df.columns if c not in keep]
     checks = []
     for i, c in enumerate(cells):
@@ -111,7 +135,7 @@ def typed(df: DataFrame, rows: int | None = INFER_ROWS, keep: Sequence[str] = ()
             F.every(value.isNull() | value.isin("true", "false")).alias(f"{i}_boolean"),
             F.count(value).alias(f"{i}_seen"),
         ]
-    fits = (df if rows is None else df.limit(rows)).agg(*checks).first()
+    fits = df.agg(*checks).first()
     kinds = {
         c: next((k for k in ("bigint", "double", "boolean") if fits[f"{i}_{k}"]), "string")
         for i, c in enumerate(cells)

@@ -25,6 +25,12 @@ def data_lines(frame: Column) -> Column:
     return F.when(done > 0, F.slice(data, 1, F.greatest(done - 1, F.lit(0)).cast("int"))).otherwise(data)
 
 
+def _is_one_value(line: Column) -> Column:
+    """Whether a line is one JSON value and nothing else: inside brackets it is an array of one."""
+    boxed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    return F.coalesce(F.schema_of_variant(boxed).startswith("ARRAY"), F.lit(False)) & F.try_variant_get(boxed, "$[1]", "string").isNull()
+
+
 def assemble_replies(frames: DataFrame, prompt_tokens: Column | None = None) -> DataFrame:
     """``(request_id, reply, prompt_tokens, completion_tokens)`` per request.
 
@@ -34,7 +40,8 @@ def assemble_replies(frames: DataFrame, prompt_tokens: Column | None = None) ->
     """
     estimate = F.lit(None).cast("bigint") if prompt_tokens is None else prompt_tokens.cast("bigint")
     # Each frame becomes one summary; summaries of neighbouring frames add up to one of both.
-    parsed = F.transform(data_lines(F.col("frame")), lambda line: F.from_json(line, FIELDS))
+    strict = F.filter(data_lines(F.col("frame")), _is_one_value)
+    parsed = F.transform(strict, lambda line: F.from_json(line, FIELDS, {"allowSingleQuotes": "false"}))
     events = F.transform(parsed, _summary)
     start = F.struct(F.lit("").alias("text"), *_nothing())
     item = F.aggregate(events, start, _add)

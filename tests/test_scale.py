@@ -50,11 +50,10 @@ def test_salted_join(spark, rows, monkeypatch, piece):
     assert salted_join(left, many, "k", "inner", right_unique=False).count() == 60 * 60 + 49 + 1
 
 
-def test_hot_keys_are_a_bounded_list(spark, rows, monkeypatch):
+def test_every_hot_key_is_dealt(spark, monkeypatch):
     monkeypatch.setattr(scale, "ROWS_PER_SALT", 1)
-    monkeypatch.setattr(scale, "HEAVY_KEYS", 2)
-    hot = scale._hot_keys(spark.createDataFrame(rows, "k string, at long, v long"), ["k"])
-    assert hot.count() == 2
+    hot = scale._hot_keys(spark.range(6000).selectExpr("id div 2 AS k"), ["k"])
+    assert hot.count() == 3000 and {r["_pieces"] for r in hot.collect()} == {2}
 
 
 @pytest.mark.parametrize("bits", [12, 1])

@@ -24,17 +24,43 @@ def cells(df):
 def test_delimited_text(spark, tmp_path):
     path = put(tmp_path, "plain.csv", 'a,"x, ""y""",1\nNULL,NA,na\nN/A,n/a,null\nNa,,3,extra\nshort\n')
     assert cells(load_table(spark, path)) == [
-        ("a", 'x, "y"', "1"), (None, None, None), (None, None, None), ("Na", None, "3"), ("short", None, None),
+        ("a", 'x, "y"', "1", None), (None,) * 4, (None,) * 4, ("Na", None, "3", "extra"), ("short", None, None, None),
     ]
+    assert cells(read_delimited(spark, path, columns=3))[3] == ("Na", None, "3")
 
 
-def test_delimited_types_come_from_the_first_rows(spark, tmp_path):
-    path = put(tmp_path, "typed.txt", "1;0.5;true;x\n2;NA;false;y\n;7;true;3\nfour;z;maybe;\n")
-    df = read_delimited(spark, path, ";", infer=True, infer_rows=3)
+def test_delimited_types_fit_all_rows(spark, tmp_path):
+    rows = "1;0.5;true;x\n2;NA;false;y\n;7;true;3\n"
+    df = read_delimited(spark, put(tmp_path, "typed.txt", rows), ";", infer=True)
     assert [t for _, t in df.dtypes] == ["bigint", "double", "boolean", "string"]
-    assert cells(df)[3] == (None, None, None, None)
-    whole = read_delimited(spark, path, ";", infer=True, infer_rows=None)
-    assert [t for _, t in whole.dtypes] == ["string"] * 4
+    late = read_delimited(spark, put(tmp_path, "late.txt", rows * 60 + "four;z;maybe;\n"), ";", infer=True)
+    assert [t for _, t in late.dtypes] == ["string"] * 4
+    assert cells(late)[-1] == ("four", "z", "maybe", None)
+
+
+def test_width_is_that_of_the_widest_line(spark, tmp_path):
+    assert cells(load_table(spark, put(tmp_path, "title.csv", 'title\n1,"2,2",3\n4,5,6\n'))) == [
+        ("title", None, None), ("1", "2,2", "3"), ("4", "5", "6"),
+    ]
+    wide = put(tmp_path, "wide.csv", "a,b\n1,2,3\n".encode("utf-16"))
+    assert len(load_table(spark, wide).columns) == 3
+
+
+def test_json_lines_are_told_from_arrays(spark, tmp_path):
+    path = save_table(spark.range(100).repartition(3), str(tmp_path / "lines.json"))
+    assert load_table(spark, path).count() == 100
+    assert load_table(spark, put(tmp_path, "array.json", '[{"a": 1},\n {"a": 2}]')).count() == 2
+    assert load_table(spark, put(tmp_path, "pretty.json", '{\n "a": 1\n}')).count() == 1
+
+
+def test_the_head_of_a_file_is_bounded(spark, tmp_path):
+    path = put(tmp_path, "one.json", "[" + '{"a": 1}, ' * 400_000 + '{"a": 2}]')
+    assert len(head_of(spark, path).first()["content"]) <= 1 << 20
+
+
+def test_a_late_byte_decides_the_encoding(spark):
+    rows = spark.createDataFrame([("f", bytearray(b"x" * 200_000 + b"\xe9"))], "path string, content binary")
+    assert detect_formats(rows).first()["encoding"] == "iso-8859-1"
 
 
 def test_encodings(spark, tmp_path):
