@@ -66,3 +66,8 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
 def digest(values: np.ndarray) -> bytes:
     """128 bits that name a set."""
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def sequence_name(words: np.ndarray) -> int:
+    """A signed 64-bit name of a whole sequence of word hashes, in one call whatever its length."""
+    return int.from_bytes(xxhash.xxh3_64_digest(words.tobytes()), "big", signed=True)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.names import all_named
 from rowloom.llm.common import columns, exact
 from rowloom.llm.components import components
-from rowloom.llm.shingles import Hasher, mixed, shingle_set, windows
+from rowloom.llm.shingles import Hasher, mixed, sequence_name, shingle_set, windows
 from rowloom.session import written
 
 SHINGLE, SIMILARITY, RECALL, MIN_WORDS = 5, 0.8, 0.99, 50
@@ -138,7 +138,7 @@ def _units(alone: DataFrame, min_words: int, bands: int, band_rows: int, shingle
                         line_no.append(number)
                         first.append(at)
                         size.append(len(words))
-                        name.append(int(windows(words, len(words)).view(np.int64)[0]))
+                        name.append(sequence_name(words))
                         keys.append(minhash(shingles, bands, band_rows))
                     at += len(words)
                 if at < min_words:
