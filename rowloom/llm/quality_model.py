@@ -172,7 +172,8 @@ def fit(
     )
     # At most ``sample`` rows of an id and a label.
     rows = columns(docs, _key=key, _text=text).join(F.broadcast(known), "_key")
-    rows = rows.repartition(PARTS, "_key").sortWithinPartitions("_key", F.xxhash64("_text"))
+    # Never more than PARTS tasks, also where a session deals keys to more partitions.
+    rows = rows.repartition(PARTS, "_key").coalesce(PARTS).sortWithinPartitions("_key", F.xxhash64("_text"))
     rows = rows.select("_key", "_label", F.coalesce("_text", F.lit("")).alias("_text"))
     index = index_vectors()
 
