@@ -22,20 +22,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Hasher:
     """64-bit hashes of words, remembered for a bounded number of them."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Known()
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for word in words:
-            if word not in known:
-                known[word] = xxhash.xxh3_64_intdigest(word)
-        return np.array([known[w] for w in words], dtype=np.uint64)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def split_words(text: str, lower: bool = True) -> list[bytes]:
@@ -48,9 +50,14 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
     """The hash of every run of ``width`` words, by its start."""
     if len(words) < width:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(words) - width + 1, dtype=np.uint64)
+    return windows_at(words, np.arange(len(words) - width + 1), width)
+
+
+def windows_at(words: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the run of ``width`` words at each of ``places``."""
+    out = np.zeros(len(places), dtype=np.uint64)
     for i in range(width):
-        out = mixed(out * _MIX[i % 3] + words[i : i + len(out)])
+        out = mixed(out * _MIX[i % 3] + words[places + i])
     return out
 
 

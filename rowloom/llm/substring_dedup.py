@@ -1,7 +1,7 @@
 """Removal of passages that repeat across documents.
 
-Paragraphs (lines of at least ``min_words`` words) are compared by MinHash banding: bands and rows are tuned for high recall at the
-threshold, paragraphs that collide in a band are verified by the exact Jaccard of their word shingles, and verified pairs
+Paragraphs (lines of at least ``min_words`` words, and of at least one shingle) are compared by MinHash banding: bands and
+rows are tuned for high recall at the threshold, paragraphs that collide in a band are verified by the exact Jaccard of their word shingles, and verified pairs
 are clustered by connected components. Passages inside of paragraphs are found by small paragraphs of ``WINDOW`` words
 that begin at places the words themselves choose; where such windows occur in several documents, every window around them
 is compared, so that a passage is found to its last word.
@@ -24,21 +24,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.names import all_named
 from rowloom.llm.common import columns, exact
 from rowloom.llm.components import components
-from rowloom.llm.shingles import Hasher, mixed, sequence_name, shingle_set, windows
+from rowloom.llm.shingles import Hasher, mixed, sequence_name, shingle_set, split_words, windows, windows_at
 from rowloom.session import written
 
 SHINGLE, SIMILARITY, RECALL, MIN_WORDS = 5, 0.8, 0.99, 50
 #: Words of a window, and how far the windows' starts must be from a rival on either side (so one start in about
 #: ``2 * REACH + 1`` words).
 WINDOW, REACH = 16, 4
-#: Small tables (groups of copies, rows with removals) are broadcast up to this many rows, else shuffled.
-BROADCAST_ROWS = 600_000
+#: Words that are worked on as one array.
+WORDS = 100_000
+#: Small tables (groups of copies, rows with removals) are broadcast up to this many values, those of arrays counted one by
+#: one, else shuffled.
+BROADCAST_VALUES = 2_000_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NO_ID = (1 << 63) - 1
@@ -53,33 +57,44 @@ def tune(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
     raise ValueError("no banding reaches that recall")
 
 
-def minhash(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key per band."""
+def minhash(grams: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key per band for each set of shingles; ``first`` tells where in ``grams`` each set begins."""
     seeds = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64))
-    least = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(shingles), 1024):
-        # A multiplication by an odd number after the exclusive or permutes well enough for minima of hashes.
-        some = (shingles[start : start + 1024, None] ^ seeds) * np.uint64(0x9E3779B97F4A7C15)
-        least = np.minimum(least, some.min(axis=0))
-    least = least.reshape(bands, rows)
-    key = np.arange(bands, dtype=np.uint64)
+    # A multiplication by an odd number after the exclusive or permutes well enough for minima of hashes.
+    least = np.stack([np.minimum.reduceat((grams ^ seed) * np.uint64(0x9E3779B97F4A7C15), first) for seed in seeds], axis=1)
+    least = least.reshape(len(first), bands, rows)
+    key = np.tile(np.arange(bands, dtype=np.uint64), (len(first), 1))
     for i in range(rows):
-        key = mixed(key + least[:, i])
+        key = mixed(key + least[:, :, i])
     return key.view(np.int64)
 
 
-def starts(words: np.ndarray) -> np.ndarray:
-    """Where windows begin: places whose pair of words has the smallest hash within ``REACH`` on both sides."""
+def starts(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where windows begin: places whose pair of words has the smallest hash within ``REACH`` on both sides.
+
+    ``words`` holds several texts, one after the other; ``begins`` where each begins. No window leaves its text.
+    """
     pairs = windows(words, 2)
     if len(pairs) < 2 * REACH + 1:
         return np.zeros(0, dtype=np.int64)
-    around = np.lib.stride_tricks.sliding_window_view(pairs, 2 * REACH + 1)
-    least = np.flatnonzero(around.min(axis=1) == pairs[REACH : len(pairs) - REACH]) + REACH
-    return least[least + WINDOW <= len(words)]
+    least = sliding_window_view(pairs, 2 * REACH + 1)
+    smallest = least[:, 0].copy()
+    for i in range(1, 2 * REACH + 1):
+        np.minimum(smallest, least[:, i], out=smallest)
+    places = np.flatnonzero(smallest == pairs[REACH : len(pairs) - REACH]) + REACH
+    owner = np.searchsorted(begins, places, side="right") - 1
+    ends = np.append(begins[1:], len(words))[owner]
+    return places[(places - begins[owner] >= REACH) & (places + WINDOW <= ends)]
+
+
+def spans(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all spans, one after the other, and where among them each span begins."""
+    begins = np.cumsum(sizes) - sizes
+    return np.repeat(first - begins, sizes) + np.arange(sizes.sum()), begins
 
 
 def _words(text: str, hasher: Hasher) -> np.ndarray:
-    return hasher.words([w.encode("utf-8", "surrogatepass") for w in _WORD.findall(text)])
+    return hasher.words(split_words(text, lower=False))
 
 
 def remove_repeats(
@@ -116,51 +131,68 @@ def remove_repeats(
 
 
 def _checked(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows allow it."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A written table, marked for broadcast if its counted values allow it."""
+    values = sum((F.size(c) if kind.startswith("array") else F.lit(1) for c, kind in table.dtypes), F.lit(0))
+    counted = table.agg(F.sum(values.cast("long"))).first()[0] or 0
+    return F.broadcast(table) if counted <= BROADCAST_VALUES else table
 
 
 def _units(alone: DataFrame, min_words: int, bands: int, band_rows: int, shingle: int) -> DataFrame:
     """Paragraphs ``(_d, _t, line, first, n, name, keys)`` and windows (the same with line -1 and no keys)."""
 
+    def some(texts: list[tuple[int, list[list[bytes]]]], hasher: Hasher) -> list[tuple]:
+        """The columns of what a few texts give, worked on as one array of words."""
+        words = hasher.words([word for _, lines in texts for line in lines for word in line])
+        rows = np.array([row for row, _ in texts])
+        n_lines = np.array([len(lines) for _, lines in texts])
+        sizes = np.array([len(line) for _, lines in texts for line in lines])
+        line_first = np.cumsum(sizes) - sizes
+        numbers, line_begins = spans(np.zeros(len(rows), dtype=np.int64), n_lines)
+        begins = line_first[line_begins]
+        out = []
+        long = np.flatnonzero(sizes >= max(min_words, shingle))
+        if len(long):
+            owner = np.searchsorted(line_begins, long, side="right") - 1
+            places, first = spans(line_first[long], sizes[long] - shingle + 1)
+            keys = minhash(windows(words, shingle)[places], first, bands, band_rows)
+            names = [sequence_name(words[a : a + n]) for a, n in zip(line_first[long], sizes[long])]
+            out.append((rows[owner], numbers[long], line_first[long] - begins[owner], sizes[long], np.array(names), list(keys)))
+        places = starts(words, begins)
+        owner = np.searchsorted(begins, places, side="right") - 1
+        names = windows_at(words, places, WINDOW).view(np.int64)
+        nothing = np.full(len(places), -1)
+        out.append((rows[owner], nothing, places - begins[owner], np.full(len(places), WINDOW), names, [None] * len(places)))
+        return out
+
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+
+        def found(batch: pa.RecordBatch, texts: list) -> Iterator[pa.RecordBatch]:
+            for owner, line, first, size, name, keys in some(texts, hasher):
+                picked = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("_d").take(picked), batch.column("_t").take(picked), pa.array(line, pa.int32()),
+                        pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.int64()),
+                        pa.array(keys, pa.list_(pa.int64())),
+                    ],
+                    names=["_d", "_t", "line", "first", "n", "name", "keys"],
+                )
+
         for batch in batches:
-            owner, line_no, first, size, name, keys = [], [], [], [], [], []
+            texts, n = [], 0
             for row, value in enumerate(batch.column("_text")):
-                at, parts = 0, []
-                for number, line in enumerate(value.as_py().split("\n")):
-                    words = _words(line, hasher)
-                    parts.append(words)
-                    if len(words) >= min_words:
-                        shingles = shingle_set(words, shingle)
-                        owner.append(row)
-                        line_no.append(number)
-                        first.append(at)
-                        size.append(len(words))
-                        name.append(sequence_name(words))
-                        keys.append(minhash(shingles, bands, band_rows))
-                    at += len(words)
-                if at < min_words:
+                lines = [line.split() for line in value.as_py().encode("utf-8", "surrogatepass").split(b"\n")]
+                size = sum(map(len, lines))
+                if size < min_words:
                     continue
-                words = np.concatenate(parts)
-                places = starts(words)
-                hashes = windows(words, WINDOW)[places].view(np.int64)
-                owner += [row] * len(places)
-                line_no += [-1] * len(places)
-                first += places.tolist()
-                size += [WINDOW] * len(places)
-                name += hashes.tolist()
-                keys += [None] * len(places)
-            picked = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_d").take(picked), batch.column("_t").take(picked), pa.array(line_no, pa.int32()),
-                    pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                ],
-                names=["_d", "_t", "line", "first", "n", "name", "keys"],
-            )
+                texts.append((row, lines))
+                n += size
+                if n >= WORDS:
+                    yield from found(batch, texts)
+                    texts, n = [], 0
+            if texts:
+                yield from found(batch, texts)
 
     return alone.mapInArrow(units, "_d long, _t long, line int, first int, n int, name long, keys array<long>")
 
