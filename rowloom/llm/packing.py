@@ -122,9 +122,9 @@ def _place(found: DataFrame, sizes: dict[int, int], capacity: int, folder: str)
             tasks = max(1, -(-(n_left + n_gaps) // SORT_ROWS))
             path = new_folder(spark, "sorted")
             # Range-sorted by size; the place in its run of every row is its rank.
-            state.repartitionByRange(tasks, "kind", "size", "id").sortWithinPartitions("kind", "size", "id").mapInPandas(
-                _ranked, shapes
-            ).write.parquet(path)
+            # Never more tasks than the rows need, also where a session deals keys to more partitions.
+            ranges = state.repartitionByRange(tasks, "kind", "size", "id").coalesce(tasks)
+            ranges.sortWithinPartitions("kind", "size", "id").mapInPandas(_ranked, shapes).write.parquet(path)
             ranked = spark.read.schema(shapes).parquet(path)
             # A partition holds a stretch of the sorted order, so this is one row for each partition and run.
             runs = ranked.where(F.col("kind") != _PARKED).groupBy("kind", "size", "at").count().collect()
