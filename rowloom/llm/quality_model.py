@@ -57,7 +57,7 @@ class Words:
             low = f"<{word.lower()}>"
             # Trigrams of a very long word are those of its whole length: features are a set of bounded size.
             names = {"w" + low, "s" + shape, *(low[i : i + 3] for i in range(len(low) - 2))}
-            found = np.unique(np.array([zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names], dtype=np.int64))
+            found = np.array(sorted({zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names}), dtype=np.int64)
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             self.known[word] = found
@@ -71,22 +71,53 @@ def index_vectors() -> np.ndarray:
     return signs.astype(np.float32)
 
 
+def _add(total: np.ndarray, rows: np.ndarray, vectors: np.ndarray, picked: np.ndarray) -> None:
+    """Adds the picked vectors to rows of ``total``; rows may repeat."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    total[rows[first]] += np.add.reduceat(vectors[picked[order]], first, axis=0)
+
+
 def contexts(texts: Iterator[str], index: np.ndarray) -> np.ndarray:
-    """What random indexing adds to each feature: the index vectors of the words next to its words."""
-    words, total = Words(), np.zeros_like(index)
+    """What random indexing adds to each feature: the index vectors of the words next to its words.
+
+    Sums are kept by word, and spread over the features of the words whenever ``CACHE_WORDS`` words have come together.
+    """
+    words, total, places = Words(), np.zeros_like(index), {}
+    own = np.zeros((CACHE_WORDS, index.shape[1]), dtype=np.float32)
+    sums = np.zeros_like(own)
+
+    def spread() -> None:
+        known = list(places)
+        for start in range(0, len(known), 10_000):
+            features = [words.features(w) for w in known[start : start + 10_000]]
+            owners = np.repeat(np.arange(start, start + len(features)), [len(f) for f in features])
+            _add(total, np.concatenate(features), sums, owners)
+        places.clear()
+        sums[:] = 0
+
     for text in texts:
         found = text.split()
         if len(found) < 2:
             continue
-        places: dict[str, int] = {}
-        ids = np.array([places.setdefault(w, len(places)) for w in found])
-        features = [words.features(w) for w in places]
-        own = np.stack([index[f].mean(axis=0) for f in features])
-        around = np.zeros_like(own)
-        np.add.at(around, ids[1:], own[ids[:-1]])
-        np.add.at(around, ids[:-1], own[ids[1:]])
-        sizes = [len(f) for f in features]
-        np.add.at(total, np.concatenate(features), np.repeat(around, sizes, axis=0))
+        distinct = dict.fromkeys(found)
+        if len(places) + len(distinct) > len(own):
+            spread()
+            if len(distinct) > len(own):
+                own = np.zeros((len(distinct), index.shape[1]), dtype=np.float32)
+                sums = np.zeros_like(own)
+        unseen = [word for word in distinct if word not in places]
+        if unseen:
+            features = [words.features(word) for word in unseen]
+            sizes = np.array([len(f) for f in features])
+            means = np.add.reduceat(index[np.concatenate(features)], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+            own[len(places) : len(places) + len(unseen)] = means
+            places.update(zip(unseen, range(len(places), len(places) + len(unseen))))
+        ids = np.fromiter(map(places.__getitem__, found), dtype=np.int64, count=len(found))
+        _add(sums, ids[1:], own, ids[:-1])
+        _add(sums, ids[:-1], own, ids[1:])
+    spread()
     return total
 
 
