@@ -196,7 +196,7 @@ def ngram_join(
     near = listed.join(heads, "list").where(F.col("node") != F.col("head")).select("head", "node").distinct()
     groups = components(near, "head", "node")
     members = groups.join(different.drop("keys"), "node").select("root", "node", "name", "first", "n", "copies")
-    members = _tasks(written(members, "members"), at)
+    members = block_tasks(written(members, "members"), at)
 
     def member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -243,7 +243,7 @@ def ngram_join(
     )
 
 
-def _tasks(members: DataFrame, at: Threshold) -> DataFrame:
+def block_tasks(members: DataFrame, at: Threshold) -> DataFrame:
     """Adds the comparing tasks of each member: one for a group of bounded size, else one per pair of its blocks.
 
     Large groups are cut by stretches of sizes and by hash into blocks of bounded size; only blocks of the same and of

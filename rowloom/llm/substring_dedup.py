@@ -1,8 +1,8 @@
 """Removal of passages that repeat across documents.
 
 Paragraphs (lines of at least ``min_words`` words, and of at least one shingle) are compared by MinHash banding: bands and
-rows are tuned for high recall at the threshold, paragraphs that collide in a band are verified by the exact Jaccard of their word shingles, and verified pairs
-are clustered by connected components. Passages inside of paragraphs are found by small paragraphs of ``WINDOW`` words
+rows are tuned for high recall at the threshold, paragraphs that hang together by collisions in a band are one group, all pairs of a group are compared by the exact
+Jaccard of their word shingles (large groups in bounded blocks, block against block), and verified pairs are clustered by connected components. Passages inside of paragraphs are found by small paragraphs of ``WINDOW`` words
 that begin at places the words themselves choose; where such windows occur in several documents, every window around them
 is compared, so that a passage is found to its last word.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.names import all_named
 from rowloom.llm.common import columns, exact
 from rowloom.llm.components import components
+from rowloom.llm.jaccard_join import Threshold, block_tasks, links
 from rowloom.llm.shingles import Hasher, mixed, sequence_name, shingle_set, split_words, windows, windows_at
 from rowloom.session import written
 
@@ -206,33 +208,45 @@ def _near_paragraphs(lines: DataFrame, alone: DataFrame, shingle: int, similarit
         ),
         "paragraph-classes",
     )
+    # Heads only form the groups; inside a group every pair is compared.
     banded = classes.select("name", F.explode("keys").alias("band"))
     heads = banded.groupBy("band").agg(F.min("name").alias("head"), F.max("name").alias("last"))
     heads = heads.where(F.col("head") < F.col("last")).drop("last")
-    pairs = written(
-        banded.join(heads, "band").where(F.col("name") != F.col("head")).select("head", "name").distinct(), "paragraph-pairs"
-    )
-    wanted = pairs.select(F.col("head").alias("name")).unionByName(pairs.select("name")).distinct()
-    places = wanted.join(classes, "name").select("name", "shown._d", "shown._t", "shown.line")
+    groups = components(banded.join(heads, "band").where(F.col("name") != F.col("head")), "head", "name")
+    places = groups.join(classes, F.col("node") == F.col("name")).select("node", "root", "shown._d", "shown._t", "shown.line")
     shown = alone.join(_checked(written(places, "shown")), ["_d", "_t"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            values = []
+            n, values = [], []
             for value, line in zip(batch.column("_text"), batch.column("line")):
-                values.append(shingle_set(_words(value.as_py().split("\n")[line.as_py()], hasher), shingle).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(values, pa.list_(pa.int64()))], names=["name", "shingles"])
+                found = shingle_set(_words(value.as_py().split("\n")[line.as_py()], hasher), shingle)
+                n.append(len(found))
+                values.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("root"), pa.array(n, pa.int64()), pa.array(values, pa.binary())],
+                names=["node", "root", "n", "shingles"],
+            )
 
     # Rows of one id and equal text show the same paragraph; any of them will do.
-    shingles = shown.select("name", "_text", "line").mapInArrow(sets, "name long, shingles array<long>")
-    shingles = written(shingles.groupBy("name").agg(F.first("shingles").alias("shingles")), "paragraph-shingles")
-    both = pairs.join(shingles, "name").join(
-        shingles.select(F.col("name").alias("head"), F.col("shingles").alias("others")), "head"
+    shingles = shown.select("node", "root", "_text", "line").mapInArrow(sets, "node long, root long, n long, shingles binary")
+    shingles = written(
+        shingles.groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "paragraph-shingles"
     )
-    common = F.size(F.array_intersect("shingles", "others"))
-    alike = both.where(common >= similarity * (F.size("shingles") + F.size("others") - common))
-    clusters = components(alike, "name", "head")
+    share = Fraction(str(similarity))
+    at = Threshold(share.numerator, share.denominator)
+    tasks = block_tasks(shingles.select("root", "node", "n"), at).select("node", F.explode("tasks").alias("_task"))
+    met = shingles.select("node", "shingles").join(tasks, "node")
+    met = met.select("node", "shingles", F.col("_task.task").alias("task"), F.col("_task.side").alias("side"))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        nodes = part["node"].to_numpy()
+        values = [np.frombuffer(v, dtype=np.uint64) for v in part["shingles"]]
+        edges, _ = links(values, np.ones(len(nodes), dtype=np.int64), part["side"].to_numpy(), at)
+        return pd.DataFrame([(nodes[a], nodes[b]) for a, b in edges], columns=["a", "b"], dtype=np.int64)
+
+    clusters = components(written(met.groupBy("task").applyInPandas(compare, "a long, b long"), "paragraph-links"))
     clustered = classes.select("name", "least").join(clusters.withColumnRenamed("node", "name"), "name", "left")
     clustered = clustered.withColumn("root", F.coalesce("root", "name"))
     keepers = clustered.groupBy("root").agg(F.min("least").alias("keeper"))

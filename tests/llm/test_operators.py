@@ -170,6 +170,37 @@ def test_substring_dedup(spark, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 4_000])
+def test_near_paragraphs_of_a_large_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", limit)
+    rng = random.Random(17)
+    texts = []
+    for family, (n, places) in enumerate([(300, (33, 66)), (10, (33, 66)), (100, (20, 40, 60, 80))]):
+        base = [f"f{family}w{i}" for i in range(100)]
+        if family < 2:  # windows of unlike copies would cover all of the base
+            texts.append(" ".join(base))
+        for copy in range(n):
+            edited = list(base)
+            for place in places:
+                edited[place + rng.randint(-8, 8)] = f"e{family}x{copy}x{place}"
+            texts.append(" ".join(edited))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    for a, one in enumerate(sets):
+        for b in range(a):
+            if least[a] != least[b] and 5 * len(one & sets[b]) >= 4 * len(one | sets[b]):
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(df).collect()}
+    gone = {i for i, r in got.items() if not r["text"]}
+    wanted = {i for i, first in enumerate(least) if first < i}
+    assert len(wanted) >= 310
+    assert gone <= wanted and len(gone) >= 0.99 * len(wanted)
+    assert all(least[i] in got[i]["_kept_in"] for i in gone)
+
+
 def test_banding_reaches_its_recall():
     bands, rows = substring_dedup.tune(0.8, 0.99)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99
