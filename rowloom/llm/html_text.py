@@ -3,8 +3,10 @@
 The markup is stripped into lines, one per block. Elements that are no article by their very kind
 (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) leave blank lines behind. Text lengths are summed over sliding windows of lines; text begins where
-the sums surge and ends where they dive to nothing, and whatever lies between is kept.
-Where a page marks its article, lines outside of it count as blank, and what is removed inside of it leaves no gap.
+the sums surge and ends where they dive to nothing, and whatever lies between is kept. Headings and paragraphs that are too
+short to surge stay beside text that does.
+A marked article is evidence alone: blank lines lie along its border, what is removed inside of it leaves no gap, and
+text on the other side of the border than the page's largest window sum has to surge ``BESIDE`` times as high.
 
 Defined results: null or empty html gives ``''``; character references are decoded; white space inside a block
 becomes one space; blocks are joined by one line feed. Very long pages are read in one pass. Rows are
@@ -26,6 +28,8 @@ from rowloom.llm.common import columns
 #: Lines per window, and the share of the page's largest window sum at which text surges.
 WINDOW = 3
 SURGE = 0.15
+#: How much higher sums must surge across the border of a marked article.
+BESIDE = 2
 
 # Elements without article text, elements whose content is no markup, inline elements,
 # elements without content, and the words in class, id or role that mark what is no article.
@@ -45,6 +49,15 @@ MARKS = frozenset(
     "recommended complementary contentinfo".split()
 )
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | {"p"}
+
+_SCOPE = frozenset("table td th caption object template button html".split())
+_CELLS = frozenset(("td", "th"))
+_ROWS = frozenset("tbody thead tfoot caption colgroup".split())
+_TABLE = frozenset(("table",))
+_TABLE_PARTS = _ROWS | _CELLS | {"tr"}
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"<>]*\"|'[^'<>]*')*+|[^>]*)>", re.S
 )
@@ -66,25 +79,90 @@ def _is_no_text(name: str, attributes: str, inside: bool) -> bool:
     )
 
 
-def lines_of(html: str) -> tuple[list[str], list[bool], bool]:
-    """The lines of a page, whether each lies in a marked article, and whether there is such an article."""
-    lines: list[str] = []
-    inside: list[bool] = []
+class _Open:
+    """The elements that are open at a place of a page, and for each name the depths at which it is."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, names: frozenset[str]) -> int:
+        """The depth of the innermost open element of these names, -1 without one."""
+        return max((self.depths[name][-1] for name in names if self.depths.get(name)), default=-1)
+
+    def push(self, name: str) -> None:
+        self.depths.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, depth: int) -> None:
+        """Ends the element at ``depth`` and all inside of it."""
+        while len(self.names) > depth:
+            name = self.names.pop()
+            self.depths[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+
+    def end(self, names: frozenset[str], bounds: frozenset[str]) -> None:
+        depth = self.last(names)
+        if depth >= 0 and depth > self.last(bounds - names):
+            self.cut(depth)
+
+    def ended(self, name: str) -> None:
+        """Ends an element and all that is still open inside of it; an end tag without a start ends nothing."""
+        names = HEADINGS if name in HEADINGS else frozenset((name,))
+        if name in INLINE:
+            depth = self.last(names)
+            if depth >= 0 and (not self.blocks or depth > self.blocks[-1]):
+                self.cut(depth)
+        elif name in _TABLE_PARTS:
+            self.end(names, _TABLE)
+        elif name in ("table", "body", "html", "template"):
+            self.end(names, frozenset())
+        else:
+            self.end(names, _SCOPE | {"ul", "ol"} if name == "li" else _SCOPE)
+
+
+def lines_of(html: str) -> list[tuple[str, bool, bool]]:
+    """The lines of a page, each with whether it lies in a marked article and whether in a heading or paragraph.
+
+    Blank lines stand where something was removed outside of articles, and along the border of articles.
+    """
+    lines: list[tuple[str, bool, bool]] = []
     block: list[str] = []
-    articles, any_article = 0, False
-    skipping, depth = "", 0
+    stack = _Open()
+    articles: list[int] = []  # the depths of open articles
+    skipped = -1  # the depth of the element that is skipped
+    blank = [("", False, False)] * WINDOW
+    side = None
     at, end = 0, len(html)
 
     def close_block() -> None:
+        nonlocal side
         text = " ".join(unescape("".join(block)).split())
         block.clear()
-        lines.append(text)
-        inside.append(articles > 0)
+        if not text:
+            return
+        inside = bool(articles)
+        if side not in (None, inside):
+            lines.extend(blank)
+        side = inside
+        lines.append((text, inside, stack.last(PROSE) >= 0))
+
+    def settle() -> None:
+        """Forgets articles and the skipped element once they are no longer open."""
+        nonlocal skipped
+        while articles and articles[-1] >= len(stack.names):
+            articles.pop()
+        if skipped >= len(stack.names):
+            skipped = -1
 
     while at < end:
         token = _TOKEN.search(html, at)
         start = token.start() if token else end
-        if not skipping and start > at:
+        if skipped < 0 and start > at:
             block.append(html[at:start])
         if token is None:
             break
@@ -96,67 +174,57 @@ def lines_of(html: str) -> tuple[list[str], list[bool], bool]:
             stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = stop.end() if stop else end
             continue
-        empty = name in VOID or attributes.endswith("/")
-        if skipping:
-            if name == skipping and not empty:
-                depth += -1 if closing else 1
-            # An element that is never closed ends where an article begins.
-            if depth == 0 or (name in ("article", "main") and not closing and not articles and skipping != name):
-                skipping = ""
-            else:
-                continue
-            if closing:
-                continue
-        if name in INLINE and not (attributes and not closing and _is_no_text(name, attributes, articles > 0)):
-            continue
-        close_block()
+        if name not in INLINE:
+            close_block()
         if closing:
-            if name in ("article", "main"):
-                articles = max(0, articles - 1)
+            stack.ended(name)
+            settle()
+            continue
+        # An element that is never closed ends where an article begins.
+        if skipped >= 0 and name in ("article", "main") and not articles and stack.names[skipped] != name:
+            stack.cut(skipped)
+            settle()
+        if name in VOID or attributes.endswith("/"):
             continue
-        if not empty and _is_no_text(name, attributes, articles > 0):
-            skipping, depth = name, 1
-            if not articles:
-                lines.extend([""] * WINDOW)
-                inside.extend([False] * WINDOW)
-        elif name in ("article", "main") and not empty:
-            articles, any_article = articles + 1, True
+        if skipped < 0:
+            if (attributes or name not in INLINE) and _is_no_text(name, attributes, bool(articles)):
+                close_block()
+                skipped = len(stack.names)
+                if not articles:
+                    lines.extend(blank)
+            elif name in ("article", "main"):
+                articles.append(len(stack.names))
+        stack.push(name)
     close_block()
-    return lines, inside, any_article
+    return lines
 
 
 def main_text(html: str | None) -> str:
     """The text between surge and dive points of one page."""
-    if not html:
-        return ""
-    lines, inside, any_article = lines_of(html)
-    if any_article and any(line for line, within in zip(lines, inside) if within):
-        return "\n".join(line for line, within in zip(lines, inside) if within and line)
-    # Adjacent markup makes no distance: blank lines count only where something was removed.
-    kept: list[str] = []
-    gap = 0
-    for line in lines:
-        gap = 0 if line else gap + 1
-        if line or gap >= WINDOW:
-            kept.append(line)
-    return "\n".join(_between(kept))
-
-
-def _between(lines: list[str]) -> list[str]:
-    sizes = [len(line) for line in lines]
+    return "\n".join(_between(lines_of(html))) if html else ""
+
+
+def _between(lines: list[tuple[str, bool, bool]]) -> list[str]:
+    sizes = [len(line) for line, _, _ in lines]
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    surge = SURGE * max(sums, default=0)
+    # Stretches of text between blank lines: lines, the largest sum, the side of the border, whether all are prose.
+    regions: list[tuple[list[str], int, bool, bool]] = []
+    fresh = True
+    for (line, inside, prose), total in zip(lines, sums):
+        if line and fresh:
+            regions.append(([line], total, inside, prose))
+        elif line:
+            found, peak, _, before = regions[-1]
+            found.append(line)
+            regions[-1] = (found, max(peak, total), inside, before and prose)
+        fresh = not line
+    _, most, main, _ = max(regions, key=lambda r: r[1], default=([], 0, False, False))
+    surges = [peak >= SURGE * most * (1 if inside == main else BESIDE) for _, peak, inside, _ in regions]
     out: list[str] = []
-    region: list[str] = []
-    peak = 0
-    for line, total in zip([*lines, ""], [*sums, 0]):
-        if line:
-            region.append(line)
-            peak = max(peak, total)
-        else:
-            if region and peak >= surge:
-                out.extend(region)
-            region, peak = [], 0
+    for i, (found, _, inside, prose) in enumerate(regions):
+        beside = (j for j in (i - 1, i + 1) if 0 <= j < len(regions))
+        if surges[i] or (prose and any(surges[j] and regions[j][2] == inside for j in beside)):
+            out.extend(found)
     return out
 
 

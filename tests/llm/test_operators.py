@@ -322,6 +322,19 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "long text of the page " * 20
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<article><p>card</p></article><div><p>{0}</p><p>{0}</p></div><article><p>card two</p></article>", "{0}\n{0}"),
+    ("<div>log in here</div><article><p>{0}</p></article><div>all rights</div>", "{0}"),
+    ("<div><h1>T</h1></div></div></div><div><div><div><p>{0}</p></div></div></div></div><div><div><p>end</p>", "T\n{0}\nend"),
+    ("<h1>T</h1><div class=share>x</div><p>{0}</p><div class=ad>x</div><p>end</p><div class=ad>x</div><div>far</div>", "T\n{0}\nend"),
+])
+def test_sums_decide_on_every_page(html, text):
+    assert html_text.main_text(html.format(LONG)) == text.format(LONG.strip())
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>ä b</p>", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect()), key=repr) == [(1, "u", "ä b", 3), (None, None, "", 0)]
