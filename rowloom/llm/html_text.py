@@ -7,6 +7,7 @@ the sums surge and ends where they dive to nothing, and whatever lies between is
 short to surge stay beside text that does.
 A marked article is evidence alone: blank lines lie along its border, what is removed inside of it leaves no gap, and
 text on the other side of the border than the page's largest window sum has to surge ``BESIDE`` times as high.
+Elements whose end tags are omitted end where HTML ends them.
 
 Defined results: null or empty html gives ``''``; character references are decoded; white space inside a block
 becomes one space; blocks are joined by one line feed. Very long pages are read in one pass. Rows are
@@ -52,9 +53,29 @@ MARKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | {"p"}
 
+# What the start of an element ends, as HTML has it: (the elements that end, the elements beyond which none is looked for).
 _SCOPE = frozenset("table td th caption object template button html".split())
-_CELLS = frozenset(("td", "th"))
+_SECTIONS = frozenset("article aside blockquote fieldset figure footer form header main nav section".split())
+_ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header "
+    "hgroup hr li main menu nav ol p pre search section summary table ul".split()
+) | HEADINGS
 _ROWS = frozenset("tbody thead tfoot caption colgroup".split())
+_CELLS = frozenset(("td", "th"))
+_ITEMS = frozenset(("dd", "dt"))
+_OPTIONS = frozenset(("option",))
+_STARTS = {
+    "li": (frozenset(("li",)), _SCOPE | _SECTIONS | {"ul", "ol", "menu", "dir"}),
+    **dict.fromkeys(_ITEMS, (_ITEMS, _SCOPE | _SECTIONS | {"dl"})),
+    **dict.fromkeys(_CELLS, (_CELLS, frozenset(("tr", "table")))),
+    "tr": (frozenset(("tr", "caption", "colgroup")), frozenset(("table",))),
+    **dict.fromkeys(_ROWS, (_ROWS, frozenset(("table",)))),
+    "option": (_OPTIONS, frozenset(("select", "datalist"))),
+    "optgroup": (frozenset(("optgroup", "option")), frozenset(("select", "datalist"))),
+    "button": (frozenset(("button",)), _SCOPE - {"button"}),
+    "body": (frozenset(("head",)), frozenset()),
+}
+_IN_HEAD = frozenset("head base link meta noscript script style template title".split())
 _TABLE = frozenset(("table",))
 _TABLE_PARTS = _ROWS | _CELLS | {"tr"}
 
@@ -110,6 +131,17 @@ class _Open:
         if depth >= 0 and depth > self.last(bounds - names):
             self.cut(depth)
 
+    def started(self, name: str) -> None:
+        """Ends what the start of an element ends without an end tag."""
+        if self.depths.get("head") and name not in _IN_HEAD:
+            self.end(frozenset(("head",)), frozenset(("template", "noscript")))
+        if name in _STARTS:
+            self.end(*_STARTS[name])
+        if name in _ENDS_P:
+            self.end(frozenset(("p",)), _SCOPE)
+        if name in HEADINGS and self.names and self.names[-1] in HEADINGS:
+            self.cut(len(self.names) - 1)
+
     def ended(self, name: str) -> None:
         """Ends an element and all that is still open inside of it; an end tag without a start ends nothing."""
         names = HEADINGS if name in HEADINGS else frozenset((name,))
@@ -180,6 +212,8 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
             stack.ended(name)
             settle()
             continue
+        stack.started(name)
+        settle()
         # An element that is never closed ends where an article begins.
         if skipped >= 0 and name in ("article", "main") and not articles and stack.names[skipped] != name:
             stack.cut(skipped)

@@ -335,6 +335,20 @@ def test_sums_decide_on_every_page(html, text):
     assert html_text.main_text(html.format(LONG)) == text.format(LONG.strip())
 
 
+@pytest.mark.parametrize("html,text", [
+    ('<article><p class="notice">x<p>one<p>two</article>', "one\ntwo"),
+    ('<article><ul><li class="ad">x<li>one<li>two</ul><p>three</article>', "one\ntwo\nthree"),
+    ('<div><p class="notice">x</div><p>one', "one"),
+    ("<article><p>one</p><aside>side</article><p>tail", "one\ntail"),
+    ("<article><dl><dt class=ad>x<dd>one</dl><table><tr class=ad><td>x<tr><td class=ad>x<td>two</table></article>", "one\ntwo"),
+    ("<html><head><meta charset=utf-8><title>t</title><body><p>one", "one"),
+    ('<article><div class="ad">a<div>b</div>c</div><p>one <span class="ad">x<span>y</span>z</span></article>', "one"),
+    ('<article><div class="ad"><p>a<p>b<ul><li>c</ul></div><p>one</article>', "one"),
+])
+def test_omitted_end_tags(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>ä b</p>", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect()), key=repr) == [(1, "u", "ä b", 3), (None, None, "", 0)]
