@@ -6,11 +6,13 @@ file ``head_of`` gives a row with its first bytes only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of a file's head, lines looked at, delimiters in the order that settles ties.
 HEAD_BYTES = 1 << 20
+#: Files up to this size are looked at whole, by the tasks; of larger ones the driver reads heads, so many at a time.
+WHOLE_BYTES, HEADS = 32 << 20, 32
 SAMPLE_LINES = 5
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -70,6 +72,48 @@ def _whole_characters(content: bytes) -> bytes:
     return content[: len(content) // 4 * 4]
 
 
+def file_formats(spark: SparkSession, path: str, *more: Column) -> list[Row]:
+    """``(path, partitioned, encoding, delimiter)`` of every file with content, and ``more`` columns made from its ``content``.
+
+    The encoding follows from all of a file's content, the rest from its head.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    own = {"path", "modificationTime", "length", "content"}
+    partitioned = F.lit(any(c not in own for c in files.columns)).alias("partitioned")
+    files = files.where(F.col("length") > 0).select("path", "length", "content", F.col("_metadata.file_path").alias("name"))
+    small = files.where(F.col("length") <= WHOLE_BYTES).select("path", "content")
+    head = F.substring("content", 1, HEAD_BYTES)
+    looked = small.withColumn("encoding", encoding_of(F.col("content"))).withColumn("content", head)
+    text = decode_text(F.col("content"), F.col("encoding"))
+    out = looked.select("path", partitioned, "encoding", delimiter_of(text).alias("delimiter"), *more).collect()
+    large = {r["name"]: r["path"] for r in files.where(F.col("length") > WHOLE_BYTES).select("name", "path").collect()}
+    if large:
+        # Line ends are single bytes that are part of no other character, so lines are valid where the whole is.
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("name"), F.is_valid_utf8("value").alias("valid"))
+        valid = {r["name"]: r["valid"] for r in lines.groupBy("name").agg(F.every("valid").alias("valid")).collect()}
+        names = sorted(large)
+        for first in range(0, len(names), HEADS):
+            some = names[first : first + HEADS]
+            heads = [(large[n], valid.get(n, True), bytearray(_head(spark, large[n]))) for n in some]
+            rows = spark.createDataFrame(heads, "path string, valid boolean, content binary")
+            marked = encoding_of(F.col("content"))
+            plain = F.when(F.col("valid"), F.lit("utf-8")).otherwise(F.lit("iso-8859-1"))
+            rows = rows.withColumn("encoding", F.when(marked.isin("utf-16", "utf-32"), marked).otherwise(plain))
+            out += rows.select("path", partitioned, "encoding", delimiter_of(text).alias("delimiter"), *more).collect()
+    return sorted(out, key=lambda r: r["path"])
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of one file, through the cluster's own file system."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = location.getFileSystem(spark._jsc.hadoopConfiguration()).open(location)
+    try:
+        content = bytes(stream.readNBytes(HEAD_BYTES))
+        return _whole_characters(content) if len(content) == HEAD_BYTES else content
+    finally:
+        stream.close()
+
+
 def head_of(spark: SparkSession, path: str) -> DataFrame:
     """One row ``(path, content)`` with the head of the first data file at ``path``.
 
@@ -88,11 +132,5 @@ def head_of(spark: SparkSession, path: str) -> DataFrame:
     if not names:
         raise FileNotFoundError(f"no data file at {path}")
     first = min(names, key=lambda p: p.toString())
-    stream = fs.open(first)
-    try:
-        content = bytes(stream.readNBytes(HEAD_BYTES))
-        if len(content) == HEAD_BYTES:
-            content = _whole_characters(content)
-    finally:
-        stream.close()
+    content = _head(spark, first.toString())
     return spark.createDataFrame([(first.toString(), bytearray(content))], "path string, content binary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from rowloom.functions.names import named
 from rowloom.functions.text import NULL_TOKENS, strip
-from rowloom.sources.detect import detect_formats, head_of
+from rowloom.sources.detect import file_formats, head_of
 
 ROW_ID = "row_id"
 
@@ -27,22 +28,23 @@ def load_table(
 ) -> DataFrame:
     """Reads a table by the suffix of ``path``; anything unknown is delimited text.
 
-    Encoding and delimiter of text are taken from the head of the first file unless given.
+    Encoding, delimiter and form of text are found for each file by itself unless given; files that agree are read together.
     ``row_id=True`` adds the file order as a column (see ``with_row_id``).
     """
     if path.endswith(".parquet"):
         df = read_parquet(spark, path)
     else:
         is_json = path.endswith(".json")
-        if encoding is None or (delimiter is None and not is_json):
-            head = head_of(spark, path)
-            found = detect_formats(head).first()
-            encoding = encoding or found["encoding"]
-            delimiter = delimiter or found["delimiter"]
+        if encoding is None or delimiter is None or is_json:
+            groups = _groups(spark, path, is_json, encoding, delimiter)
+        else:
+            groups = {(encoding, delimiter, False): path}
         if is_json:
-            df = read_json(spark, path, lines=_is_json_lines(spark, path), encoding=encoding)
+            df = _read_json_groups(spark, groups)
         else:
-            df = read_delimited(spark, path, delimiter, encoding, infer=infer)
+            parts = [read_delimited(spark, paths, sep, charset) for (charset, sep, _), paths in groups.items()]
+            df = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
+            df = typed(df) if infer else df
     return with_row_id(df) if row_id else df
 
 
@@ -50,7 +52,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False, encoding: str | None = None) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str | list[str], lines: bool = False, encoding: str | None = None, schema: T.StructType | None = None
+) -> DataFrame:
     """An array of records per file, or one record per line with ``lines=True``.
 
     A file that is one array is read by one task; large data belongs in JSON Lines.
@@ -58,13 +62,57 @@ def read_json(spark: SparkSession, path: str, lines: bool = False, encoding: str
     reader = spark.read.option("multiLine", not lines)
     if encoding:
         reader = reader.option("encoding", encoding)
+    if schema is not None:
+        reader = reader.schema(schema)
     return reader.json(path)
 
 
-def _is_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether the first line of the first file is a whole object; an array, or an object over several lines, is not."""
-    content = bytes(head_of(spark, path).first()["content"]).lstrip(b"\xef\xbb\xbf \t\r\n")
-    line, end, _ = content.partition(b"\n")
+def _groups(
+    spark: SparkSession, path: str, is_json: bool, encoding: str | None, delimiter: str | None
+) -> dict[tuple[str, str, bool], str | list[str]]:
+    """The files by (encoding, delimiter, whether JSON Lines); ``path`` itself where all agree."""
+    lines = F.udf(_is_json_lines, "boolean")("content") if is_json else F.lit(False)
+    rows = file_formats(spark, path, lines.alias("lines"))
+    if not rows:
+        head_of(spark, path)  # says that there is no data
+    groups: dict[tuple[str, str, bool], list[str]] = {}
+    for row in rows:
+        sep = delimiter or ("," if is_json else row["delimiter"])
+        groups.setdefault((encoding or row["encoding"], sep, row["lines"]), []).append(row["path"])
+    if len(groups) <= 1:
+        return dict.fromkeys(groups, path)
+    if any(row["partitioned"] for row in rows):
+        raise ValueError(f"files of several formats in a partitioned folder: {path}")
+    return {found: [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths] for found, paths in groups.items()}
+
+
+def _read_json_groups(spark: SparkSession, groups: dict[tuple[str, str, bool], str | list[str]]) -> DataFrame:
+    parts = [(paths, lines, charset) for (charset, _, lines), paths in groups.items()]
+    found = [read_json(spark, *part) for part in parts]
+    if len(found) == 1:
+        return found[0]
+    schema = reduce(_common, [df.schema for df in found])
+    return reduce(DataFrame.unionByName, [read_json(spark, *part, schema=schema) for part in parts])
+
+
+def _common(one: T.DataType, other: T.DataType) -> T.DataType:
+    """The type that holds values of both without loss; text where nothing else does."""
+    if one == other:
+        return one
+    if isinstance(one, T.StructType) and isinstance(other, T.StructType):
+        left, right = ({f.name: f.dataType for f in kind.fields} for kind in (one, other))
+        both = {**right, **left, **{n: _common(left[n], right[n]) for n in left.keys() & right.keys()}}
+        return T.StructType([T.StructField(n, both[n]) for n in sorted(both)])
+    if isinstance(one, T.ArrayType) and isinstance(other, T.ArrayType):
+        return T.ArrayType(_common(one.elementType, other.elementType))
+    if {one, other} == {T.LongType(), T.DoubleType()}:
+        return T.DoubleType()
+    return T.StringType()
+
+
+def _is_json_lines(content: bytes) -> bool:
+    """Whether the first line is a whole object; an array, or an object over several lines, is not."""
+    line, end, _ = bytes(content).lstrip(b"\xef\xbb\xbf \t\r\n").partition(b"\n")
     if not line.startswith(b"{"):
         return False
     try:
@@ -77,7 +125,7 @@ def _is_json_lines(spark: SparkSession, path: str) -> bool:
 
 def read_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     delimiter: str = ",",
     encoding: str = "utf-8",
     infer: bool = False,
@@ -103,7 +151,7 @@ def read_delimited(
     return typed(cells) if infer else cells
 
 
-def _width(spark: SparkSession, path: str, delimiter: str, encoding: str, whole_files: bool) -> int:
+def _width(spark: SparkSession, path: str | list[str], delimiter: str, encoding: str, whole_files: bool) -> int:
     """The most cells of any line: its delimiters outside quotes, and one."""
     if encoding.lower().startswith(("utf-16", "utf-32")):
         content = spark.read.format("binaryFile").load(path).select("content")

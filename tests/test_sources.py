@@ -5,6 +5,7 @@ import json
 import pytest
 
 from rowloom.operators.headers import column_letter, column_name, detect_header_rows, promote_headers
+from rowloom.sources import detect
 from rowloom.sources.detect import detect_formats, head_of
 from rowloom.sources.documents import load_documents
 from rowloom.sources.sinks import output_path, save_column, save_table
@@ -53,6 +54,28 @@ def test_json_lines_are_told_from_arrays(spark, tmp_path):
     assert load_table(spark, put(tmp_path, "pretty.json", '{\n "a": 1\n}')).count() == 1
 
 
+@pytest.mark.parametrize("whole", [32 << 20, 0])
+def test_formats_are_found_for_each_file(spark, tmp_path, monkeypatch, whole):
+    monkeypatch.setattr(detect, "WHOLE_BYTES", whole)
+    monkeypatch.setattr(detect, "HEAD_BYTES", 1 << 10)
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("é,1\n".encode())
+    (folder / "b [x].csv").write_bytes("ü;2;3\n".encode("latin-1"))
+    (folder / "c.csv").write_bytes("ö\t4\n".encode("utf-16"))
+    (folder / "d.csv").write_bytes(b"x,5\n" * 1000 + "ß,6\n".encode("latin-1"))
+    (folder / "e.csv").write_bytes(b"")
+    rows = set(cells(load_table(spark, str(folder))))
+    assert rows == {("é", "1", None), ("ü", "2", "3"), ("ö", "4", None), ("x", "5", None), ("ß", "6", None)}
+    assert load_table(spark, str(folder), infer=True).schema["_c1"].dataType.simpleString() == "bigint"
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"a": 1, "b": {"x": 1}}\n{"a": 2}\n')
+    (folder / "b.json").write_text('[{"a": "t", "b": {"y": "é"}},\n {"a": "u"}]', encoding="latin-1")
+    got = {(r["a"], r["b"] and r["b"].x, r["b"] and r["b"].y) for r in load_table(spark, str(folder)).collect()}
+    assert got == {("1", 1, None), ("2", None, None), ("t", None, "é"), ("u", None, None)}
+
+
 def test_the_head_of_a_file_is_bounded(spark, tmp_path):
     path = put(tmp_path, "one.json", "[" + '{"a": 1}, ' * 400_000 + '{"a": 2}]')
     assert len(head_of(spark, path).first()["content"]) <= 1 << 20
