@@ -29,14 +29,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the one with the smallest id.
+    """One document of each group of linked documents stays: the one with the smallest id, one without an id only if none has any.
 
+    Rows are told apart by a key of their own, so rows without an id or with a repeated one are documents like others.
     Rows that repeat an id with the same text are one document.
     """
-    kept = jaccard_join.ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    groups = jaccard_join.ngram_join(rows, key="_row")
+    # Texts without words are in no group; of those with an id one stays for each id and text.
+    bare = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    placed = rows.select("_row", "doc_id", F.xxhash64("text").alias("_t")).join(groups, "_row")
+    first = placed.groupBy(
+        F.when(~bare, F.col("component_id")), F.when(bare, F.col("doc_id")), F.when(bare, F.col("_t"))
+    ).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first"))
+    stay = rows.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi")
+    return stay.select(*all_named(docs.columns))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

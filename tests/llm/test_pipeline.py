@@ -35,3 +35,17 @@ def test_stages(spark):
             assert first.setdefault(tuple(found[i : i + 50]), r["doc_id"]) == r["doc_id"]
     assert {r["doc_id"] for r in placed.collect()} == {r["doc_id"] for r in mixed.collect()}
     assert placed.where("piece = 0").count() == mixed.count()
+
+
+def test_near_copies_without_ids(spark):
+    texts = {name: " ".join(f"{name}{i}" for i in range(100)) for name in "abcd"}
+    near = {name: text.replace(f"{name}50", "changed") for name, text in texts.items()}
+    rows = [
+        (None, texts["a"]), (None, near["a"]), (None, texts["b"]), (3, near["b"]), (7, texts["b"]),
+        (5, texts["c"]), (5, texts["d"]), (4, near["d"]), (5, texts["c"]), (6, ""), (6, ""), (None, ""), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, corpus_pipeline.near_copies(spark, docs, SF_DIR).collect()), key=repr)
+    assert [r for r in kept if r[0] is not None] == sorted([(3, near["b"]), (5, texts["c"]), (4, near["d"]), (6, "")], key=repr)
+    assert len(kept) == 7 and {(None, ""), (None, None)} < set(kept)
+    assert len({texts["a"], near["a"]} & {text for _, text in kept}) == 1
