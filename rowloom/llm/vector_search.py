@@ -11,8 +11,8 @@ decides by the same test which other cells they visit.
 The split planes come from a bounded sample, every vector is indexed. Equal vectors are one entry of the index that knows its
 ``k + 1`` smallest ids, which is all that any answer can need of it.
 
-Defined results: null and zero vectors, vectors with null or non-finite components or of another length than the longest, and rows
-without an id take no part. The query itself is no candidate, its copies under other ids are. Ties go to the smaller
+Defined results: null and zero vectors, vectors with null or non-finite components, and rows without an id take no
+part. Vectors of different lengths have no inner product, so those of each length are searched among themselves. The query itself is no candidate, its copies under other ids are. Ties go to the smaller
 id. With fewer than k candidates all are returned; rows that repeat an id with the same vector count once. An
 empty table gives an empty result; other columns are ignored.
 """
@@ -147,10 +147,15 @@ def nearest(
     rows = columns(table, id=key, x=vector).select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(fine & F.exists("x", lambda v: v != 0))
-    length = rows.agg(F.max(F.size("x"))).first()[0]
-    if not length:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("x") == length)
+    lengths = sorted(r["n"] for r in rows.select(F.size("x").alias("n")).distinct().collect())
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in lengths:
+        found = _nearest_of_length(rows.where(F.size("x") == length), length, k, every, confidence)
+        out = found if length == lengths[0] else out.unionByName(found)
+    return out
+
+
+def _nearest_of_length(rows: DataFrame, length: int, k: int, every: int, confidence: float) -> DataFrame:
     # -0.0 and 0.0 are one number.
     rows = written(rows.select("id", F.transform("x", lambda v: v + F.lit(0.0)).alias("x")).distinct(), "vectors")
 

@@ -291,6 +291,13 @@ def test_vector_search_over_several_cells(spark, monkeypatch):
     assert len(got) == 30 and hits >= 0.9 * 300
 
 
+def test_vectors_of_each_length_are_searched(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [3.0, 3.0]), (3, [1.0, 1.0, 1.0]), (4, [1.0]), (6, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vector_search.nearest(df, k=2, every=2).collect()))
+    assert got == [(0, 1, 2, 9.0), (0, 2, 1, 4.0), (2, 1, 0, 9.0), (2, 2, 1, 9.0), (4, 1, 6, 2.0), (6, 1, 4, 2.0)]
+
+
 def test_archives(spark):
     rows = [(1, "http://B.example/x", "<p>ä</p>"), (2, "http://a.example/", "<p>ä</p>"), (3, None, None), (4, "u\r\nv", ""),
             (5, "http://a.example/", "WARC/1.1\r\n\r\nnot a record"), (1, "again", "<p>ä</p>"), (None, "n", "<p>ä</p>"), (6, "z", "q" * 100_000)]
