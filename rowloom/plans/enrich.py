@@ -17,7 +17,7 @@ from rowloom.operators.payload import (
 )
 from rowloom.operators.replies import new_value
 from rowloom.operators.retrieve import LINE_TOP_K, Limits, chunks_per_row, context_text
-from rowloom.operators.rows import last_row_to_process, non_empty, non_empty_rows
+from rowloom.operators.rows import SORTED_LIMIT, last_row_to_process, non_empty, non_empty_rows
 from rowloom.session import new_folder
 from rowloom.sources.tables import ROW_ID
 
@@ -94,6 +94,10 @@ def generate_columns(
         row_id, F.col("definition.def_id").alias("def_id"), F.col("definition.column").alias("column"), "request"
     )
     path = path or new_folder(table.sparkSession, "replies")
+    if max_tasks is None and max_rows is not None and max_rows <= SORTED_LIMIT:
+        # A sorted limit leaves one partition, however many files the table has.
+        batches = -(-max_rows * len(definitions) // batch)
+        max_tasks = max(1, min(batches, table.sparkSession.sparkContext.defaultParallelism))
     replies = generate_once(requests, load_generator, path, [row_id, "def_id", "column"], batch, max_tasks)
     value = new_value(reply_or_error(F.col("reply"), F.col("error"), on_error))
     parsed = replies.withColumn("value", value)

@@ -113,3 +113,24 @@ def test_any_column_name_will_do(spark, tmp_path):
     from rowloom.plans.scale import with_position
 
     assert with_position(align(df, out, "v1.0"), "row_id").columns == ["row_id", odd, "b.c", "v1.0", "position"]
+
+
+def test_a_limited_run_over_many_files_is_spread(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    spark.range(400).select(F.col("id").alias("row_id"), F.lit("x").alias("x")).repartition(40).write.parquet(folder)
+    log = str(tmp_path / "tasks")
+
+    def load():
+        from pyspark import TaskContext
+
+        def generate(requests):
+            with open(log, "a") as out:
+                out.write(f"{TaskContext.get().partitionId()}\n")
+            return [{"text": "{}", "completion_tokens": 1} for _ in requests]
+
+        return generate
+
+    out = generate_columns(spark.read.parquet(folder), ["x"], DEFINITIONS[:1], load, max_rows=100, batch=5)
+    assert out.count() > 0
+    with open(log) as found:
+        assert len(set(found.read().split())) > 1
