@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import (
-    html_text, jaccard_join, mixing, packing, quality_model, quality_rules, substring_dedup, token_rollup, vector_search, warc,
+    filter_audit, html_text, jaccard_join, mixing, packing, quality_model, quality_rules, substring_dedup, token_rollup, vector_search, warc,
 )
 from rowloom.llm.common import table, words_of
 from rowloom.llm.tokens import token_count
@@ -126,11 +126,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_substring_dedup, op3_source_mixing, op4_html_extraction, op5_quality_rules,
         op6_quality_classifier, op7_nearest_neighbours, op8_warc, op9_token_counts, op10_ngram_jaccard_join,
+        op11_filter_audit,
     )
 }
 
@@ -194,4 +199,37 @@ k AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, coalesce(k.n_links, 0) AS n_links
 FROM w LEFT JOIN n USING (rid) LEFT JOIN m USING (rid) LEFT JOIN k USING (rid)"""
 
-SQL = {"op5_quality_rules": _QUALITY, "op8_warc": _WARC, "op10_ngram_jaccard_join": _JACCARD}
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (SELECT doc_id, part,
+             CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS failed
+      FROM d),
+n AS (SELECT part, failed, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+c AS (SELECT 'ABCDE'[i] AS letter, 1 << (i - 1) AS bit FROM (SELECT unnest(generate_series(1, 5)) AS i)),
+o AS (SELECT [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits, v.letter || w.letter || x.letter || y.letter || z.letter AS filter_order
+      FROM c v, c w, c x, c y, c z WHERE (v.bit | w.bit | x.bit | y.bit | z.bit) = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step]) - bits[step] AS gone
+      FROM (SELECT *, unnest(generate_series(1, 5)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, s.bit,
+             sum(CASE WHEN failed & (gone | s.bit) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN failed & gone = 0 AND failed & s.bit > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN failed & gone > 0 AND failed & s.bit > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN failed = s.bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN failed & gone = 0 AND failed & s.bit > 0 THEN n * good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN failed & gone = 0 AND failed & s.bit > 0 THEN n * toxic ELSE 0 END) AS toxic_lost
+      FROM n, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r"""
+
+SQL = {"op11_filter_audit": _AUDIT, "op5_quality_rules": _QUALITY, "op8_warc": _WARC, "op10_ngram_jaccard_join": _JACCARD}
