@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Where the tables that ``written`` returned lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def get_session(app_name: str = "rowloom", **conf: str) -> SparkSession:
     """A session with the library's defaults; anything passed in ``conf`` wins.
@@ -56,4 +60,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Frees the space of tables that ``written`` returned, once all that reads them is written itself.
+
+    The table is overwritten by an empty one, which works in every store that Spark writes to.
+    """
+    for df in frames:
+        path = _PATHS.pop(df, None)
+        if path:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
