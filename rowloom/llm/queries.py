@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import (
-    filter_audit, html_text, jaccard_join, mixing, packing, quality_model, quality_rules, substring_dedup, token_rollup, vector_search, warc,
+    filter_audit, html_text, jaccard_join, mixing, packing, prefix_trie, quality_model, quality_rules, substring_dedup, token_rollup, vector_search, warc,
 )
 from rowloom.llm.common import table, words_of
 from rowloom.llm.tokens import token_count
@@ -130,12 +130,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_substring_dedup, op3_source_mixing, op4_html_extraction, op5_quality_rules,
         op6_quality_classifier, op7_nearest_neighbours, op8_warc, op9_token_counts, op10_ngram_jaccard_join,
-        op11_filter_audit,
+        op11_filter_audit, op13_prefix_trie,
     )
 }
 
@@ -232,4 +236,29 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM r"""
 
-SQL = {"op11_filter_audit": _AUDIT, "op5_quality_rules": _QUALITY, "op8_warc": _WARC, "op10_ngram_jaccard_join": _JACCARD}
+_TRIE = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+             PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, c - c % 20 AS base, xor(list_reduce(
+               list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+               lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                 lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 4 AS h
+      FROM (SELECT DISTINCT c FROM t)),
+b AS (SELECT v.c, p, r, x FROM v JOIN t ON t.c = v.base AND p <= h UNION ALL SELECT c, p, r, x FROM t JOIN v USING (c) WHERE p > h),
+d AS (SELECT c, x, row_number() OVER (PARTITION BY c ORDER BY p) AS depth, {'r': r, 'x': x} AS turn FROM b),
+k AS (SELECT c, depth, list(turn) OVER (PARTITION BY c ORDER BY depth) AS key,
+             len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM d
+      UNION ALL SELECT c, 0, [], 0 FROM v),
+n AS (SELECT key, depth, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM k GROUP BY key, depth),
+u AS (SELECT n.key, p.key AS parent, q.conv_id AS parent_conv_id
+      FROM n JOIN k p ON p.c = n.conv_id AND p.depth = n.depth - 1 JOIN n q ON q.key = p.key),
+f AS (SELECT parent AS key, count(*) AS n_children FROM u GROUP BY parent),
+s AS (SELECT a.key, sum(CASE WHEN f.key IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+      FROM n LEFT JOIN f USING (key) JOIN k a ON a.c = n.conv_id AND a.depth <= n.depth GROUP BY a.key),
+e AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(key, depth) AS key FROM k GROUP BY c) GROUP BY key)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN u USING (key) LEFT JOIN f USING (key) LEFT JOIN s USING (key) LEFT JOIN e USING (key)"""
+
+SQL = {"op11_filter_audit": _AUDIT, "op13_prefix_trie": _TRIE, "op5_quality_rules": _QUALITY, "op8_warc": _WARC, "op10_ngram_jaccard_join": _JACCARD}
