@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import (
-    filter_audit, html_text, jaccard_join, mixing, packing, prefix_trie, quality_model, quality_rules, substring_dedup, token_rollup, vector_search, warc,
+    filter_audit, html_text, jaccard_join, mixing, packing, prefix_trie, quality_model, quality_rules, secret_scan,
+    substring_dedup, token_rollup, vector_search, warc,
 )
 from rowloom.llm.common import table, words_of
 from rowloom.llm.tokens import token_count
@@ -130,6 +131,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -139,7 +144,7 @@ QUERIES = {
     for f in (
         op1_best_fit_packing, op2_substring_dedup, op3_source_mixing, op4_html_extraction, op5_quality_rules,
         op6_quality_classifier, op7_nearest_neighbours, op8_warc, op9_token_counts, op10_ngram_jaccard_join,
-        op11_filter_audit, op13_prefix_trie,
+        op11_filter_audit, op12_secret_scan, op13_prefix_trie,
     )
 }
 
