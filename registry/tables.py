@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from registry.common import WS, table
 from rowloom.operators.headers import detect_header_rows, promote_headers
 from rowloom.session import new_folder
-from rowloom.sources.detect import detect_formats, encoding_of
+from rowloom.sources.detect import detect_formats, encoding_of, guess_encoding
 from rowloom.sources.documents import documents
 from rowloom.sources.sinks import save_column, save_table
 from rowloom.sources.tables import load_table, read_delimited, read_json, read_ragged
@@ -103,6 +103,57 @@ def delimiter_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_formats(files)
 
 
+def encoding_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in four charsets, with how sure the guess is."""
+    key, text = F.col("doc_id"), F.col("text")
+    # What lies beyond ISO-8859-1 becomes a question mark.
+    latin = F.encode(F.regexp_replace(text, r"[^\x00-\xff]", "?"), "ISO-8859-1")
+    content = (
+        F.when(key % 4 == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))).when(key % 4 == 2, latin)
+        .when(key % 4 == 3, F.concat(F.unhex(F.lit("93")), latin, F.unhex(F.lit("94"))))
+        .otherwise(F.encode(text, "UTF-8"))
+    )
+    found = table(spark, sf_dir, "documents").select("doc_id", guess_encoding(content).alias("found"))
+    return found.select("doc_id", "found.encoding", F.round("found.confidence", 6).alias("confidence"))
+
+
+def long_cell_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as quoted cells of one line each."""
+    path = new_folder(spark, "long-cells")
+    flat = F.regexp_replace("text", r"[\r\n]+", " ")
+    table(spark, sf_dir, "documents").select("doc_id", flat).write.options(quoteAll="true", escape='"').csv(path)
+    return load_table(spark, path).toDF("doc_id", "text")
+
+
+def mixed_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain files, files with quoted line ends, and one in which a quote is never closed."""
+    path = new_folder(spark, "mixed")
+    table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").write.csv(f"{path}/a")
+    broken = F.concat("c_name", F.lit('\nsays "'), "c_mktsegment", F.lit('", twice'))
+    table(spark, sf_dir, "customer").select("c_custkey", broken).write.options(escape='"').csv(f"{path}/b")
+    first = F.when(F.col("s_suppkey") == 1, F.lit('"')).otherwise(F.lit(""))
+    table(spark, sf_dir, "supplier").select(F.concat("s_suppkey", F.lit(","), first, "s_name")).write.text(f"{path}/c")
+    return load_table(spark, f"{path}/[abc]").toDF("key", "name", "brand")
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents saved in three parts with a header each, and loaded with one."""
+    path = save_table(table(spark, sf_dir, "documents").repartition(3, "doc_id"), new_folder(spark, "round-trip") + ".csv")
+    back = load_table(spark, path, row_id=True).toDF("row_id", "doc_id", "text", "lang", "source", "n_chars")
+    return back.select((F.col("row_id") == 0).alias("is_header"), "doc_id", "text", "lang", "source", "n_chars")
+
+
+def header_promote_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small file with the header in front of larger ones."""
+    path = new_folder(spark, "header-files")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("string"))
+    titles = spark.createDataFrame([("Key,Priority,Total",), ("number,,in money",)], "value string").coalesce(1)
+    titles.write.text(f"{path}/a")
+    orders.write.csv(f"{path}/b")
+    promoted = promote_headers(load_table(spark, f"{path}/[ab]", row_id=True), infer=True)
+    return promoted.select(F.col("row_id") > 1, *promoted.columns[1:]).toDF("behind_header", *promoted.columns[1:])
+
+
 def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under different extensions; every third one in ISO-8859-1."""
     key = F.col("doc_id")
@@ -172,6 +223,11 @@ QUERIES = {
     "ragged_scan": ragged_scan,
     "encoding_detect": encoding_detect,
     "delimiter_detect": delimiter_detect,
+    "encoding_guess": encoding_guess,
+    "long_cell_scan": long_cell_scan,
+    "mixed_folder_scan": mixed_folder_scan,
+    "csv_round_trip": csv_round_trip,
+    "header_promote_files": header_promote_files,
     "document_scan": document_scan,
     "csv_sink": csv_sink,
     "parquet_sink": parquet_sink,
@@ -228,6 +284,26 @@ SQL = {
                CASE WHEN doc_id % 4 < 3
                     THEN trim(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {WS}) END AS text
         FROM files""",
+    "encoding_guess": """
+        WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^\\x{80}-\\x{ff}]', '', 'g')) AS high,
+                          length(regexp_replace(text, '[^\\x{a0}-\\x{bf}\\x{d7}\\x{f7}]', '', 'g')) AS odd FROM documents)
+        SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'utf-16' WHEN doc_id % 4 = 0 OR doc_id % 4 = 2 AND high = 0 THEN 'utf-8'
+                            WHEN doc_id % 4 = 3 AND (high + 2 - odd) / (high + 2) >= 0.7 THEN 'windows-1252' ELSE 'iso-8859-1' END AS encoding,
+               CAST(round(CASE WHEN doc_id % 4 < 2 OR doc_id % 4 = 2 AND high = 0 THEN 1
+                               WHEN doc_id % 4 = 2 THEN (high - odd) / high ELSE (high + 2 - odd) / (high + 2) END, 6) AS DOUBLE) AS confidence
+        FROM c""",
+    "long_cell_scan": r"""
+        SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM documents""",
+    "mixed_folder_scan": """
+        SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name, p_brand AS brand FROM part
+        UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name || chr(10) || 'says "' || c_mktsegment || '", twice', NULL FROM customer
+        UNION ALL SELECT CAST(s_suppkey AS VARCHAR), CASE s_suppkey WHEN 1 THEN '"' ELSE '' END || s_name, NULL FROM supplier""",
+    "csv_round_trip": """
+        SELECT false AS is_header, CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents
+        UNION ALL SELECT true, 'doc_id', 'text', 'lang', 'source', 'n_chars'""",
+    "header_promote_files": """
+        SELECT true AS behind_header, o_orderkey AS "[A] Key - number", o_orderpriority AS "[B] Priority",
+               o_totalprice AS "[C] Total - in money" FROM orders""",
     "csv_sink": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "parquet_sink": "SELECT * FROM orders",
     "json_sink": """

@@ -1,18 +1,20 @@
-"""Encoding and delimiter of text files, as expressions over ``(path, content)`` rows.
+"""Encoding and delimiter of text files.
 
-``spark.read.format("binaryFile")`` gives such rows for any number of files. For one large
-file ``head_of`` gives a row with its first bytes only.
+``detect_formats`` works on ``(path, content)`` rows, as ``spark.read.format("binaryFile")`` gives them; ``file_formats`` looks at files of any
+size and number by two scans of their lines, in tasks, and gives a row per file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Bytes of a file's head, lines looked at, delimiters in the order that settles ties.
 HEAD_BYTES = 1 << 20
-#: Files up to this size are looked at whole, by the tasks; of larger ones the driver reads heads, so many at a time.
-WHOLE_BYTES, HEADS = 32 << 20, 32
+#: Files with a byte order mark are decoded whole up to this size; in larger ones delimiters are counted as code units.
+WHOLE_BYTES = 32 << 20
+#: A guess that is less sure gives way to the charset in which all bytes are valid.
+CONFIDENCE = 0.7
 SAMPLE_LINES = 5
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -24,12 +26,9 @@ _CHUNK_LINES = r"\r\n|\n|\r"
 
 def encoding_of(content: Column) -> Column:
     """utf-32 or utf-16 by byte order mark, utf-8 if the whole content is valid, else iso-8859-1."""
-    head = F.hex(F.substring(content, 1, 4))
+    marked = _marked(F.hex(F.substring(content, 1, 4)))
     valid = F.is_valid_utf8(content.cast("string"))
-    out = F.when(head.startswith(_MARKS[0][0]), F.lit(_MARKS[0][1]))
-    for mark, name in _MARKS[1:]:
-        out = out.when(head.startswith(mark), F.lit(name))
-    return out.when(valid, F.lit("utf-8")).otherwise(F.lit("iso-8859-1"))
+    return F.when(marked.isNotNull(), marked).when(valid, F.lit("utf-8")).otherwise(F.lit("iso-8859-1"))
 
 
 def decode_text(content: Column, encoding: Column) -> Column:
@@ -47,11 +46,58 @@ def delimiter_of(text: Column) -> Column:
     lines = F.slice(F.split(text, _CHUNK_LINES, SAMPLE_LINES + 1), 1, SAMPLE_LINES)
     sample = F.array_join(lines, "\n")
     counts = [F.length(sample) - F.length(F.replace(sample, F.lit(d), F.lit(""))) for d in DELIMITERS]
-    best = F.greatest(*counts)
-    out = F.when(best <= 0, F.lit(DELIMITERS[0]))
-    for delimiter, count in zip(DELIMITERS, counts):
-        out = out.when(count == best, F.lit(delimiter))
-    return F.coalesce(out, F.lit(DELIMITERS[0]))
+    return _most_seen(counts)
+
+
+def _share_of_text(text: Column) -> tuple[Column, Column, Column]:
+    """Of content read as ISO-8859-1: characters above ASCII, those from 80 to 9F, and those that windows-1252 has no letter or mark for."""
+
+    def count(pattern: str) -> Column:
+        return F.length(F.regexp_replace(text, f"[^{pattern}]+", "")).cast("long")
+
+    return count(r"\x80-\xff"), count(r"\x80-\x9f"), count(r"\x81\x8d\x8f\x90\x9d\xa0-\xbf\xd7\xf7")
+
+
+def _guess(marked: Column, valid: Column, high: Column, control: Column, odd: Column, undefined: Column) -> Column:
+    """``encoding`` and ``confidence`` from a mark, validity as UTF-8, and counts over the bytes that are not ASCII.
+
+    In a single-byte charset most of them are letters, or the quotes and dashes that windows-1252 has in place of control
+    characters; the confidence is their share.
+    """
+    sure = F.try_divide((high - odd).cast("double"), high)
+    western = F.when((control > 0) & (undefined == 0), F.lit("windows-1252")).otherwise(F.lit("iso-8859-1"))
+    found = F.when(marked.isNotNull(), marked).when(valid, F.lit("utf-8"))
+    return F.struct(
+        found.when(sure >= CONFIDENCE, western).otherwise(F.lit("iso-8859-1")).alias("encoding"),
+        F.when(marked.isNotNull() | valid, F.lit(1.0)).otherwise(F.coalesce(sure, F.lit(0.0))).alias("confidence"),
+    )
+
+
+def _marked(head: Column) -> Column:
+    """The charset of a byte order mark, or null."""
+    out = F.when(head.startswith(_MARKS[0][0]), F.lit(_MARKS[0][1]))
+    for mark, name in _MARKS[1:]:
+        out = out.when(head.startswith(mark), F.lit(name))
+    return out
+
+
+def guess_encoding(content: Column) -> Column:
+    """``encoding`` and ``confidence`` of a file's content.
+
+    A byte order mark or validity as UTF-8 is certain. Else it is windows-1252 where bytes from 80 to 9F occur and all are defined, or
+    ISO-8859-1, as far as the bytes above ASCII read as letters and marks; with a confidence under ``CONFIDENCE`` it is ISO-8859-1.
+    """
+    text = F.decode(content, "ISO-8859-1")
+    high, control, odd = _share_of_text(text)
+    undefined = F.length(F.regexp_replace(text, r"[^\x81\x8d\x8f\x90\x9d]+", ""))
+    return _guess(_marked(F.hex(F.substring(content, 1, 4))), F.is_valid_utf8(content.cast("string")), high, control, odd, undefined)
+
+
+def from_latin(text: Column) -> Column:
+    """Text of windows-1252 that was read as ISO-8859-1."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    given, wanted = zip(*[pair for pair in pairs if pair[1]])
+    return F.translate(text, "".join(given), "".join(wanted))
 
 
 def detect_formats(files: DataFrame) -> DataFrame:
@@ -72,35 +118,75 @@ def _whole_characters(content: bytes) -> bytes:
     return content[: len(content) // 4 * 4]
 
 
-def file_formats(spark: SparkSession, path: str, *more: Column) -> list[Row]:
-    """``(path, partitioned, encoding, delimiter)`` of every file with content, and ``more`` columns made from its ``content``.
+def file_formats(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, partitioned, encoding, confidence, delimiter, first_line)`` of every file with content.
 
-    The encoding follows from all of a file's content, the rest from its head.
+    The encoding follows from all lines of a file, the delimiter from the first five, ``first_line`` is the first that is not blank. All
+    comes from scans by tasks; their number, and that of the jobs, does not depend on how many files there are.
     """
     files = spark.read.format("binaryFile").load(path)
     own = {"path", "modificationTime", "length", "content"}
     partitioned = F.lit(any(c not in own for c in files.columns)).alias("partitioned")
-    files = files.where(F.col("length") > 0).select("path", "length", "content", F.col("_metadata.file_path").alias("name"))
-    small = files.where(F.col("length") <= WHOLE_BYTES).select("path", "content")
-    head = F.substring("content", 1, HEAD_BYTES)
-    looked = small.withColumn("encoding", encoding_of(F.col("content"))).withColumn("content", head)
-    text = decode_text(F.col("content"), F.col("encoding"))
-    out = looked.select("path", partitioned, "encoding", delimiter_of(text).alias("delimiter"), *more).collect()
-    large = {r["name"]: r["path"] for r in files.where(F.col("length") > WHOLE_BYTES).select("name", "path").collect()}
-    if large:
-        # Line ends are single bytes that are part of no other character, so lines are valid where the whole is.
-        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("name"), F.is_valid_utf8("value").alias("valid"))
-        valid = {r["name"]: r["valid"] for r in lines.groupBy("name").agg(F.every("valid").alias("valid")).collect()}
-        names = sorted(large)
-        for first in range(0, len(names), HEADS):
-            some = names[first : first + HEADS]
-            heads = [(large[n], valid.get(n, True), bytearray(_head(spark, large[n]))) for n in some]
-            rows = spark.createDataFrame(heads, "path string, valid boolean, content binary")
-            marked = encoding_of(F.col("content"))
-            plain = F.when(F.col("valid"), F.lit("utf-8")).otherwise(F.lit("iso-8859-1"))
-            rows = rows.withColumn("encoding", F.when(marked.isin("utf-16", "utf-32"), marked).otherwise(plain))
-            out += rows.select("path", partitioned, "encoding", delimiter_of(text).alias("delimiter"), *more).collect()
-    return sorted(out, key=lambda r: r["path"])
+    files = files.where(F.col("length") > 0).select("path", "length", F.col("_metadata.file_path").alias("name"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("name"), (F.col("_metadata.file_block_start") == 0).alias("at_start"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"),
+    )
+    return (
+        files.join(_line_facts(lines), "name").join(_delimiter_counts(lines), "name", "left")
+        .select(
+            "path", partitioned, "found.encoding", "found.confidence",
+            F.coalesce("delimiter", F.lit(DELIMITERS[0])).alias("delimiter"), "first_line",
+        )
+    )
+
+
+def _line_facts(lines: DataFrame) -> DataFrame:
+    """Per file: the guess of its encoding, and its first line that is not blank."""
+    valid = F.is_valid_utf8("line")
+    latin = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
+    high, control, odd = _share_of_text(latin)
+    undefined = F.length(F.regexp_replace(latin, r"[^\x81\x8d\x8f\x90\x9d]+", "")).cast("long")
+    counted = lines.select(
+        "name", "at", "at_start", "line", valid.alias("valid"),
+        # Lines that are UTF-8 say nothing about a charset of single bytes.
+        *[F.when(~valid, c).otherwise(0).cast("long").alias(n) for c, n in ((high, "high"), (control, "control"), (odd, "odd"), (undefined, "undefined"))],
+    )
+    head = F.hex(F.substring(F.col("line").cast("binary"), 1, 4))
+    filled = F.col("at_start") & (F.length(F.trim(F.regexp_replace("line", r"[\t\r]", " "))) > 0)
+    facts = counted.groupBy("name").agg(
+        F.min_by(head, F.when(F.col("at_start"), F.col("at"))).alias("head"), F.every("valid").alias("valid"),
+        *[F.sum(c).alias(c) for c in ("high", "control", "odd", "undefined")],
+        F.min_by("line", F.when(filled, F.col("at"))).alias("first_line"),
+    )
+    found = _guess(_marked(F.col("head")), F.col("valid"), *[F.col(c) for c in ("high", "control", "odd", "undefined")])
+    return facts.select("name", found.alias("found"), "first_line")
+
+
+def _most_seen(counts: list[Column]) -> Column:
+    best = F.greatest(*counts)
+    out = F.when(best <= 0, F.lit(DELIMITERS[0]))
+    for delimiter, count in zip(DELIMITERS, counts):
+        out = out.when(count == best, F.lit(delimiter))
+    return F.coalesce(out, F.lit(DELIMITERS[0]))
+
+
+def _delimiter_counts(lines: DataFrame) -> DataFrame:
+    """Per file: the delimiter seen most often in its first lines. Only counts of each line are sorted, and few rows a file leave a task."""
+    line = F.col("line")
+    # All delimiters are one byte in every charset without a mark; with one, a line end leaves zero bytes behind that are no line.
+    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(d), F.lit("")))).alias(f"n{i}") for i, d in enumerate(DELIMITERS)]
+    first = Window.partitionBy("name").orderBy("at")
+    seen = lines.where(F.col("at_start") & ~F.col("line").rlike(r"^\x00{1,3}$")).select("name", "at", *counts).withColumn("row", F.row_number().over(first))
+    seen = seen.where(F.col("row") <= SAMPLE_LINES).groupBy("name").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(DELIMITERS))])
+    return seen.select("name", _most_seen([F.col(f"n{i}") for i in range(len(DELIMITERS))]).alias("delimiter"))
+
+
+def decoded_delimiters(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, delimiter)`` of files with a byte order mark, found in their decoded text; larger files are left out."""
+    whole = spark.read.format("binaryFile").load(paths).where(F.col("length") <= WHOLE_BYTES)
+    text = decode_text(F.substring("content", 1, HEAD_BYTES), _marked(F.hex(F.substring("content", 1, 4))))
+    return whole.select("path", delimiter_of(text).alias("delimiter"))
 
 
 def _head(spark: SparkSession, path: str) -> bytes:

@@ -76,6 +76,83 @@ def test_formats_are_found_for_each_file(spark, tmp_path, monkeypatch, whole):
     assert got == {("1", 1, None), ("2", None, None), ("t", None, "é"), ("u", None, None)}
 
 
+def test_two_megabytes_in_one_quoted_cell(spark, tmp_path):
+    long = 'x""' * 700_000
+    path = put(tmp_path, "long.csv", f'a,"{long}",1\nb,"{"y" * 2_000}",2\n')
+    got = cells(load_table(spark, path))
+    assert got == [("a", 'x"' * 700_000, "1"), ("b", "y" * 2_000, "2")]
+
+
+def test_files_are_read_by_what_their_quotes_say(spark, tmp_path):
+    """A plain file, one with quoted line ends, one whose quote is never closed, one with quotes inside of cells: no cell is lost."""
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    put(folder, "a.csv", "1,plain\n2,two,more\n")
+    put(folder, "b.csv", '3,"line\nend, and ""quotes"""\n4,x\n')
+    put(folder, "c.csv", '5,"never closed\n6,y\n')
+    put(folder, "d.csv", '7,a 5" pipe\n8,and 7" more\n')
+    got = sorted(cells(load_table(spark, str(folder), row_id=True)))
+    assert got == [
+        (0, "1", "plain", None), (1, "2", "two", "more"), (2, "3", 'line\nend, and "quotes"', None), (3, "4", "x", None),
+        (4, "5", '"never closed', None), (5, "6", "y", None), (6, "7", 'a 5" pipe', None), (7, "8", 'and 7" more', None),
+    ]
+    one = load_table(spark, str(folder / "c.csv"))
+    assert one.columns == ["column_0", "column_1"] and cells(one) == [("5", '"never closed'), ("6", "y")]
+
+
+def test_what_was_saved_comes_back(spark, tmp_path):
+    rows = [(i, f'x{i}\n"{i}", z' if i % 3 else None, "" if i % 2 else "NA?") for i in range(100)]
+    df = spark.createDataFrame(rows, "`a,b` int, b string, c string").repartition(3, "a,b")
+    path = save_table(df, str(tmp_path / "saved.csv"))
+    back = load_table(spark, path, row_id=True)
+    got = [tuple(r)[1:] for r in back.orderBy("row_id").collect()]
+    assert got[0] == ("a,b", "b", "c") and len(got) == 101
+    assert {g[0]: g for g in got[1:]} == {str(a): (str(a), b, c or None) for a, b, c in rows}
+    promoted = promote_headers(back)
+    assert promoted.count() == 100 and promoted.columns[1] == "[A] a,b"
+
+
+def test_rows_are_numbered_in_the_order_of_the_files(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "order.csv"
+    folder.mkdir()
+    put(folder, "a.csv", "key,value\n")
+    put(folder, "b.csv", "".join(f"{i},row{i}\n" for i in range(30_000)))
+    put(folder, "c.csv", "last,one\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = load_table(spark, str(folder), row_id=True).orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["row_id"] for r in got] == list(range(30_002))
+    assert tuple(got[0])[1:] == ("key", "value") and tuple(got[-1])[1:] == ("last", "one")
+    assert [r["_c0"] for r in got[1:-1]] == [str(i) for i in range(30_000)]
+
+
+def test_windows_1252_is_told_from_latin(spark, tmp_path):
+    text = "“größe”;€ 5 – é\n1;2\n"
+    path = put(tmp_path, "west.csv", text.encode("cp1252"))
+    assert cells(load_table(spark, path)) == [("“größe”", "€ 5 – é"), ("1", "2")]
+
+
+def test_jobs_do_not_grow_with_the_number_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(detect, "WHOLE_BYTES", 0)
+
+    def jobs(n):
+        folder = tmp_path / f"many{n}.csv"
+        folder.mkdir()
+        for i in range(n):
+            put(folder, f"f{i}.csv", f"é{i};x\n".encode("latin-1") if i % 2 else f"é{i},x\n")
+        group = f"jobs-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert load_table(spark, str(folder)).count() == n
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        return found
+
+    few = jobs(4)
+    assert jobs(200) <= few + 4
+
+
 def test_the_head_of_a_file_is_bounded(spark, tmp_path):
     path = put(tmp_path, "one.json", "[" + '{"a": 1}, ' * 400_000 + '{"a": 2}]')
     assert len(head_of(spark, path).first()["content"]) <= 1 << 20
