@@ -1,15 +1,15 @@
 """Best-fit packing of documents into sequences, in bulk-synchronous rounds.
 
-Documents become pieces of at most ``capacity`` tokens. Pieces are placed from long to short, one band of
-lengths (half to whole of a power of two) after the other, and every round of a band does the same:
-pieces and the gaps of open sequences are range-sorted by size; a sweep from large to small gives each piece
-the smallest gap that holds it (its successor in the sorted order); of pieces that want the same gap, the
-one of higher rank gets it and the others sweep on; then the gaps are updated. Pieces that no gap takes open
-as many new sequences as their tokens need beside the room that is left, the longest first. The band is done when nothing is left.
+Documents become pieces of at most ``capacity`` tokens. Pieces are placed from long to short, one band of lengths after the other,
+and every round of a band does the same. Pieces and the gaps of open sequences are range-sorted by size. Each range
+is swept from large to small by a task of its own: a piece takes the smallest gap that holds it (its successor in the sorted
+order), pieces of higher rank first, and the gap goes on with what is left of it. Pieces that find nothing in their range sweep on over the
+ranges of larger gaps: the gaps that ranges leave over form a stack, each range takes off it as many as its pieces
+want, and ranks tell which piece meets which gap. Gaps are updated, and the round is repeated with what is left; when few
+pieces meet a gap any more, the others open sequences, each range for its own, and the band is done.
 
-The sweep works on the runs of equal sizes in the sorted order, of which there are at most 2 * ``capacity``, so its
-input has a fixed bound; ranks within a run come from counts per range partition, so a run that holds a third of
-all rows is spread over many tasks. Pieces and gaps meet in a join on the number of their match.
+A task holds about ``SORT_ROWS`` rows, also of a length that a third of all rows has, since rows of one length are sorted by
+their number. The driver sees a number per length and two numbers per range.
 
 Defined results: a null text is an empty one and gives one piece that holds the end id alone. Rows with equal
 doc_id are documents of their own. Only documents longer than ``capacity`` are cut; the first piece takes
@@ -20,26 +20,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import columns
 from rowloom.llm.tokens import worker_encoder
-from rowloom.session import new_folder, written
+from rowloom.session import written
 
 CAPACITY = 1024
 END_ID = 2
 #: Rows per task when pieces and gaps are sorted.
-SORT_ROWS = 250_000
+SORT_ROWS = 100_000
 
-#: So many pieces open sequences of their own rather than wait for another round.
-FEW = 16
-
-_SLOT, _PIECE, _PARKED = 0, 1, 2
+_GAP, _PIECE, _PLACED = 0, 1, 2
+_SWEPT = "kind int, size long, id long, sequence long, part int, at long, slots long"
 
 
 def pieces(
@@ -83,197 +81,215 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     A sequence is named after the piece that opened it.
     """
     found = written(found.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
-    spark = found.sparkSession
     sizes = dict(found.groupBy("length").count().collect())  # at most ``capacity`` rows
     if any(not 1 <= size <= capacity for size in sizes):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
-    folder = new_folder(spark, "placed")
-    _place(found, sizes, capacity, folder)
-    placed = spark.read.schema("_uid long, sequence_id long, turn int").parquet(folder) if sizes else None
-    whole = found.where(F.col("length") == capacity).select("_uid", F.col("_uid").alias("sequence_id"), F.lit(0).alias("turn"))
-    placed = whole.unionByName(placed) if placed is not None else whole
+    whole = found.where(F.col("length") == capacity).select("_uid", F.col("_uid").alias("sequence_id"))
+    placed = reduce(DataFrame.unionByName, _place(found, sizes, capacity), whole)
     joined = found.join(placed, "_uid")
     # Pieces are at least one token long, so a sequence holds at most ``capacity`` of them.
-    before = Window.partitionBy("sequence_id").orderBy("turn", "_uid").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("sequence_id").orderBy("_uid").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
     return joined.withColumn("offset", offset).select(
         *[c for c in found.columns if c != "_uid"], "sequence_id", "offset"
     )
 
 
-def _place(found: DataFrame, sizes: dict[int, int], capacity: int, folder: str) -> None:
-    """Writes ``(_uid, sequence_id)`` of all pieces shorter than ``capacity``, one folder a round."""
-    spark = found.sparkSession
-    shapes = "kind int, size long, id long, sequence long, at int, rank long"
-    gaps = spark.createDataFrame([], "sequence long, room long")
-    n_gaps, turn, high = 0, 0, capacity - 1
-    spark.createDataFrame([], "_uid long, sequence_id long").write.parquet(f"{folder}/turn=0")
-    while high >= 1:
-        low = capacity // 2 if high == capacity - 1 else high // (2 if high > 32 else 4)
-        n_left = sum(n for size, n in sizes.items() if low < size <= high)
-        most = max((size for size in sizes if low < size <= high), default=high)
-        left = found.where((F.col("length") > low) & (F.col("length") <= high)).select(
-            F.col("length").alias("size"), F.col("_uid").alias("id")
+def _place(found: DataFrame, sizes: dict[int, int], capacity: int) -> list[DataFrame]:
+    """Tables of ``(_uid, sequence_id)`` that together hold all pieces shorter than ``capacity`` once."""
+    pieces_left = {size: n for size, n in sizes.items() if size < capacity}
+    gaps, room_left, placed = None, {}, []
+    while pieces_left:
+        high = max(pieces_left)
+        low = _low(pieces_left, room_left, capacity)
+        band = {size: n for size, n in pieces_left.items() if size > low}
+        waiting = found.where((F.col("length") > low) & (F.col("length") <= high)).select(
+            F.lit(_PIECE).alias("kind"), F.col("length").cast("long").alias("size"), F.col("_uid").alias("id")
         )
-        while n_left:
-            turn += 1
-            # No more slots than gaps and twice the pieces that are left.
-            state = _state(left, gaps, low, most, max(1, -(-2 * n_left // max(1, n_gaps))))
-            tasks = max(1, -(-(n_left + n_gaps) // SORT_ROWS))
-            path = new_folder(spark, "sorted")
-            # Range-sorted by size; the place in its run of every row is its rank.
-            # Never more tasks than the rows need, also where a session deals keys to more partitions.
-            ranges = state.repartitionByRange(tasks, "kind", "size", "id").coalesce(tasks)
-            ranges.sortWithinPartitions("kind", "size", "id").mapInPandas(_ranked, shapes).write.parquet(path)
-            ranked = spark.read.schema(shapes).parquet(path)
-            # A partition holds a stretch of the sorted order, so this is one row for each partition and run.
-            runs = ranked.where(F.col("kind") != _PARKED).groupBy("kind", "size", "at").count().collect()
-            starts, totals = _run_starts(runs)
-            matches, rest = sweep(totals[_SLOT], totals[_PIECE])
-            matched = sum(m[4] for m in matches)
-            usable = sum(n * (slot - size) for size, _, slot, _, n in matches if slot - size > low)
-            opened = _openers(rest, capacity, usable if matched else 0)
-            numbered = ranked.mapInPandas(
-                _numbered(starts, matches, opened, totals[_PIECE], rest),
-                shapes + ", number long, opens boolean",
-            )
-            numbered = written(numbered, "numbered")
-            taken = numbered.where((F.col("kind") == _PIECE) & (F.col("number") >= 0)).select(
-                "number", F.col("id").alias("_uid"), F.col("size").alias("taken")
-            )
-            slots = numbered.where(F.col("kind") == _SLOT)
-            opening = numbered.where(F.col("opens"))
-            both = written(
-                slots.select("sequence", "size", "number").join(taken, "number", "left"), "matched"
-            )
-            pairs = both.where(F.col("_uid").isNotNull()).select("_uid", F.col("sequence").alias("sequence_id"))
-            pairs.unionByName(opening.select(F.col("id").alias("_uid"), F.col("id").alias("sequence_id"))).write.parquet(
-                f"{folder}/turn={turn}"
-            )
-            gaps = (
-                both.groupBy("sequence").agg(F.sum(F.col("size") - F.coalesce("taken", F.lit(0))).alias("room"))
-                .unionByName(numbered.where(F.col("kind") == _PARKED).select("sequence", F.col("size").alias("room")))
-                .unionByName(opening.select(F.col("id").alias("sequence"), (capacity - F.col("size")).alias("room")))
-                .where(F.col("room") > 0)
-            )
-            left = numbered.where((F.col("kind") == _PIECE) & (F.col("number") < 0) & ~F.col("opens")).select("size", "id")
-            n_opened = sum(opened.values())
-            n_left -= matched + n_opened
-            n_gaps += n_opened
-        high = low
-
-
-def _state(left: DataFrame, gaps: DataFrame, low: int, high: int, most: int) -> DataFrame:
-    """Pieces and slots of a round. A wide gap is offered as several slots that each hold any piece of the band."""
-    wide = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("room") / high)))
-    offered = gaps.where(F.col("room") > low).select(
-        "sequence", "room", F.explode(F.sequence(F.lit(1), wide.cast("int"))).alias("part"), wide.alias("parts")
-    )
-    size = F.when(F.col("part") < F.col("parts"), F.lit(high)).otherwise(F.col("room") - high * (F.col("parts") - 1))
-    slots = offered.select(
-        F.lit(_SLOT).alias("kind"), size.cast("long").alias("size"),
-        (F.col("sequence") * F.lit(2048) + F.col("part")).alias("id"), "sequence",
-    )
-    parked = gaps.where(F.col("room") <= low).select(
-        F.lit(_PARKED).alias("kind"), F.col("room").cast("long").alias("size"), F.col("sequence").alias("id"), "sequence"
-    )
-    rows = left.select(F.lit(_PIECE).alias("kind"), F.col("size").cast("long").alias("size"), "id", F.lit(None).cast("long").alias("sequence"))
-    return rows.unionByName(slots).unionByName(parked)
+        n_waiting, few_met = sum(band.values()), False
+        while n_waiting:
+            n_gaps = sum(n for room, n in room_left.items() if room > low)
+            tasks = -(-(n_waiting + n_gaps) // SORT_ROWS)
+            # Where gaps may lie in another range, pieces first look there before they open sequences.
+            opens = tasks == 1 or not n_gaps or few_met
+            active = waiting if gaps is None else waiting.unionByName(gaps.where(F.col("size") > low))
+            # By size from large to small, a gap before the pieces that just fill it. Never more tasks than the rows need,
+            # also where a session deals keys to more partitions.
+            order = [F.col("size").desc(), F.col("kind").asc(), F.col("id").asc()]
+            ranges = active.repartitionByRange(tasks, *order).coalesce(tasks).sortWithinPartitions(*order)
+            swept = ranges.mapInArrow(_sweep_task(capacity, high, opens), _SWEPT)
+            if gaps is not None:
+                parked = gaps.where(F.col("size") <= low).select(F.lit(_GAP).alias("kind"), "size", "id")
+                swept = swept.unionByName(parked, allowMissingColumns=True)
+            swept = written(swept, "swept")
+            placed.append(swept.where(F.col("kind") == _PLACED).select(F.col("id").alias("_uid"), F.col("sequence").alias("sequence_id")))
+            waiting = swept.where(F.col("kind") == _PIECE)
+            gaps = swept.where(F.col("kind") == _GAP)
+            ends = {} if opens else _summaries(swept)
+            n_waiting, n_met = sum(p for p, _ in ends.values()), 0
+            if n_waiting and any(slots for _, slots in ends.values()):
+                depths, n_met = depths_of(ends)
+                if n_met:
+                    met, waiting, gaps = _meet(waiting, gaps, depths)
+                    placed.append(met)
+            few_met = n_met < n_waiting / 8
+            n_waiting -= n_met
+            waiting, gaps = waiting.select("kind", "size", "id"), gaps.select("kind", "size", "id")
+            # Rooms are whole numbers below ``capacity``.
+            room_left = dict(gaps.groupBy("size").count().collect())
+        pieces_left = {size: n for size, n in pieces_left.items() if size <= low}
+    return placed
+
+
+def _low(pieces_left: dict[int, int], room_left: dict[int, int], capacity: int) -> int:
+    """The band of pieces above it goes next: from half of the longest on, or all that one task sorts."""
+    if sum(pieces_left.values()) + sum(room_left.values()) <= SORT_ROWS:
+        return 0
+    return min(max(pieces_left) - 1, capacity // 2 if max(pieces_left) > capacity // 2 else max(pieces_left) // 2)
+
+
+def sweep(
+    pieces_by_size: dict[int, np.ndarray], gaps_by_room: dict[int, np.ndarray], capacity: int, opens: bool
+) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Best fit from large to small over arrays of ids: each piece takes the smallest gap that holds it.
+
+    What is left of a gap is a gap again at once; a gap takes as many pieces of one size as it holds, and of pieces that want the same
+    gap those of higher rank get it. With ``opens`` pieces that no gap holds open sequences, named after the first of
+    them. Gives the placed ``(pieces, sequences)``, and the pieces and gaps that are left.
+    """
+    free: dict[int, list[np.ndarray]] = {room: [ids] for room, ids in gaps_by_room.items()}
+    count = np.zeros(capacity + 1, np.int64)
+    for room, ids in gaps_by_room.items():
+        count[room] = len(ids)
+    placed, left = [], {}
+
+    def put(room: int, ids: np.ndarray) -> None:
+        if room and len(ids):
+            free.setdefault(room, []).append(ids)
+            count[room] += len(ids)
+
+    def take(room: int, n: int) -> np.ndarray:
+        held = np.concatenate(free.pop(room)) if len(free[room]) > 1 else free.pop(room)[0]
+        if n < len(held):
+            free[room] = [held[n:]]
+        count[room] -= n
+        return held[:n]
+
+    for size in sorted(pieces_by_size, reverse=True):
+        ids = pieces_by_size[size]
+        while len(ids):
+            fits = np.flatnonzero(count[size:])
+            if len(fits):
+                room = int(fits[0]) + size
+                each = room // size
+                sequences = take(room, min(int(count[room]), -(-len(ids) // each)))
+            elif opens:
+                room, each = capacity, capacity // size
+                sequences = ids[::each]
+            else:
+                left[size] = ids
+                break
+            n = min(len(ids), len(sequences) * each)
+            placed.append((ids[:n], np.repeat(sequences, each)[:n]))
+            full, rest = divmod(n, each)
+            put(room - each * size, sequences[:full])
+            put(room - rest * size, sequences[full : full + 1] if rest else sequences[:0])
+            ids = ids[n:]
+    return placed, left, {room: np.concatenate(parts) for room, parts in free.items()}
+
+
+def _sweep_task(capacity: int, high: int, opens: bool):
+    """The sweep over one range of the sorted order; its leftovers are numbered for the sweep over all ranges."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        # ``SORT_ROWS`` rows, more or less.
+        kind, size, ids = (np.concatenate([batch.column(c).to_numpy() for batch in held]) for c in ("kind", "size", "id"))
+
+        def by_size(which: int) -> dict[int, np.ndarray]:
+            own = np.flatnonzero(kind == which)
+            starts = np.flatnonzero(np.diff(size[own], prepend=-1))
+            return {int(size[own[s]]): part for s, part in zip(starts, np.split(ids[own], starts[1:]))}
+
+        placed, left, free = sweep(by_size(_PIECE), by_size(_GAP), capacity, opens)
+        task, smallest = TaskContext.get().partitionId(), int(size.min())
+
+        def rows(what: int, sizes: np.ndarray, own: np.ndarray, sequence=None, at=None, slots=None) -> pa.RecordBatch:
+            none = pa.nulls(len(own), pa.int64())
+            arrays = [
+                pa.array(np.full(len(own), what, np.int32)), pa.array(sizes.astype(np.int64)), pa.array(own),
+                none if sequence is None else pa.array(sequence), pa.array(np.full(len(own), task, np.int32)),
+                none if at is None else pa.array(at), none if slots is None else pa.array(slots),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=["kind", "size", "id", "sequence", "part", "at", "slots"])
+
+        for own, sequences in placed:
+            yield rows(_PLACED, np.zeros(len(own)), own, sequences)
+        for what, found in ((_PIECE, left), (_GAP, free)):
+            order = sorted(found, reverse=True)
+            if not order:
+                continue
+            own = np.concatenate([found[s] for s in order])
+            sizes = np.repeat(order, [len(found[s]) for s in order])
+            if what == _PIECE:
+                yield rows(what, sizes, own, at=np.arange(len(own)))
+            else:
+                # A gap at least as large as all of this range holds any piece of the ranges behind it, a wide one several.
+                slots = np.where(sizes >= smallest, np.maximum(1, sizes // high), 0)
+                yield rows(what, sizes, own, at=np.cumsum(slots) - slots, slots=slots)
+
+    return apply
 
 
-def _ranked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds the number of the task and the place of each row in its run within the task."""
-    from pyspark import TaskContext
+def _summaries(swept: DataFrame) -> dict[int, tuple[int, int]]:
+    """Pieces that wait and slots that are offered, by range: one row for each ``SORT_ROWS`` rows."""
+    waiting = F.count(F.when(F.col("kind") == _PIECE, 1)).alias("waiting")
+    found = swept.where(F.col("part").isNotNull()).groupBy("part").agg(waiting, F.coalesce(F.sum("slots"), F.lit(0)).alias("slots"))
+    return {part: (n, slots) for part, n, slots in found.collect()}
 
-    task = TaskContext.get().partitionId()
-    seen: dict[tuple[int, int], int] = {}
-    for part in parts:
-        within = part.groupby(["kind", "size"]).cumcount()
-        base = [seen.get(run, 0) for run in zip(part["kind"], part["size"])]
-        for run, n in part.groupby(["kind", "size"]).size().items():
-            seen[run] = seen.get(run, 0) + n
-        yield part.assign(at=np.int32(task), rank=within + np.array(base, dtype=np.int64))
 
+def depths_of(ends: dict[int, tuple[int, int]]) -> tuple[dict[int, int], int]:
+    """How many slots of the ranges before are free at each range, and how many pieces take one.
 
-def _run_starts(runs: list) -> tuple[dict, dict]:
-    """The rank at which each task's part of a run starts, and the lengths of the runs by kind."""
-    starts: dict[tuple[int, int, int], int] = {}
-    totals: dict[int, dict[int, int]] = {_SLOT: {}, _PIECE: {}}
-    for kind, size, at, n in sorted(tuple(r) for r in runs):
-        starts[kind, size, at] = totals[kind].get(size, 0)
-        totals[kind][size] = totals[kind].get(size, 0) + n
-    return starts, totals
+    The sweep over all ranges is a stack: a range first takes slots off it for its pieces, then puts its own on it.
+    """
+    depths, depth, met = {}, 0, 0
+    for part in sorted(ends):
+        waiting, slots = ends[part]
+        depths[part] = depth
+        met += min(waiting, depth)
+        depth = max(0, depth - waiting) + slots
+    return depths, met
 
 
-def sweep(slots: dict[int, int], wanted: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
-    """Best fit over runs, from large to small: each piece takes the smallest free slot of at least its size.
+def _meet(waiting: DataFrame, gaps: DataFrame, depths: dict[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sweep over all ranges: pieces take the slot their range finds on top of the stack, as deep as their rank.
 
-    Takes the number of slots and of pieces by size. Gives the matches ``(piece size, first rank, slot size, first
-    rank, how many)`` and the pieces left over by size.
+    Slots and pieces of one level of the stack alternate in the order of ranges, so a piece belongs to the slot before it. Gives the
+    placed pieces, those that go on waiting, and all gaps with the room that is left.
     """
-    stack: list[list[int]] = []  # free runs of slots, smallest on top: [size, next rank, how many]
-    matches, rest = [], {}
-    for size in sorted({*slots, *wanted}, reverse=True):
-        if size in slots:
-            stack.append([size, 0, slots[size]])
-        need, rank = wanted.get(size, 0), 0
-        while need and stack:
-            top = stack[-1]
-            n = min(need, top[2])
-            matches.append((size, rank, top[0], top[1], n))
-            need, rank, top[1], top[2] = need - n, rank + n, top[1] + n, top[2] - n
-            if not top[2]:
-                stack.pop()
-        if need:
-            rest[size] = need
-    return matches, rest
-
-
-def _openers(rest: dict[int, int], capacity: int, usable: int) -> dict[int, int]:
-    """How many pieces of each size open sequences: the longest, as many as the rest needs beside the usable room."""
-    tokens = sum(size * n for size, n in rest.items())
-    if sum(rest.values()) <= FEW:
-        usable = 0  # shorter pieces will fill what a last few leave open
-    need = max(0, -(-(tokens - usable) // capacity))
-    if rest and min(rest) * 2 > capacity:
-        return dict(rest)
-    opened = {}
-    for size in sorted(rest, reverse=True):
-        if need <= 0:
-            break
-        opened[size] = min(need, rest[size])
-        need -= opened[size]
-    return opened
-
-
-def _numbered(starts: dict, matches: list, opened: dict, totals: dict, rest: dict):
-    """Gives matched rows the number of their match, and tells which pieces open a sequence."""
-    by_size: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    number = 0
-    for size, rank, slot, slot_rank, n in matches:
-        by_size.setdefault((_PIECE, size), []).append((rank, n, number))
-        by_size.setdefault((_SLOT, slot), []).append((slot_rank, n, number))
-        number += n
-
-    def apply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            numbers = np.full(len(part), -1, dtype=np.int64)
-            opens = np.zeros(len(part), dtype=bool)
-            ranks = part["rank"].to_numpy().copy()
-            for (kind, size, at), rows in part.groupby(["kind", "size", "at"]).indices.items():
-                if kind == _PARKED:
-                    continue
-                ranks[rows] += starts[kind, size, at]
-                mine = ranks[rows]
-                for first, n, base in by_size.get((kind, size), ()):
-                    hit = (mine >= first) & (mine < first + n)
-                    numbers[rows[hit]] = base + mine[hit] - first
-                if kind == _PIECE and size in opened:
-                    first = totals[size] - rest[size]
-                    opens[rows] = (mine >= first) & (mine < first + opened[size])
-            yield part.assign(rank=ranks, number=numbers, opens=opens)
-
-    return apply
+    spark = waiting.sparkSession
+    known = F.broadcast(spark.createDataFrame(list(depths.items()), "part int, depth long"))
+    n_waiting = waiting.groupBy("part").agg(F.count("*").alias("n"))
+    base = F.greatest(F.lit(0), F.col("depth") - F.coalesce("n", F.lit(0)))
+    slots = gaps.where("slots > 0").join(known, "part").join(F.broadcast(n_waiting), "part", "left").select(
+        F.lit(1).alias("is_slot"), "part", F.col("id"), F.col("size"),
+        F.explode(F.sequence(base + F.col("at"), base + F.col("at") + F.col("slots") - 1)).alias("level"),
+    )
+    deep = waiting.join(known, "part").withColumn("level", F.col("depth") - 1 - F.col("at"))
+    taking = deep.where("level >= 0").select(F.lit(0).alias("is_slot"), "part", "id", "size", "level")
+    in_level = Window.partitionBy("level").orderBy("part", "is_slot")
+    before = F.lag("id").over(in_level)
+    met = slots.unionByName(taking).withColumn("sequence", before).where("is_slot = 0")
+    met = written(met.select("id", "size", "sequence"), "met")
+    used = gaps.select(F.col("id"), "size").unionByName(met.select(F.col("sequence").alias("id"), (-F.col("size")).alias("size")))
+    left = used.groupBy("id").agg(F.sum("size").alias("size")).where("size > 0").select(F.lit(_GAP).alias("kind"), "size", "id")
+    placed = met.select(F.col("id").alias("_uid"), F.col("sequence").alias("sequence_id"))
+    return placed, deep.where("level < 0"), written(left, "gaps")
 
 
 def pack_documents(

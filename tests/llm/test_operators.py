@@ -86,9 +86,38 @@ def test_packing_is_close_to_sequential_best_fit(spark, kind):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 64").count() == 0
 
 
-def test_sweep_takes_the_smallest_slot_that_holds():
-    matches, rest = packing.sweep({10: 2, 7: 1}, {8: 1, 7: 1, 6: 2, 11: 1})
-    assert matches == [(8, 0, 10, 0, 1), (7, 0, 7, 0, 1), (6, 0, 10, 1, 1)] and rest == {11: 1, 6: 1}
+@pytest.mark.parametrize("rows", [40, 150])
+@pytest.mark.parametrize("kind", ["mixed", "small", "one"])
+def test_packing_over_many_ranges(spark, monkeypatch, rows, kind):
+    """Ranges of few rows: pieces find gaps of other ranges, and little more room is used than by one range."""
+    monkeypatch.setattr(packing, "SORT_ROWS", rows)
+    draw = {"mixed": lambda: pick.randint(1, 64), "small": lambda: pick.randint(1, 9), "one": lambda: 23}[kind]
+    lengths = [draw() for _ in range(700)]
+    out = packing.pack(spark.createDataFrame([(n,) for n in lengths], "length long"), 64)
+    placed = out.toPandas()
+    assert sorted(placed["length"]) == sorted(lengths)
+    for _, one in placed.sort_values("offset").groupby("sequence_id"):
+        assert list(one["offset"]) == [0, *one["length"].cumsum().iloc[:-1]] and one["length"].sum() <= 64
+    best = -(-len(lengths) // 2) if kind == "one" else -(-sum(lengths) // 64)
+    assert placed["sequence_id"].nunique() <= 1.06 * best + 700 / rows + 1
+
+
+def test_sweep_takes_the_smallest_gap_that_holds():
+    def ids(**by_size):
+        return {int(s[1:]): np.array(v) for s, v in by_size.items()}
+
+    wanted, free = ids(s8=[1], s7=[2], s6=[3, 4], s11=[5]), ids(s10=[100, 101], s7=[102])
+    placed, left, rest = packing.sweep(wanted, free, 20, False)
+    assert [(p.tolist(), s.tolist()) for p, s in placed] == [([1], [100]), ([2], [102]), ([3], [101])]
+    assert {k: v.tolist() for k, v in left.items()} == {11: [5], 6: [4]}
+    assert {k: v.tolist() for k, v in rest.items()} == {2: [100], 4: [101]}
+    placed, left, rest = packing.sweep(wanted, {}, 20, True)
+    # 11 and 8 fill up to 19, 7 and 6 and 6 a second sequence.
+    assert not left and sorted((p, s) for ps, ss in placed for p, s in zip(ps.tolist(), ss.tolist())) == [(1, 5), (2, 2), (3, 2), (4, 2), (5, 5)]
+
+
+def test_ranges_take_slots_from_the_top_of_the_stack():
+    assert packing.depths_of({0: (3, 2), 1: (1, 4), 2: (7, 0), 3: (1, 1)}) == ({0: 0, 1: 2, 2: 5, 3: 0}, 6)
 
 
 def test_tokens_equal_the_tokenizer():
@@ -201,6 +230,46 @@ def test_near_paragraphs_of_a_large_group(spark, monkeypatch, limit):
     assert all(least[i] in got[i]["_kept_in"] for i in gone)
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_every_passage_of_the_least_length_is_found(spark, monkeypatch, broadcast):
+    """Passages of 50 to 60 words at any place of longer lines: all of their later copies go, and nothing else does."""
+    monkeypatch.setattr(substring_dedup, "BROADCAST_VALUES", broadcast)
+    rng = random.Random(23)
+    draw = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [draw(rng.randint(50, 60)) for _ in range(40)]
+    shown = [(i, p) for i in range(40) for p in (i, i)]
+    rng.shuffle(shown)
+    rows, first = [], {}
+    for doc, (i, _) in enumerate(shown):
+        before, behind = draw(rng.randint(60, 120)), draw(rng.randint(60, 120))
+        again = first.setdefault(i, doc) != doc
+        rows.append((doc, " ".join(before + passages[i] + behind), " ".join(before + behind) if again else None, first[i]))
+    own = "_d int, _t int, _cuts int, _keepers int, _first int, _done int, row int, d int, t int, cuts int, first int, `a.b` int"
+    df = spark.createDataFrame([(d, t, *range(12)) for d, t, _, _ in rows], f"doc_id long, text string, {own}")
+    out = substring_dedup.remove_repeats(df)
+    assert out.columns == [*df.columns, "_removed", "_kept_in"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    for doc, text, left, keeper in rows:
+        assert tuple(got[doc])[2:14] == tuple(range(12))
+        assert got[doc]["text"] == (left or text), doc
+        assert list(got[doc]["_kept_in"]) == ([keeper] if left else [])
+
+
+def test_kept_windows_cover_every_choice():
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 2**63, 900).astype(np.uint64)
+    begins = np.array([0, 40, 300, 349, 500])
+    places, names = substring_dedup.starts(words, begins, 50)
+    ends = [40, 300, 349, 500, 900]
+    hashes = substring_dedup.doubled(words, substring_dedup.WINDOW)
+    assert (names == hashes[places]).all()
+    want = set()
+    for a, b in zip(begins, ends):
+        for at in range(a, b - 50 + 1):
+            want.add(at + int(np.argmin(hashes[at : at + 35])))
+    assert set(places.tolist()) == want
+
+
 def test_banding_reaches_its_recall():
     bands, rows = substring_dedup.tune(0.8, 0.99)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99
