@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.operators.payload import END_MARKER, approx_tokens, token_budget
 from rowloom.plans.scale import spread_small
+from rowloom.session import written
 
 # Request defaults, and how much of an error message is kept.
 DEFAULT_MODEL = "openai/local-model"
@@ -135,6 +137,15 @@ def reply_or_error(reply: Column, error: Column, on_error: str = "message") -> C
     return F.when(error.isNotNull(), instead).otherwise(F.coalesce(reply, F.lit("")))
 
 
+#: What names a request: a digest of all of it, and the number of the run that sent it.
+FINGERPRINT, COMMIT = "request_digest", "commit"
+
+
+def fingerprint(request: Column) -> Column:
+    """A digest of everything that is sent: prompt, model, temperature, budget and stop marks."""
+    return F.sha2(F.to_json(request), 256)
+
+
 def generate_once(
     requests: DataFrame,
     load_generator: Callable[[], Generator],
@@ -145,26 +156,41 @@ def generate_once(
 ) -> DataFrame:
     """Replies for all ``requests``, written to ``path``: calls cost money, so none is made twice.
 
-    Requests whose id has a reply at ``path`` already are not sent again, so a run that broke
-    off is resumed by starting it again. Failed requests are sent again, and then have two rows
-    (see ``reply_order``).
+    A reply belongs to a request by the digest of the whole request. Requests that have one at ``path`` already are not sent again,
+    so a run that broke off is resumed by starting it again, also where the rows got other ids meanwhile; a request that
+    changed in any part is new. Failed requests are sent again, and then have two rows (see ``reply_order``). Replies of earlier runs to
+    other requests stay at ``path`` and are not returned. Equal requests of different rows are each sent in the run that meets them
+    first; later rows share the newest reply.
     """
     spark = requests.sparkSession
     keys = list(request_id)
-    stored_schema = T.StructType([
-        *[requests.schema[k] for k in keys], *REPLY_FIELDS,
+    # Prompts, and the search for their context, are made once.
+    asked = written(requests.withColumn(FINGERPRINT, fingerprint(F.col("request"))), "requests")
+    schema = T.StructType([
+        *[requests.schema[k] for k in keys], T.StructField(FINGERPRINT, T.StringType()), T.StructField(COMMIT, T.LongType()), *REPLY_FIELDS,
     ])
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
-    todo = requests
-    if exists:
-        done = spark.read.schema(stored_schema).parquet(path).where(F.col("error").isNull())
-        todo = requests.join(done.select(*keys), keys, "left_anti")
-    replies = run_generator(todo, load_generator, batch, max_tasks).select(*stored_schema.names)
-    replies.write.mode("append").parquet(path)
-    return spark.read.schema(stored_schema).parquet(path)
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).parquet(path)
+
+    todo, number = asked, 0
+    try:
+        last = stored().agg(F.max(COMMIT)).first()[0]
+        number = 0 if last is None else last + 1
+        todo = asked.join(stored().where(F.col("error").isNull()).select(FINGERPRINT).distinct(), FINGERPRINT, "left_anti")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    replies = run_generator(todo, load_generator, batch, max_tasks).withColumn(COMMIT, F.lit(number).cast("long"))
+    replies.select(*schema.names).write.mode("append").parquet(path)
+
+    wanted = asked.select(*keys, FINGERPRINT)
+    own = stored().join(wanted, [*keys, FINGERPRINT], "left_semi")
+    newest = stored().groupBy(FINGERPRINT).agg(F.max_by(F.struct(COMMIT, *[f.name for f in REPLY_FIELDS]), reply_order()).alias("newest"))
+    others = wanted.join(own.select(*keys, FINGERPRINT).distinct(), [*keys, FINGERPRINT], "left_anti").join(newest, FINGERPRINT)
+    return own.select(*schema.names).unionByName(others.select(*keys, FINGERPRINT, "newest.*").select(*schema.names))
 
 
 def reply_order() -> Column:
     """Of several replies to one request (a failed one and its repeat) the greatest counts."""
-    return F.struct(F.col("error").isNull(), F.col("seconds"), F.col("reply"))
+    return F.struct(F.col("error").isNull(), F.col(COMMIT), F.col("seconds"), F.col("reply"))

@@ -68,6 +68,26 @@ def test_a_run_goes_on_where_it_stopped(spark, people, tmp_path):
     assert replies.where("error is null").count() == 5
 
 
+def test_replies_belong_to_whole_requests(spark, people, tmp_path):
+    """Other instructions are asked again, other row ids are not, and old replies do not come back."""
+    log, path = tmp_path / "log", str(tmp_path / "replies")
+
+    def run(table, instructions):
+        before = len(log.read_text().splitlines()) if log.exists() else 0
+        out = generate_columns(table, ["x"], [{"headers": ["v"], "instructions": instructions}], logging_generator(log), path=path)
+        got = {r["x"]: r["v"] for r in out.collect()}
+        return got, len(log.read_text().splitlines()) - before
+
+    first, calls = run(people, "short")
+    assert calls == 4 and len({v for v in first.values() if v}) >= 1
+    longer, calls = run(people, "rather longer instructions")
+    assert calls == 4 and all(first[x] != longer[x] for x in ("head", "ann", "bob", "cy")) and longer[" "] == ""
+    again, calls = run(people, "short")
+    assert calls == 0 and again == first
+    moved, calls = run(people.withColumn("row_id", F.col("row_id") + 1000), "short")
+    assert calls == 0 and moved == first
+
+
 def test_columns_end_to_end(spark, people, tmp_path):
     log = tmp_path / "log"
     out = generate_columns(people, ["x", "name"], DEFINITIONS, logging_generator(log), max_rows=3)
