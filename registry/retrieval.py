@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.common import WS, table
+from registry.common import WS, sql_filled, table
 from registry.documents import EMBEDDED, ENCODER, SENTENCE_CHUNKS, texts
+from registry.rows import sql_cell, sql_prompt
 from rowloom.functions.vectors import cosine, norm
 from rowloom.operators.chunks import chunk_documents
 from rowloom.operators.embed import embed_documents
 from rowloom.operators.retrieve import (
     Limits, chunks_per_row, context_text, find_relevant_chunks, first_chunks, source_label, top_k, with_context,
 )
-from rowloom.session import written
+from rowloom.plans.enrich import generate_columns
+from rowloom.session import new_folder, written
 
 #: Sizes so small that the plan for two large sides runs on test data too.
 _LARGE = Limits(broadcast_rows=0, broadcast_queries=0, block_chunks=256, block_queries=128)
@@ -108,7 +110,27 @@ def row_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.join(plain, "row_id", "left").select("row_id", "context", F.coalesce("plain", F.lit("")).alias("plain"))
 
 
+def _measure():
+    def generate(requests):
+        return [{"text": f"new_value: {len(r['prompt'])}"} for r in requests]
+
+    return generate
+
+
+def generated_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the chunks they ask for and an example in their prompts; replies to other instructions lie in the store already."""
+    rows, chunks, path = _asking_rows(spark, sf_dir), _stored_chunks(spark, sf_dir), new_folder(spark, "replies")
+
+    def answered(instructions: str) -> DataFrame:
+        definition = {"headers": ["Answer", "long"], "instructions": instructions, "example": "Row 1: yes"}
+        return generate_columns(rows, ["title", "body"], [definition], _measure, path=path, chunks=chunks, load_encoder=ENCODER)
+
+    answered("Say it in one word.").count()
+    return answered("Answer what the row asks for.")
+
+
 QUERIES = {
+    "generated_with_context": generated_with_context,
     "cosine_scores": cosine_scores,
     "top_chunks": top_chunks,
     "top_chunks_large": top_chunks_large,
@@ -171,7 +193,22 @@ _ROW_CHUNKS = f"""
                ON l.line = h.query_id)
     GROUP BY row_id, label"""
 
+_CONTEXT = f"""
+    SELECT r.row_id, any_value(r.title) AS title, any_value(r.body) AS body,
+           coalesce(chr(10) || chr(10) || 'Relevant context from documents:' || chr(10) || string_agg(c.label, chr(10) ORDER BY c.place), '') AS context
+    FROM ({_ROWS}) r LEFT JOIN ({_ROW_CHUNKS}) c USING (row_id) GROUP BY r.row_id"""
+
+_ASKING_PAYLOAD = (
+    f"""'{{' || chr(10) || '  "title": ' || {sql_cell('title')} || ',' || chr(10) || '  "body": ' || {sql_cell('body')}"""
+    " || chr(10) || '}'"
+)
+
 SQL = {
+    "generated_with_context": f"""
+        SELECT row_id, title, body, CASE WHEN {sql_filled('title')} OR {sql_filled('body')}
+               THEN CAST(len({sql_prompt(_ASKING_PAYLOAD, "'Answer what the row asks for.'", 'context', "'Row 1: yes'")}) AS VARCHAR)
+               ELSE '' END AS "Answer - long"
+        FROM ({_CONTEXT})""",
     "cosine_scores": f"""
         WITH v AS ({_DOUBLES}), firsts AS (SELECT label, arg_min(v, vec_id) AS f FROM v GROUP BY label)
         SELECT vec_id, label, round(list_cosine_similarity(v, f), 6) AS score FROM v JOIN firsts USING (label)""",

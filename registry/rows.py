@@ -164,12 +164,12 @@ def sql_prompt(payload: str, instructions: str, context: str, example: str) -> s
     return " || ".join(pieces)
 
 
-def _cell(column: str) -> str:
+def sql_cell(column: str) -> str:
     return sql_json(f"coalesce({column}, 'null')")
 
 
 SQL_PAYLOAD = (
-    f"""'{{' || chr(10) || '  "name": ' || {_cell('name')} || ',' || chr(10) || '  "segment": ' || {_cell('segment')}"""
+    f"""'{{' || chr(10) || '  "name": ' || {sql_cell('name')} || ',' || chr(10) || '  "segment": ' || {sql_cell('segment')}"""
     " || chr(10) || '}'"
 )
 
@@ -195,7 +195,7 @@ SQL = {
                || {sql_json('text')} || ',' || chr(10) || '  "n_chars": "' || n_chars || '"' || chr(10) || '}}' AS payload
         FROM documents""",
     "payload_compact": f"""
-        SELECT row_id, '{{"name": ' || {_cell('name')} || ', "segment": ' || {_cell('segment')}
+        SELECT row_id, '{{"name": ' || {sql_cell('name')} || ', "segment": ' || {sql_cell('segment')}
                || ', "balance": "' || CAST(balance AS VARCHAR) || '"}}' AS payload
         FROM ({MESSY_CUSTOMERS})""",
     "token_estimate": "SELECT conv_id, turn, CAST(greatest(1, len(text) // 4) AS INTEGER) AS tokens FROM conversations",
