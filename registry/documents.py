@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from registry.common import WS, table
 from rowloom.operators.chunks import chunk_documents, concat_chunks, distinct_chunks, raw_context
 from rowloom.operators.embed import (
-    cache_info, embed_documents, embed_missing, get_cached, has_cached, hashing_encoder, read_meta,
+    cache_info, commits, compact, embed_documents, embed_missing, get_cached, has_cached, hashing_encoder, read_meta, vacuum,
 )
 from rowloom.session import new_folder
 from rowloom.sources.documents import content_hash
@@ -102,7 +102,33 @@ def cache_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache_info(spark, store)
 
 
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writes brought into one: what each content's entry says, and how many chunks of it are read."""
+    store = _english_store(spark, sf_dir)
+    embed_missing(files(spark, sf_dir), store, ENCODER, "hashing")
+    whole = compact(store, spark)
+    vacuum(store, spark)
+    entries = read_meta(spark, store).withColumn("whole", F.col("write_id") == whole)
+    read = get_cached(entries.select("content_hash"), store).groupBy("content_hash").agg(F.count("*").cast("int").alias("read_chunks"))
+    return entries.join(read, "content_hash").select("content_hash", "num_chunks", "size_bytes", "whole", "read_chunks")
+
+
+def store_broken_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store in which a second write broke off before its commit: only the first one's contents count."""
+    store = _english_store(spark, sf_dir)
+    others = embed_documents(files(spark, sf_dir).where("lang <> 'en'").select("path", "content_hash", "text"), ENCODER)
+    lost = others.select("content_hash", "chunk_ord", "chunk", "embedding", F.substring("content_hash", 1, 1).alias("digit"))
+    lost.withColumn("write_id", F.lit("lost")).write.mode("append").partitionBy("digit", "write_id").parquet(f"{store}/parts")
+    meta = read_meta(spark, store).withColumns({"write_id": F.lit("lost"), "content_hash": F.reverse("content_hash")})
+    meta.write.mode("append").parquet(f"{store}/meta")
+    vacuum(store, spark)
+    probed = has_cached(files(spark, sf_dir).select("doc_id", "content_hash"), store)
+    return probed.select("doc_id", "cached", F.lit(commits(spark, store).count()).alias("commits"))
+
+
 QUERIES = {
+    "store_compacted": store_compacted,
+    "store_broken_write": store_broken_write,
     "chunks_sentence": _chunks("sentence"),
     "chunks_line": _chunks("line"),
     "chunks_paragraph": _chunks("paragraph"),
@@ -169,6 +195,11 @@ _CONTENTS = f"""
     SELECT f.*, c.num_chunks, c.size_bytes FROM firsts f JOIN counted c USING (doc_id)"""
 
 SQL = {
+    "store_compacted": f"""
+        SELECT content_hash, num_chunks, size_bytes, true AS whole, num_chunks AS read_chunks FROM ({_CONTENTS})""",
+    "store_broken_write": f"""
+        SELECT d.doc_id, coalesce(c.english, false) AS cached, CAST(1 AS BIGINT) AS commits
+        FROM documents d LEFT JOIN ({_CONTENTS}) c USING (text)""",
     "chunks_sentence": SENTENCE_CHUNKS,
     "chunks_line": sql_distinct(sql_pieces("\\n")),
     "chunks_paragraph": sql_distinct(_PARAGRAPHS),

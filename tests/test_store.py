@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators.embed import (
-    cache_embeddings, cache_info, embed_documents, embed_missing, encode_column, get_cached, has_cached,
-    hashing_encoder, read_meta,
+    cache_embeddings, cache_info, commits, compact, embed_documents, embed_missing, encode_column, get_cached, has_cached,
+    hashing_encoder, missing, read_meta, vacuum,
 )
 from rowloom.sources.documents import documents
+from tests.conftest import plan_of
 
 FILES = [
     ("d/a.txt", b"the first sentence here. the second sentence here."),
@@ -111,3 +112,48 @@ def test_a_broken_entry_is_a_miss(spark, docs, tmp_path):
     # Chunks of a write without metadata (a run that broke off) are not read.
     chunks.select("path", "content_hash", "chunk_ord", "chunk", "embedding").write.parquet(f"{store}/chunks/write_id=lost")
     assert get_cached(first.select("path", "content_hash"), store).count() == 2
+
+
+def test_documents_without_chunks_are_cut_once(docs, tmp_path):
+    store = str(tmp_path / "store")
+    assert missing(docs, store).count() == 4
+    embed_missing(docs, store, hashing_encoder(8))
+    assert missing(docs, store).count() == 0 and missing(docs, store, force=True).count() == 4
+    assert {r["doc_name"] for r in has_cached(docs, store).where("cached").collect()} == {"a.txt", "b.txt", "copy.md"}
+
+
+def test_compaction_and_vacuum(spark, docs, tmp_path):
+    store = str(tmp_path / "store")
+    first = embed_missing(docs.where("doc_name = 'b.txt'"), store, hashing_encoder(8), "m")
+    second = embed_missing(docs, store, hashing_encoder(8), "m")
+    before = sorted(map(tuple, get_cached(docs.select("path", "content_hash"), store).collect()))
+    # A write that broke off behind its chunks.
+    broken = spark.read.parquet(f"{store}/parts").where(F.col("write_id") == second).drop("digit")
+    for digit in {r[0] for r in spark.read.parquet(f"{store}/parts").select("digit").distinct().collect()}:
+        broken.drop("write_id").write.parquet(f"{store}/parts/digit={digit}/write_id=broken")
+    assert sorted(map(tuple, get_cached(docs.select("path", "content_hash"), store).collect())) == before
+    third = compact(store, spark)
+    assert [(r["number"], r["write_id"], r["documents"], r["chunks"]) for r in commits(spark, store).orderBy("number").collect()] == [
+        (0, first, 1, 1), (1, second, 1, 2), (2, third, 2, 3),
+    ]
+    assert set(vacuum(store, spark)) == {first, second, "broken"} and vacuum(store, spark) == []
+    assert sorted(map(tuple, get_cached(docs.select("path", "content_hash"), store).collect())) == before
+    assert {r["write_id"] for r in read_meta(spark, store).collect()} == {third}
+    assert {r["write_id"] for r in spark.read.parquet(f"{store}/parts").select("write_id").distinct().collect()} == {third}
+
+
+def test_a_reader_opens_the_folders_it_needs(docs, tmp_path):
+    store = str(tmp_path / "store")
+    first = embed_missing(docs.where("doc_name = 'b.txt'"), store, hashing_encoder(8))
+    embed_missing(docs, store, hashing_encoder(8))
+    one = docs.where("doc_name = 'b.txt'").select("path", "content_hash")
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        plan = plan_of(get_cached(one, store))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = [line[line.index("PartitionFilters") : line.index("PushedFilters")] for line in plan.splitlines() if "PartitionFilters" in line]
+    digit = one.first()["content_hash"][0]
+    assert any(f"= {digit})" in found and first in found for found in filters), filters
+    assert get_cached(one, store).count() == 1
