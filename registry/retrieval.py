@@ -42,7 +42,7 @@ def top_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_chunks_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through pivots and blocks, the plan for two large sides."""
+    """The same with floors and parts of queries, the plan for two large sides."""
     return _top(spark, sf_dir, _LARGE)
 
 

@@ -5,8 +5,8 @@ product, and at most k rows per query leave a block. Which plan runs depends on
 
 * few chunks: their matrix is broadcast, and queries are scored where they are;
 * few queries: they are broadcast, and every task sends k candidates per query;
-* both large: chunks are cut into blocks around pivots, and a query visits only the blocks
-  that can still hold one of its k best (see ``_through_blocks``).
+* both large: a sample of the chunks gives every query a floor that its k best reach, queries are
+  broadcast part by part, and chunks are scored where they are (see ``_through_parts``).
 
 Ranking is by score (rounded to nine digits, finer than the float32 vectors), then by the
 place of the chunk: ``doc_ord``, ``chunk_ord``.
@@ -28,7 +28,7 @@ from rowloom.functions.names import all_named
 from rowloom.functions.text import strip
 from rowloom.operators.embed import Encoder, encode_column
 from rowloom.plans.scale import salted_join, spread_small
-from rowloom.session import written
+from rowloom.session import new_folder, written
 
 # Chunks per query by default, chunks per line of a cell, chunks per document without vectors.
 DEFAULT_TOP_K = 25
@@ -47,11 +47,11 @@ class Limits:
     broadcast_rows: int = 200_000
     broadcast_queries: int = 20_000
     broadcast_bytes: int = 128 << 20
-    #: Chunks and queries that meet in one task.
+    #: Chunks that are scored at a time, and queries that are broadcast together where both sides are large.
     block_chunks: int = 8_192
-    block_queries: int = 32_768
-    #: Pivots, at most. Their matrix travels with the tasks.
-    pivots: int = 1_024
+    block_queries: int = 20_000
+    #: Chunks whose scores give every query its first floor. Their matrix travels with the tasks.
+    pivots: int = 8_192
 
 
 def source_label(path: Column, chunk: Column) -> Column:
@@ -90,7 +90,7 @@ def top_k(
     if n_queries <= limits.broadcast_queries and _fits(queries, limits):
         found = _queries_broadcast(queries, chunks, k, query_id, schema)
     else:
-        found = _through_blocks(queries, chunks, k, query_id, schema, limits, n_queries, n_chunks)
+        found = _through_parts(queries, chunks, k, query_id, schema, limits, n_queries)
     return _best(found, k, query_id)
 
 
@@ -252,8 +252,13 @@ def _chunks_broadcast(queries: DataFrame, chunks: DataFrame, k: int, query_id: s
     return spread_small(queries).mapInArrow(run, ranked)
 
 
-def _queries_broadcast(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema) -> DataFrame:
-    """Every task keeps the k best of its chunks per query; only these are shuffled."""
+def _queries_broadcast(
+    queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema, block: int | None = None
+) -> DataFrame:
+    """Every task keeps the k best of its chunks per query; only these are shuffled.
+
+    Queries may bring a ``floor``: chunks that score less are left out.
+    """
     shared = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,14 +266,17 @@ def _queries_broadcast(queries: DataFrame, chunks: DataFrame, k: int, query_id:
         numbers = pa.array(np.arange(len(asked)))
         side = _Side(asked.append_column("_query", numbers), ["_query"])
         floors = np.full(len(asked), -np.inf)
+        if "floor" in asked.column_names:
+            floors = asked.column("floor").fill_null(-np.inf).to_numpy().copy()
         best, fresh, fresh_rows = None, [], 0
-        for batch in batches:
-            fresh.append(_score(side, _Side(batch, _PLACE, copies=k), k, floors))
-            fresh_rows += len(fresh[-1])
-            # Merging is put off until it halves the rows; a query's k-th score then sorts out most of what follows.
-            if best is None or fresh_rows >= len(best):
-                best = _trim(pa.concat_tables(([best] if best else []) + fresh), k, floors)
-                fresh, fresh_rows = [], 0
+        for whole in batches:
+            for batch in (whole.slice(i, block) for i in range(0, len(whole), block)) if block else (whole,):
+                fresh.append(_score(side, _Side(batch, _PLACE, copies=k), k, floors))
+                fresh_rows += len(fresh[-1])
+                # Merging is put off until it halves the rows; a query's k-th score then sorts out most of what follows.
+                if best is None or fresh_rows >= len(best):
+                    best = _trim(pa.concat_tables(([best] if best else []) + fresh), k, floors)
+                    fresh, fresh_rows = [], 0
         if fresh:
             best = _trim(pa.concat_tables(([best] if best else []) + fresh), k, floors)
         if best is not None:
@@ -288,131 +296,57 @@ def _trim(found: pa.Table, k: int, floors: np.ndarray) -> pa.Table:
     return found.filter(pa.array(ranks <= k))
 
 
-def _through_blocks(
-    queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema, limits: Limits, n_queries: int, n_chunks: int
+def _through_parts(
+    queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema, limits: Limits, n_queries: int
 ) -> DataFrame:
-    """Both sides are large: blocks of chunks around pivots, visited by the queries that need them.
-
-    With unit vectors, a chunk x near a pivot p scores at most ``q.p + |x - p|`` for a query q. So a
-    block of one pivot scores at most ``q.p + radius``. A query first visits the blocks of its
-    nearest pivot; its k-th score there is a floor, and then it visits every other block whose
-    bound reaches the floor. The result is exact. How much is skipped depends on how
-    clustered the vectors are. In the worst case a query visits every block: then its vector
-    goes to each block once, and k rows come back from each.
-
-    Of equal vectors only the first k can be among the k best, so one vector never fills blocks
-    with its copies. Hot pivots are cut into blocks of about ``limits.block_chunks`` chunks, and the queries of
-    a block into parts of ``limits.block_queries``, so no task holds more than that.
-    """
-    chunks = written(_first_copies(chunks, k), "chunk-vectors")
-    n_pivots = int(min(limits.pivots, max(1, -(-n_chunks // limits.block_chunks))))
-    picked = (
-        chunks.select("embedding", F.xxhash64("doc_ord", "chunk_ord").alias("at"))
-        .orderBy("at").limit(n_pivots).toArrow()
-    )
-    pivots = _unit(_matrix(picked.column("embedding")))
-
-    near = written(_nearest(chunks, pivots), "chunk-blocks")
-    stats = near.groupBy("pivot").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).toPandas()
-    parts = np.ones(len(pivots), dtype=np.int64)
-    radius = np.full(len(pivots), -np.inf)
-    parts[stats["pivot"]] = -(-stats["n"].to_numpy() // limits.block_chunks)
-    radius[stats["pivot"]] = stats["radius"]
-
-    query_parts = int(max(1, -(-n_queries // limits.block_queries)))
-    pieces = F.get(F.lit([int(p) for p in parts]), F.col("pivot"))
-    blocks = near.select(
-        "pivot",
-        F.pmod(F.xxhash64("doc_ord", "chunk_ord"), pieces).cast("int").alias("block"),
-        "doc_ord", "chunk_ord", "embedding",
-    )
-
-    home = written(_nearest(queries, pivots).drop("distance"), "query-home")
-    first = written(
-        _meet(home, blocks, parts, query_parts, k, query_id, schema), "first-visit"
-    )
-    floors = (
-        _best(first, k, query_id).groupBy(query_id)
-        .agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    )
-    visits = _other_pivots(home.join(floors, query_id, "left"), pivots, radius, query_id)
-    return first.unionByName(_meet(visits, blocks, parts, query_parts, k, query_id, schema))
-
-
-def _first_copies(chunks: DataFrame, k: int) -> DataFrame:
-    """The first k chunks of every distinct vector; each task drops most copies before the shuffle."""
-    same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy(*_PLACE)
-    return chunks.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k).drop("_copy")
+    """Both sides are large: chunks stay where they are, queries come to them part by part, with floors.
 
+    A sample of ``limits.pivots`` chunks is scored against every query first. The k-th score there is a floor that the k best of
+    all chunks reach, so a task gives back only chunks that reach it: of n chunks about k * n / ``pivots`` per query over all
+    tasks, instead of k per query from every task. The result is exact, as every chunk meets every query as
+    a row of a matrix product. Neither chunks nor queries are shuffled by key; only the rows that reach a floor are.
 
-def _nearest(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot of the unit vector, and the distance to it."""
-    schema = T.StructType([
-        *vectors.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("distance", T.DoubleType()),
-    ])
-    lengths = np.einsum("ij,ij->i", pivots, pivots)
+    A part holds ``limits.block_queries`` queries, and no more bytes than may be broadcast.
+    """
+    picked = chunks.withColumn("at", F.xxhash64("doc_ord", "chunk_ord")).orderBy("at").limit(limits.pivots).drop("at")
+    floored = _with_floors(queries, _first_copies(picked, k), k, query_id)
+    size = queries.agg(F.sum(F.lit(8) * F.size("embedding"))).first()[0] or 0
+    parts = max(1, -(-n_queries // max(1, limits.block_queries)), -(-size // limits.broadcast_bytes))
+    asked, found = new_folder(queries.sparkSession, "asked"), new_folder(queries.sparkSession, "found")
+    part = F.pmod(F.xxhash64(query_id), F.lit(parts)).alias("part")
+    floored.select("*", part).write.partitionBy("part").parquet(asked)
+    spark = queries.sparkSession
+    stored = spark.read.schema(T.StructType([*floored.schema.fields, T.StructField("part", T.LongType())])).parquet(asked)
+    empty = spark.createDataFrame([], schema)
+    empty.write.parquet(f"{found}/part=-1")
+    for number in range(parts):
+        some = stored.where(F.col("part") == number).drop("part")
+        _queries_broadcast(some, chunks, k, query_id, schema, limits.block_chunks).write.parquet(f"{found}/part={number}")
+    return spark.read.schema(schema).parquet(found).select(*schema.names)
+
+
+def _with_floors(queries: DataFrame, sample: DataFrame, k: int, query_id: str) -> DataFrame:
+    """Adds ``floor``: the k-th best score among the sample, null where it has fewer chunks."""
+    shared = queries.sparkSession.sparkContext.broadcast(sample.toArrow())
+    schema = T.StructType([*queries.schema.fields, T.StructField("floor", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = _Side(shared.value, _PLACE, copies=k)
         for batch in batches:
-            if not len(batch):
-                continue
-            unit = _unit(_matrix(batch.column("embedding")))
-            squares = np.einsum("ij,ij->i", unit, unit)[:, None] - 2 * unit @ pivots.T + lengths[None, :]
-            nearest = squares.argmin(axis=1)
-            distance = np.linalg.norm(unit - pivots[nearest], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(distance)], names=schema.names
-            )
+            numbers = pa.array(np.arange(len(batch)))
+            best = _score(_Side(batch.append_column("_query", numbers), ["_query"]), side, k)
+            last = best.filter(pa.array(_ranks(best, "_query") == k))
+            floors = np.full(len(batch), np.nan)
+            floors[last.column("_query").to_numpy()] = last.column("score").to_numpy()
+            yield batch.append_column("floor", pa.array(floors, from_pandas=True))
 
-    return vectors.mapInArrow(run, schema)
-
-
-def _other_pivots(home: DataFrame, pivots: np.ndarray, radius: np.ndarray, query_id: str) -> DataFrame:
-    """One row per query and pivot, other than its own, whose chunks can reach the query's floor."""
-    schema = T.StructType([home.schema[query_id], home.schema["embedding"], T.StructField("pivot", T.IntegerType())])
-    slack = 10.0 ** -SCORE_DIGITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            unit = _unit(_matrix(batch.column("embedding")))
-            bound = unit @ pivots.T + radius[None, :]
-            floor = batch.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
-            needed = (bound >= floor[:, None] - 2 * slack) & np.isfinite(radius)[None, :]
-            needed[np.arange(len(batch)), batch.column("pivot").to_numpy()] = False
-            rows, columns = np.nonzero(needed)
-            visits = pa.RecordBatch.from_arrays([batch.column(query_id), batch.column("embedding")], names=schema.names[:2])
-            for start in range(0, len(rows), 10_000):
-                part = visits.take(pa.array(rows[start : start + 10_000]))
-                pivot = pa.array(columns[start : start + 10_000].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, pivot], names=schema.names)
-
-    return home.select(query_id, "embedding", "pivot", "floor").mapInArrow(run, schema)
-
-
-def _meet(
-    visits: DataFrame, blocks: DataFrame, parts: np.ndarray, query_parts: int, k: int, query_id: str, schema
-) -> DataFrame:
-    """Scores every visit against the blocks of its pivot, one task group per block and query part."""
-    pieces = F.get(F.lit([int(p) for p in parts]), F.col("pivot"))
-    asked = visits.select(
-        query_id, "embedding", "pivot",
-        F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))).alias("block"),
-        F.pmod(F.xxhash64(query_id), F.lit(query_parts)).cast("int").alias("part"),
-    )
-    # A block is copied only to the query parts that visit it.
-    wanted = asked.select(*[F.col(c).alias(f"_{c}") for c in ("pivot", "block", "part")]).distinct()
-    offered = (
-        blocks.join(wanted, [F.col("pivot") == F.col("_pivot"), F.col("block") == F.col("_block")])
-        .withColumnRenamed("_part", "part").drop("_pivot", "_block")
-    )
+    return queries.mapInArrow(run, schema)
 
-    def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        return _score(_Side(q, [query_id]), _Side(c, _PLACE, copies=k), k)
 
-    keys = ["pivot", "block", "part"]
-    return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(run, schema)
+def _first_copies(chunks: DataFrame, k: int) -> DataFrame:
+    """The first k chunks of every distinct vector; each task drops most copies before the shuffle."""
+    same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy(*_PLACE)
+    return chunks.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k).drop("_copy")
 
 
 # --- what the rows of a table ask ----------------------------------------------------------------

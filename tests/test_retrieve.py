@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.functions.vectors import cosine
 from rowloom.operators.embed import embed_documents, hashing_encoder
@@ -12,6 +13,9 @@ from rowloom.operators.retrieve import (
     Limits, chunks_per_row, context_text, find_relevant_chunks, first_chunks, row_lines, source_label, top_k,
 )
 
+from rowloom.session import written
+from tests.conftest import plan_of
+
 PLANS = {
     "chunks_broadcast": Limits(),
     "queries_broadcast": Limits(broadcast_rows=0),
@@ -79,6 +83,25 @@ def test_fewer_chunks_than_k(spark, plan):
     assert top_k(q, c.limit(0), 5, limits=PLANS[plan]).count() == 0
 
 
+def test_two_large_sides_shuffle_candidates_only(spark):
+    """Chunks are not exchanged, and floors keep candidates far below k for every task and query."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((4_000, 8)).astype(np.float32)
+    c = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(vectors)], "doc_ord long, chunk_ord long, embedding array<float>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors[:200])], "query_id long, embedding array<float>")
+    limits = Limits(broadcast_rows=0, broadcast_queries=0, block_chunks=64, block_queries=100, pivots=2_000)
+    chunks = written(c.repartition(40), "chunks")
+    tasks = chunks.rdd.getNumPartitions()
+    from rowloom.operators import retrieve
+
+    schema = "query_id long, doc_ord long, chunk_ord long, score double"
+    found = retrieve._through_parts(q, chunks, 5, "query_id", T._parse_datatype_string(schema), limits, 200)
+    assert 200 * 5 <= found.count() < 200 * 5 * tasks / 2
+    some = retrieve._queries_broadcast(q, chunks, 5, "query_id", T._parse_datatype_string(schema))
+    assert "Exchange" not in plan_of(some)
+    assert top_k(q, chunks, 5, limits=limits).count() == 1_000
+
+
 def test_copies_are_cut_before_the_shuffle(spark):
     from rowloom.operators.retrieve import _first_copies
 
