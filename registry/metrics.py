@@ -69,7 +69,7 @@ def formatted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = table(spark, sf_dir, "part").select(
         F.col("p_size").alias("def_id"), F.col("p_partkey").alias("row_no"), F.col("p_name").alias("text")
     )
-    return format_examples(examples)
+    return format_examples(examples, most_bytes=2_000)
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,9 +185,11 @@ SQL = {
                || 'Expected output: ' || p_name AS example
         FROM part LEFT JOIN customer ON c_custkey = p_partkey""",
     "formatted_examples": """
-        SELECT p_size AS def_id,
-               string_agg('Row ' || p_partkey || ': ' || p_name, chr(10) || chr(10) ORDER BY p_partkey) AS example
-        FROM part GROUP BY p_size""",
+        WITH e AS (SELECT p_size, p_partkey, 'Row ' || p_partkey || ': ' || p_name AS item FROM part),
+        b AS (SELECT *, CAST(sum(octet_length(encode(item)) + 2) OVER (PARTITION BY p_size ORDER BY p_partkey)
+                             - octet_length(encode(item)) - 2 AS BIGINT) // 2000 AS piece FROM e)
+        SELECT p_size AS def_id, piece, string_agg(item, chr(10) || chr(10) ORDER BY p_partkey) AS example
+        FROM b GROUP BY p_size, piece""",
     "set_list": _SETS,
     "file_groups": f"""
         SELECT f.name, f.size, CASE WHEN s.complete THEN f.base ELSE f.name END AS group_name,

@@ -15,6 +15,7 @@ from rowloom.operators.retrieve import (
     Limits, chunks_per_row, context_text, find_relevant_chunks, first_chunks, source_label, top_k, with_context,
 )
 from rowloom.plans.enrich import generate_columns
+from rowloom.plans.scale import salted_join
 from rowloom.session import new_folder, written
 
 #: Sizes so small that the plan for two large sides runs on test data too.
@@ -26,7 +27,9 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("size", norm(F.col("embedding")))
     firsts = vectors.groupBy("label").agg(F.min_by(F.struct("embedding", "size"), "vec_id").alias("first"))
     score = cosine(F.col("embedding"), F.col("first.embedding"), F.col("size"), F.col("first.size"))
-    return vectors.join(firsts, "label").select("vec_id", "label", F.round(score, 6).alias("score"))
+    # A label may hold most vectors.
+    joined = salted_join(vectors, written(firsts, "label-firsts"), "label", "inner")
+    return joined.select("vec_id", "label", F.round(score, 6).alias("score"))
 
 
 def _top(spark: SparkSession, sf_dir: str, limits: Limits) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.names import all_named, named
+from rowloom.plans.scale import with_position
+from rowloom.session import written
 from rowloom.sources.tables import ROW_ID
 
 
@@ -46,23 +48,34 @@ def valid_definitions(definitions: DataFrame) -> DataFrame:
 def one_row_per_definition(rows: DataFrame, definitions: DataFrame | Sequence[dict]) -> DataFrame:
     """Every row once per definition, with the definition's fields as column ``definition``.
 
-    Definitions are a short list written by a person; they travel inside the plan as one
-    literal array, so the rows are only exploded.
+    A list written by a person travels inside the plan as one literal array, so the rows are only exploded. A table of more
+    definitions than ``LITERAL_DEFINITIONS`` is joined by their numbers.
     """
-    items = definitions if not isinstance(definitions, DataFrame) else _as_dicts(definitions)
-    array = F.array(*[_definition_struct(i, item) for i, item in enumerate(items)])
+    if isinstance(definitions, DataFrame):
+        found = definitions.limit(LITERAL_DEFINITIONS + 1).collect()
+        if len(found) > LITERAL_DEFINITIONS:
+            return _joined_definitions(rows, definitions)
+        definitions = [row.asDict() for row in sorted(found, key=lambda row: row["def_id"])]
+    array = F.array(*[_definition_struct(i, item) for i, item in enumerate(definitions)])
     return rows.withColumn("definition", F.explode(array))
 
 
-#: More definitions than this are not a hand-written list any more.
-MAX_DEFINITIONS = 1_000
+#: Definitions that are written into the plan.
+LITERAL_DEFINITIONS = 1_000
 
 
-def _as_dicts(definitions: DataFrame) -> list[dict]:
-    found = definitions.limit(MAX_DEFINITIONS + 1).collect()
-    if len(found) > MAX_DEFINITIONS:
-        raise ValueError(f"more than {MAX_DEFINITIONS} column definitions")
-    return [row.asDict() for row in sorted(found, key=lambda row: row["def_id"])]
+def _joined_definitions(rows: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Each row with the numbers of all definitions, and the definitions joined to them; hot keys cannot occur, as every row has every number."""
+    example = F.col("example") if "example" in definitions.columns else F.lit(None).cast("string")
+    fields = F.struct(
+        F.col("def_id").cast("int").alias("def_id"), F.array_join("headers", " - ").alias("column"), "instructions",
+        F.coalesce(example, F.lit("")).alias("example"),
+    )
+    numbered = with_position(definitions.select(F.col("def_id").cast("long").alias("def_id"), fields.alias("definition")), "def_id", "_number")
+    numbered = written(numbered.select("_number", "definition"), "definitions")
+    whole = rows.select(F.struct(*all_named(rows.columns)).alias("row"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(numbered.count()))).alias("_number"))
+    joined = whole.join(numbered, "_number")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in rows.columns], "definition")
 
 
 def _definition_struct(index: int, item: dict) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.text import strip
 from rowloom.operators.payload import row_payload
-from rowloom.plans.scale import ordered_concat, salted_join
+from rowloom.plans.scale import ordered_pieces, salted_join
 
 
 def example_text(payload: Column, expected: Column, document: Column | None = None) -> Column:
@@ -37,8 +37,17 @@ def build_examples(
     return joined.withColumn("example", example_text(F.col("_payload"), F.col("text"), document)).drop("_payload")
 
 
-def format_examples(examples: DataFrame, definition: str = "def_id", text: str = "text") -> DataFrame:
-    """``(def_id, example)``: all examples of a definition as ``Row n: text``, by row number."""
+#: Bytes of a piece of formatted examples.
+PIECE_BYTES = 64 << 10
+
+
+def format_examples(
+    examples: DataFrame, definition: str = "def_id", text: str = "text", most_bytes: int = PIECE_BYTES
+) -> DataFrame:
+    """``(def_id, piece, example)``: all examples of a definition as ``Row n: text``, by row number, in pieces of about ``most_bytes``.
+
+    What fits a prompt is one piece, number 0; a definition with very many examples goes on in further ones.
+    """
     item = F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), F.col(text))
-    joined = ordered_concat(examples, [definition], "row_no", item, "\n\n")
+    joined = ordered_pieces(examples, [definition], "row_no", item, "\n\n", most_bytes)
     return joined.withColumnRenamed("folded", "example")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.names import named
 from rowloom.functions.text import is_filled
-from rowloom.plans.scale import with_position
+from rowloom.session import written
 from rowloom.sources.tables import ROW_ID
 
 # Rows of a preview, its largest size, and the size offered without a table.
@@ -17,7 +17,7 @@ PREVIEW_ROWS = 5
 PREVIEW_MAX = 50
 PREVIEW_WITHOUT_TABLE = 10
 
-#: Up to this many rows one task may merge a sorted limit; beyond it positions are counted.
+#: Up to this many rows one task may merge a sorted limit; beyond it the last id is looked for.
 SORTED_LIMIT = 100_000
 
 
@@ -63,15 +63,36 @@ def non_empty_rows(
 ) -> DataFrame:
     """The rows with something in ``columns``; with ``max_rows`` the first so many in row order.
 
-    A small limit is a sorted limit (each task keeps its best rows). A large one
-    would gather its rows in one task, so the rows are numbered in parallel instead.
+    A small limit is a sorted limit (each task keeps its best rows). A large one would gather its rows in one task; then the id of the last
+    row is looked for among ranges of ids, and the rows are filtered by it. Ids are unique, and of any type that can be ordered.
     """
     kept = df.where(non_empty(df, columns))
     if max_rows is None:
         return kept
     if max_rows <= SORTED_LIMIT:
         return kept.orderBy(row_id).limit(max(max_rows, 0))
-    return with_position(kept, row_id, "_position").where(F.col("_position") <= max_rows).drop("_position")
+    last = kth_smallest(kept.select(named(row_id).alias("key")), max_rows)
+    return kept if last is None else kept.where(named(row_id) <= last)
+
+
+def kth_smallest(keys: DataFrame, k: int) -> Column | None:
+    """The k-th of the keys ``(key)`` in order, as a literal; None where there are no more than k.
+
+    Keys are dealt into ranges; the counts of the ranges (a row each) tell in which one the k-th lies, and only that one is sorted.
+    """
+    ranged = keys.repartitionByRange("key").select("key", F.spark_partition_id().alias("range"))
+    ranged = written(ranged, "ranges")
+    counts = sorted((r["range"], r["count"]) for r in ranged.groupBy("range").count().collect())
+    before = 0
+    for number, count in counts:
+        if before + count >= k:
+            place = k - before
+            # Of one range, the rows up to the wanted one.
+            inside = ranged.where(F.col("range") == number).orderBy("key").limit(place)
+            last = inside.agg(F.max("key").alias("key")).first()["key"]
+            return F.lit(last).cast(keys.schema["key"].dataType)
+        before += count
+    return None
 
 
 def last_row_to_process(

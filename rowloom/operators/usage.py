@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.plans.scale import SPAN_BITS, running_sums, salted_join, with_position
+from rowloom.functions.names import named
+from rowloom.plans.scale import SPAN_BITS, running_sums, with_position
+from rowloom.session import written
 
 # Replies in the recent speed, bounds of the output/input ratio, slowest speed.
 RECENT = 10
@@ -78,14 +80,32 @@ def calibration(
 
 
 def remaining_time(
-    usage: DataFrame, definition: Sequence[str] = ("run_id", "def_id"), order: str = "seq"
+    usage: DataFrame, definition: Sequence[str] = ("run_id", "def_id"), order: str = "seq", span_bits: int = SPAN_BITS
 ) -> DataFrame:
-    """Adds ``remaining_seconds``: the forecast for the rows of the definition that follow."""
+    """Adds ``remaining_seconds``: the forecast for the rows of the definition that follow.
+
+    One aggregate gives, for each stretch of replies, its estimates and its first reply. What the stretches before add up to, the
+    definition's total and its calibration enter every stretch as one more row in front of the others, so the rows themselves are
+    read once and shuffled once.
+    """
+    group = list(definition)
     estimate = F.greatest(F.lit(1), F.col("input_est")).cast("long")
-    totals = usage.groupBy(*definition).agg(F.sum(estimate).alias("_all"))
-    facts = calibration(usage, definition, order).join(totals, list(definition))
-    so_far = running_sums(usage, definition, order, {"_so_far": estimate})
-    joined = salted_join(so_far, facts, list(definition), "inner")
-    following = (F.col("_all") - F.col("_so_far")).cast("double")
-    forecast = F.floor(F.col("ratio") * following / F.col("speed"))
-    return joined.withColumn("remaining_seconds", forecast).drop("_all", "_so_far", "ratio", "speed")
+    spanned = usage.withColumn("_span", F.shiftright(F.col(order).cast("long"), span_bits))
+    stretches = written(
+        spanned.groupBy(*group, "_span").agg(
+            F.sum(estimate).alias("_own"), F.min(order).alias(order),
+            *[F.min_by(c, order).alias(c) for c in ("completion_tokens", "seconds", "input_est")],
+        ),
+        "stretches",
+    )
+    totals = stretches.groupBy(*group).agg(F.sum("_own").alias("_all"))
+    facts = calibration(stretches, group, order).join(totals, group)
+    before = running_sums(stretches.select(*group, "_span", "_own"), group, "_span", {"_before": F.col("_own")}, levels=2)
+    carried = before.join(facts, group).select(*group, "_span", (F.col("_before") - F.col("_own")).alias("_estimate"), "_all", "ratio", "speed")
+    rows = spanned.withColumn("_estimate", estimate).unionByName(carried, allowMissingColumns=True)
+    # The carried row has no place in the order, so it comes first.
+    so_far = Window.partitionBy(*group, "_span").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    following = (F.max("_all").over(so_far) - F.sum("_estimate").over(so_far)).cast("double")
+    forecast = F.floor(F.max("ratio").over(so_far) * following / F.max("speed").over(so_far))
+    out = rows.select(*[named(c) for c in usage.columns], forecast.alias("remaining_seconds"), F.col("_all").isNotNull().alias("_carried"))
+    return out.where(~F.col("_carried")).drop("_carried")

@@ -180,3 +180,22 @@ def _folded(fold: Callable[[Column], Column], order: str, item: str) -> Column:
 def ordered_concat(df: DataFrame, group: Sequence[str], order: str, text: Column, separator: str) -> DataFrame:
     """Joins the texts of a group in order: columns ``group`` and ``folded``."""
     return ordered_fold(df, group, order, text, lambda items: F.array_join(items, separator))
+
+
+def ordered_pieces(
+    df: DataFrame, group: Sequence[str], order: str, text: Column, separator: str, most_bytes: int, **spans: int
+) -> DataFrame:
+    """Joins the texts of a group in order into numbered pieces: columns ``group``, ``piece`` (from 0) and ``folded``.
+
+    A piece ends with the text that takes it to ``most_bytes`` or beyond, so no cell, and no task, holds more than that and one text, however
+    long the group is.
+    """
+    sized = df.select(*group, F.col(order).cast("long").alias("_order"), text.alias("_text"))
+    own = (F.octet_length("_text") + len(separator.encode())).cast("long")
+    summed = running_sums(sized, group, "_order", {"_bytes": own}, **spans)
+    piece = F.floor((F.col("_bytes") - own) / most_bytes).cast("long").alias("piece")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_order").alias("at"), F.col("_text").alias("text"))))
+    joined = F.array_join(F.transform(ordered, lambda pair: pair["text"]), separator)
+    pieces = summed.select(*group, piece, "_order", "_text").groupBy(*group, "piece").agg(joined.alias("folded"))
+    # Texts longer than a piece leave numbers out.
+    return with_position(pieces, "piece", "_number", group).select(*group, (F.col("_number") - 1).alias("piece"), "folded")

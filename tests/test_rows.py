@@ -57,6 +57,28 @@ def test_first_non_empty_rows(people, monkeypatch, limit):
     assert last_row_to_process(people, ["a", "b"], 99) == 6
 
 
+def test_first_rows_by_any_key_that_has_an_order(spark, monkeypatch):
+    """Two sides of the limit of a sorted limit give the same rows, also for text keys and for keys of many ranges."""
+    df = spark.range(3_000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("row_id"), F.lit("x").alias("a"))
+    df = df.repartition(7)
+    monkeypatch.setattr(rows_module, "SORTED_LIMIT", 1_000)
+    want = [f"k{i:06}" for i in range(3_000)]
+    for n in (1_000, 1_001, 2_999, 3_000, 3_001):
+        assert ids(non_empty_rows(df, ["a"], n)) == want[:n]
+    dated = df.withColumn("row_id", F.date_add(F.lit("2020-01-01").cast("date"), F.substring("row_id", 2, 6).cast("int")))
+    assert non_empty_rows(dated, ["a"], 2_000).agg(F.max("row_id")).first()[0].isoformat() == "2025-06-22"
+
+
+def test_a_table_of_very_many_definitions(spark, monkeypatch):
+    from rowloom.operators import combine
+
+    definitions = spark.createDataFrame([(2 * i, ["h", str(i)], f"do {i}") for i in range(12)], "def_id int, headers array<string>, instructions string")
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "row_id long, `_number` string")
+    few = sorted(map(tuple, one_row_per_definition(rows, definitions).collect()))
+    monkeypatch.setattr(combine, "LITERAL_DEFINITIONS", 5)
+    assert sorted(map(tuple, one_row_per_definition(rows, definitions).collect())) == few and len(few) == 24
+
+
 def test_first_rows_are_a_sorted_limit(people):
     assert "TakeOrderedAndProject" in plan_of(non_empty_rows(people, ["a", "b"], 2))
 

@@ -107,3 +107,36 @@ def test_usage(spark, usage_rows):
                 following = sum(max(1, x[6]) for x in own[i + 1 :])
                 assert left[u[2]] == int(ratio * following / speed)
             assert left[own[-1][2]] == 0
+
+
+@pytest.mark.parametrize("bits", [2, 20])
+def test_forecast_over_many_stretches(spark, usage_rows, bits):
+    schema = "run_id string, def_id int, seq long, prompt_tokens long, completion_tokens long, seconds double, input_est long"
+    df = spark.createDataFrame(usage_rows, schema).repartition(5)
+    got = {r["seq"]: r["remaining_seconds"] for r in remaining_time(df, span_bits=bits).collect()}
+    assert got == {r["seq"]: r["remaining_seconds"] for r in remaining_time(df).collect()} and len(got) == len(usage_rows)
+
+
+def test_forecast_reads_the_table_once(spark, usage_rows, tmp_path):
+    schema = "run_id string, def_id int, seq long, prompt_tokens long, completion_tokens long, seconds double, input_est long"
+    path = str(tmp_path / "usage")
+    spark.createDataFrame(usage_rows, schema).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        plan = remaining_time(spark.read.parquet(path))._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert sum("FileScan" in line and f"{path}]" in line for line in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize("bits", [2, 20])
+def test_ordered_pieces(spark, rows, bits):
+    df = spark.createDataFrame(rows, "k string, at long, v long")
+    found = scale.ordered_pieces(df, ["k"], "at", F.col("at").cast("string"), ", ", 40, span_bits=bits)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (str(r["k"]), r["piece"])):
+        own = got.setdefault(r["k"], [])
+        assert r["piece"] == len(own) and len(r["folded"]) < 40 + 22
+        own.append(r["folded"])
+    for key, pieces in got.items():
+        assert ", ".join(pieces) == ", ".join(str(a) for a in sorted(at for k, at, _ in rows if k == key))
