@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.session import written
+from rowloom.session import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     stars = written(pairs.select(low.alias("u"), high.alias("v")).distinct(), "edges")
     seen = None
     while True:
-        stars = written(_small(_large(stars)), "stars")
+        before, stars = stars, written(_small(_large(stars)), "stars")
+        discard(before)
         mark = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break

@@ -61,6 +61,16 @@ def windows_at(words: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def doubled(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of every run of ``width`` words, a power of two, by its start: made of those of half the width."""
+    out, size = words, 1
+    while size < width:
+        if len(out) <= size:
+            return out[:0]
+        out, size = mixed(out[:-size] * _MIX[0] + out[size:]), size * 2
+    return out
+
+
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     """The distinct shingles, sorted; fewer words than ``width`` are one shingle, no words none."""
     if not len(words):

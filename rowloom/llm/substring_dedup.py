@@ -1,18 +1,23 @@
 """Removal of passages that repeat across documents.
 
 Paragraphs (lines of at least ``min_words`` words, and of at least one shingle) are compared by MinHash banding: bands and
-rows are tuned for high recall at the threshold, paragraphs that hang together by collisions in a band are one group, all pairs of a group are compared by the exact
-Jaccard of their word shingles (large groups in bounded blocks, block against block), and verified pairs are clustered by connected components. Passages inside of paragraphs are found by small paragraphs of ``WINDOW`` words
-that begin at places the words themselves choose; where such windows occur in several documents, every window around them
-is compared, so that a passage is found to its last word.
+rows are tuned for high recall at the threshold, paragraphs that hang together by collisions in a band are one group, all pairs of a
+group are compared by the exact Jaccard of their word shingles (large groups in bounded blocks, block against block), and verified
+pairs are clustered by connected components. Passages inside of paragraphs are found by windows of ``WINDOW`` words: of every
+``min_words`` words in a row the window with the smallest hash is kept, so any passage of that many words that two texts share has a
+window in both; where a window occurs in several texts, every window around it is compared, and a passage is found to its last word.
 
 The smallest doc_id that holds a passage keeps it; others lose it if it has at least ``min_words`` words in one stretch.
 Copies of whole texts are settled first, by hashes of the text alone.
 
+Decisions are made on ids, places and hashes. Whole texts are read three times and shuffled at most twice, each time in one join: with the
+places to look at, and with the cuts. What is written between the steps is freed when the next step no longer needs it.
+
 Defined results: null texts stay null, texts shorter than ``min_words`` and texts without repeats stay as they are, to the last
 character. Rows that share a doc_id count as one document: nothing in them repeats across documents. Rows
 without an id keep a passage only if no other row has it, and are one document together. What is removed goes with the white space
-behind it; lines that lose all words go as a whole. Columns beside the named ones are passed on unchanged.
+behind it; lines that lose all words go as a whole. Columns beside the named ones are passed on unchanged, whatever they are called,
+but for ``_removed`` and ``_kept_in``, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +37,17 @@ from rowloom.functions.names import all_named
 from rowloom.llm.common import columns, exact
 from rowloom.llm.components import components
 from rowloom.llm.jaccard_join import Threshold, block_tasks, links
-from rowloom.llm.shingles import Hasher, mixed, sequence_name, shingle_set, split_words, windows, windows_at
-from rowloom.session import written
+from rowloom.llm.shingles import Hasher, doubled, mixed, sequence_name, shingle_set, split_words, windows
+from rowloom.session import discard, written
 
 SHINGLE, SIMILARITY, RECALL, MIN_WORDS = 5, 0.8, 0.99, 50
-#: Words of a window, and how far the windows' starts must be from a rival on either side (so one start in about
-#: ``2 * REACH + 1`` words).
-WINDOW, REACH = 16, 4
+#: Words of a window, a power of two.
+WINDOW = 16
 #: Words that are worked on as one array.
 WORDS = 100_000
 #: Small tables (groups of copies, rows with removals) are broadcast up to this many values, those of arrays counted one by
 #: one, else shuffled.
-BROADCAST_VALUES = 2_000_000
+BROADCAST_VALUES = 20_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NO_ID = (1 << 63) - 1
@@ -71,22 +74,29 @@ def minhash(grams: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.n
     return key.view(np.int64)
 
 
-def starts(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Where windows begin: places whose pair of words has the smallest hash within ``REACH`` on both sides.
+def _extreme(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The extreme of every ``width`` values in a row, by its start."""
+    out, size = values, 1
+    while size * 2 <= width:
+        out, size = of(out[:-size], out[size:]), size * 2
+    return of(out[: len(values) - width + 1], out[width - size :]) if size < width else out
+
+
+def starts(words: np.ndarray, begins: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the kept windows begin, and their hashes: of every ``min_words`` words in a row the smallest.
 
     ``words`` holds several texts, one after the other; ``begins`` where each begins. No window leaves its text.
     """
-    pairs = windows(words, 2)
-    if len(pairs) < 2 * REACH + 1:
-        return np.zeros(0, dtype=np.int64)
-    least = sliding_window_view(pairs, 2 * REACH + 1)
-    smallest = least[:, 0].copy()
-    for i in range(1, 2 * REACH + 1):
-        np.minimum(smallest, least[:, i], out=smallest)
-    places = np.flatnonzero(smallest == pairs[REACH : len(pairs) - REACH]) + REACH
-    owner = np.searchsorted(begins, places, side="right") - 1
-    ends = np.append(begins[1:], len(words))[owner]
-    return places[(places - begins[owner] >= REACH) & (places + WINDOW <= ends)]
+    hashes, choice = doubled(words, WINDOW), min_words - WINDOW + 1
+    if len(words) < min_words:
+        return np.zeros(0, dtype=np.int64), hashes[:0]
+    ends = np.append(begins[1:], len(words))
+    left = np.repeat(ends, ends - begins) - np.arange(len(words))
+    least = np.where(left[: len(words) - min_words + 1] >= min_words, _extreme(hashes, choice, np.minimum), 0)
+    # A window is kept if it is the smallest of any of the choices that it stands in.
+    around = np.concatenate([np.zeros(choice - 1, np.uint64), least, np.zeros(choice - 1, np.uint64)])
+    places = np.flatnonzero((_extreme(around, choice, np.maximum) == hashes) & (hashes > 0))
+    return places, hashes[places]
 
 
 def spans(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,29 +117,38 @@ def remove_repeats(
 
     ``_removed`` holds the removed stretches as (first word, words), ``_kept_in`` the ids that keep their text.
     """
+    if min_words < WINDOW:
+        raise ValueError(f"min_words must be {WINDOW} at least")
     bands, band_rows = tune(similarity, recall)
     body = F.coalesce(exact(docs, text), F.lit(""))
-    rows = docs.select(
-        F.coalesce(exact(docs, key).cast("long"), F.lit(_NO_ID)).alias("_d"),
-        F.xxhash64(body).alias("_t"), F.xxhash64(F.lit(7), body).alias("_t2"), body.alias("_text"),
-    )
+    rows = docs.select(F.coalesce(exact(docs, key).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(body).alias("t"), body.alias("text"))
     # Copies of whole texts: the smallest id stands for all of them from here on.
-    copies = rows.groupBy("_t", "_t2").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
-    copies = _checked(written(copies.where(F.col("_first") < F.col("_last")).drop("_last"), "text-copies"))
-    alone = rows.join(copies, ["_t", "_t2"], "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("_d")))
-    alone = alone.select("_d", "_t", "_text")
-
-    found = written(_units(alone, min_words, bands, band_rows, shingle), "paragraph-units")
-    whole = _near_paragraphs(found.where(F.col("line") >= 0), alone, shingle, similarity)
-    inside = _repeated_windows(found.where(F.col("line") < 0), alone)
-    stretches = whole.unionByName(inside)
-    cuts = written(
-        stretches.groupBy("_d", "_t").agg(
-            F.sort_array(F.collect_list(F.struct("first", "n"))).alias("_cuts"), F.collect_set("keeper").alias("_keepers")
-        ),
-        "cuts",
+    ids = rows.select("d", "t", F.xxhash64(F.lit(7), "text").alias("t2"))
+    texts = written(ids.groupBy("t", "t2").agg(F.min("d").alias("first"), F.max("d").alias("last")), "texts")
+
+    units = written(_units(rows, min_words, bands, band_rows, shingle), "units")
+    lines, found = units.where(F.col("line") >= 0), units.where(F.col("line") < 0)
+    classes, shown = _paragraph_groups(lines)
+    around = _repeated_windows(found)
+    no_line, no_place = F.lit(None).cast("struct<line:int,node:bigint,root:bigint>"), F.lit(None).cast("int")
+    places = shown.select("d", "t", F.struct("line", "node", "root").alias("line"), no_place.alias("first")).unionByName(
+        around.select("d", "t", no_line.alias("line"), "first")
+    )
+    places = places.groupBy("d", "t").agg(F.collect_list("line").alias("lines"), F.sort_array(F.collect_set("first")).alias("places"))
+    is_first = texts.select(F.col("first").alias("d"), "t")
+    places = written(places.join(is_first, ["d", "t"], "left_semi"), "places")
+    looked = written(_looked(rows, _checked(places), shingle, min_words), "looked")
+    discard(places)
+
+    whole = _near_paragraphs(lines, classes, looked.where("node IS NOT NULL"), similarity)
+    inside, keepers = _held_windows(looked.where("names IS NOT NULL"))
+    stretches = whole.unionByName(inside).groupBy("d", "t").agg(
+        F.sort_array(F.collect_list(F.struct("first", "n"))).alias("cuts"), F.collect_set("keeper").alias("keepers")
     )
-    return _cut(docs, key, text, copies, _checked(cuts), min_words)
+    decided = texts.join(stretches.withColumnRenamed("d", "first"), ["first", "t"], "left")
+    decided = written(decided.where((F.col("last") > F.col("first")) | F.col("cuts").isNotNull()).drop("last"), "cuts")
+    discard(units, classes, looked, keepers)
+    return _cut(docs, key, text, _checked(decided), min_words)
 
 
 def _checked(table: DataFrame) -> DataFrame:
@@ -139,8 +158,8 @@ def _checked(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if counted <= BROADCAST_VALUES else table
 
 
-def _units(alone: DataFrame, min_words: int, bands: int, band_rows: int, shingle: int) -> DataFrame:
-    """Paragraphs ``(_d, _t, line, first, n, name, keys)`` and windows (the same with line -1 and no keys)."""
+def _units(rows: DataFrame, min_words: int, bands: int, band_rows: int, shingle: int) -> DataFrame:
+    """Paragraphs ``(d, t, line, first, n, name, keys)`` and kept windows (the same with line -1 and no keys)."""
 
     def some(texts: list[tuple[int, list[list[bytes]]]], hasher: Hasher) -> list[tuple]:
         """The columns of what a few texts give, worked on as one array of words."""
@@ -159,11 +178,11 @@ def _units(alone: DataFrame, min_words: int, bands: int, band_rows: int, shingle
             keys = minhash(windows(words, shingle)[places], first, bands, band_rows)
             names = [sequence_name(words[a : a + n]) for a, n in zip(line_first[long], sizes[long])]
             out.append((rows[owner], numbers[long], line_first[long] - begins[owner], sizes[long], np.array(names), list(keys)))
-        places = starts(words, begins)
+        places, names = starts(words, begins, min_words)
         owner = np.searchsorted(begins, places, side="right") - 1
-        names = windows_at(words, places, WINDOW).view(np.int64)
         nothing = np.full(len(places), -1)
-        out.append((rows[owner], nothing, places - begins[owner], np.full(len(places), WINDOW), names, [None] * len(places)))
+        windows_ = np.full(len(places), WINDOW)
+        out.append((rows[owner], nothing, places - begins[owner], windows_, names.view(np.int64), [None] * len(places)))
         return out
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,16 +193,16 @@ def _units(alone: DataFrame, min_words: int, bands: int, band_rows: int, shingle
                 picked = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("_d").take(picked), batch.column("_t").take(picked), pa.array(line, pa.int32()),
+                        batch.column("d").take(picked), batch.column("t").take(picked), pa.array(line, pa.int32()),
                         pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    names=["_d", "_t", "line", "first", "n", "name", "keys"],
+                    names=["d", "t", "line", "first", "n", "name", "keys"],
                 )
 
         for batch in batches:
             texts, n = [], 0
-            for row, value in enumerate(batch.column("_text")):
+            for row, value in enumerate(batch.column("text")):
                 lines = [line.split() for line in value.as_py().encode("utf-8", "surrogatepass").split(b"\n")]
                 size = sum(map(len, lines))
                 if size < min_words:
@@ -196,44 +215,67 @@ def _units(alone: DataFrame, min_words: int, bands: int, band_rows: int, shingle
             if texts:
                 yield from found(batch, texts)
 
-    return alone.mapInArrow(units, "_d long, _t long, line int, first int, n int, name long, keys array<long>")
+    return rows.mapInArrow(units, "d long, t long, line int, first int, n int, name long, keys array<long>")
 
 
-def _near_paragraphs(lines: DataFrame, alone: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Stretches ``(_d, _t, first, n, keeper)`` of paragraphs that a smaller id holds alike."""
-    # Equal paragraphs are one class; a class is named by its hash and shown by one of its places.
+def _paragraph_groups(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal paragraphs as classes ``(name, least, shown, keys)``, and where a class of each group is shown."""
     classes = written(
         lines.groupBy("name").agg(
-            F.min("_d").alias("least"), F.min(F.struct("_d", "_t", "line")).alias("shown"), F.first("keys").alias("keys")
+            F.min("d").alias("least"), F.min(F.struct("d", "t", "line")).alias("shown"), F.first("keys").alias("keys")
         ),
         "paragraph-classes",
     )
     # Heads only form the groups; inside a group every pair is compared.
     banded = classes.select("name", F.explode("keys").alias("band"))
     heads = banded.groupBy("band").agg(F.min("name").alias("head"), F.max("name").alias("last"))
-    heads = heads.where(F.col("head") < F.col("last")).drop("last")
+    heads = written(heads.where(F.col("head") < F.col("last")).drop("last"), "band-heads")
     groups = components(banded.join(heads, "band").where(F.col("name") != F.col("head")), "head", "name")
-    places = groups.join(classes, F.col("node") == F.col("name")).select("node", "root", "shown._d", "shown._t", "shown.line")
-    shown = alone.join(_checked(written(places, "shown")), ["_d", "_t"])
+    discard(heads)
+    return classes, groups.join(classes, F.col("node") == F.col("name")).select("node", "root", "shown.d", "shown.t", "shown.line")
+
+
+def _looked(rows: DataFrame, places: DataFrame, shingle: int, min_words: int) -> DataFrame:
+    """What the texts hold at the places: shingles of paragraphs, and all windows around those that repeat.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A row has ``node``, ``root``, ``n``, ``shingles`` or else ``d``, ``t``, ``first`` and ``names``, the windows from there on.
+    """
+    schema = pa.schema([
+        ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary()),
+        ("d", pa.int64()), ("t", pa.int64()), ("first", pa.int32()), ("names", pa.list_(pa.int64())),
+    ])
+    # A passage goes on for less than this beyond its first and its last kept window.
+    reach = min_words - WINDOW
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            n, values = [], []
-            for value, line in zip(batch.column("_text"), batch.column("line")):
-                found = shingle_set(_words(value.as_py().split("\n")[line.as_py()], hasher), shingle)
-                n.append(len(found))
-                values.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("root"), pa.array(n, pa.int64()), pa.array(values, pa.binary())],
-                names=["node", "root", "n", "shingles"],
-            )
-
+            for d, t, value, lines, at in zip(*(batch.column(c) for c in ("d", "t", "text", "lines", "places"))):
+                value, out = value.as_py(), []
+                if len(lines):
+                    text_lines = value.split("\n")
+                    for line in lines.as_py():
+                        found = shingle_set(_words(text_lines[line["line"]], hasher), shingle)
+                        out.append({"node": line["node"], "root": line["root"], "n": len(found), "shingles": found.tobytes()})
+                if len(at):
+                    hashes = doubled(_words(value, hasher), WINDOW).view(np.int64)
+                    begins = np.maximum(at.values.to_numpy() - reach, 0)
+                    ends = np.minimum(at.values.to_numpy() + reach + 1, len(hashes))
+                    apart = np.flatnonzero(np.r_[True, begins[1:] > ends[:-1]])
+                    for a, b in zip(begins[apart], ends[np.r_[apart[1:] - 1, len(ends) - 1]]):
+                        out.append({"d": d.as_py(), "t": t.as_py(), "first": int(a), "names": hashes[a:b]})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+
+    kinds = "node long, root long, n long, shingles binary, d long, t long, first int, names array<long>"
+    return rows.join(places, ["d", "t"]).select("d", "t", "text", "lines", "places").mapInArrow(look, kinds)
+
+
+def _near_paragraphs(lines: DataFrame, classes: DataFrame, looked: DataFrame, similarity: float) -> DataFrame:
+    """Stretches ``(d, t, first, n, keeper)`` of paragraphs that a smaller id holds alike."""
     # Rows of one id and equal text show the same paragraph; any of them will do.
-    shingles = shown.select("node", "root", "_text", "line").mapInArrow(sets, "node long, root long, n long, shingles binary")
-    shingles = written(
-        shingles.groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "paragraph-shingles"
-    )
+    shingles = looked.groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    shingles = written(shingles, "paragraph-shingles")
     share = Fraction(str(similarity))
     at = Threshold(share.numerator, share.denominator)
     tasks = block_tasks(shingles.select("root", "node", "n"), at).select("node", F.explode("tasks").alias("_task"))
@@ -246,47 +288,33 @@ def _near_paragraphs(lines: DataFrame, alone: DataFrame, shingle: int, similarit
         edges, _ = links(values, np.ones(len(nodes), dtype=np.int64), part["side"].to_numpy(), at)
         return pd.DataFrame([(nodes[a], nodes[b]) for a, b in edges], columns=["a", "b"], dtype=np.int64)
 
-    clusters = components(written(met.groupBy("task").applyInPandas(compare, "a long, b long"), "paragraph-links"))
+    linked = written(met.groupBy("task").applyInPandas(compare, "a long, b long"), "paragraph-links")
+    discard(shingles)
+    clusters = components(linked)
     clustered = classes.select("name", "least").join(clusters.withColumnRenamed("node", "name"), "name", "left")
     clustered = clustered.withColumn("root", F.coalesce("root", "name"))
     keepers = clustered.groupBy("root").agg(F.min("least").alias("keeper"))
-    kept = clustered.join(keepers, "root").select("name", "keeper")
-    return lines.join(kept, "name").where(F.col("keeper") < F.col("_d")).select("_d", "_t", "first", "n", "keeper")
+    # Written, so that Spark can split a paragraph that very many documents hold.
+    kept = written(clustered.join(keepers, "root").where(F.col("least") >= F.col("keeper")).select("name", "keeper"), "kept")
+    return lines.join(kept, "name").where(F.col("keeper") < F.col("d")).select("d", "t", "first", "n", "keeper")
 
 
-def _repeated_windows(found: DataFrame, alone: DataFrame) -> DataFrame:
-    """Stretches of windows that a smaller id holds too, at every place around the ones that were found to repeat."""
-    repeated = found.groupBy("name").agg(F.min("_d").alias("least"), F.max("_d").alias("most"))
-    repeated = repeated.where(F.col("least") < F.col("most")).select("name")
-    around = found.join(repeated, "name").groupBy("_d", "_t").agg(F.sort_array(F.collect_set("first")).alias("places"))
-    texts = alone.join(_checked(written(around, "repeated-windows")), ["_d", "_t"])
+def _repeated_windows(found: DataFrame) -> DataFrame:
+    """Kept windows ``(d, t, first)`` that other documents with another text hold as well."""
+    span = [f("d" if c == "d" else "t").alias(f"{n}_{c}") for c in ("d", "t") for n, f in (("least", F.min), ("most", F.max))]
+    repeated = found.groupBy("name").agg(*span).where("least_d < most_d AND least_t < most_t").select("name")
+    return found.join(written(repeated, "repeated"), "name").select("d", "t", "first")
 
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            owner, first, name = [], [], []
-            for row, (value, places) in enumerate(zip(batch.column("_text"), batch.column("places"))):
-                hashes = windows(_words(value.as_py(), hasher), WINDOW)
-                near = np.zeros(len(hashes) + 1, dtype=np.int64)
-                at = np.array(places.as_py())
-                # A stretch can go on for the longest way between two starts, in words, before another window shows it.
-                np.add.at(near, np.maximum(at - 3 * WINDOW, 0), 1)
-                np.add.at(near, np.minimum(at + 3 * WINDOW, len(hashes)), -1)
-                inside = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-                owner += [row] * len(inside)
-                first += inside.tolist()
-                name += hashes[inside].view(np.int64).tolist()
-            picked = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_d").take(picked), batch.column("_t").take(picked), pa.array(first, pa.int32()), pa.array(name, pa.int64())],
-                names=["_d", "_t", "first", "name"],
-            )
-
-    every = written(texts.mapInArrow(dense, "_d long, _t long, first int, name long"), "all-windows")
-    keepers = every.groupBy("name").agg(F.min("_d").alias("keeper"), F.max("_d").alias("last"))
-    keepers = keepers.where(F.col("keeper") < F.col("last")).drop("last")
-    held = every.join(keepers, "name").where(F.col("keeper") < F.col("_d"))
-    return held.select("_d", "_t", "first", F.lit(WINDOW).alias("n"), "keeper")
+
+def _held_windows(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stretches of windows that a smaller id holds too, and the table ``(name, keeper)`` they are found by."""
+    every = looked.select("d", "t", "first", F.posexplode("names").alias("at", "name")).select(
+        "d", "t", (F.col("first") + F.col("at")).alias("first"), "name"
+    )
+    keepers = every.groupBy("name").agg(F.min("d").alias("keeper"), F.max("d").alias("last"))
+    keepers = written(keepers.where(F.col("keeper") < F.col("last")).drop("last"), "keepers")
+    held = every.join(keepers, "name").where(F.col("keeper") < F.col("d"))
+    return held.select("d", "t", "first", F.lit(WINDOW).alias("n"), "keeper"), keepers
 
 
 def stretches_of(cuts: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
@@ -325,20 +353,21 @@ def without(text: str, cuts: list[tuple[int, int]]) -> str:
     return "\n".join(lines)
 
 
-def _cut(docs: DataFrame, key: str, text: str, copies: DataFrame, cuts: DataFrame, min_words: int) -> DataFrame:
+def _cut(docs: DataFrame, key: str, text: str, decided: DataFrame, min_words: int) -> DataFrame:
+    """The rows with their texts cut, by one join of the texts with the decisions on ``(t, t2)``."""
     body = F.coalesce(exact(docs, text), F.lit(""))
+    # The columns of the table stay together in one, so none of them can clash with those made here.
     rows = docs.select(
-        "*", F.coalesce(exact(docs, key).cast("long"), F.lit(_NO_ID)).alias("_d"),
-        F.xxhash64(body).alias("_t"), F.xxhash64(F.lit(7), body).alias("_t2"),
+        F.struct(*all_named(docs.columns)).alias("row"), F.coalesce(exact(docs, key).cast("long"), F.lit(_NO_ID)).alias("d"),
+        F.xxhash64(body).alias("t"), F.xxhash64(F.lit(7), body).alias("t2"),
     )
-    joined = rows.join(copies, ["_t", "_t2"], "left").join(cuts, ["_d", "_t"], "left")
-    result = "struct<text:string,removed:array<struct<first:int,n:int>>>"
+    joined = rows.join(decided, ["t", "t2"], "left")
 
-    @F.pandas_udf(result)
+    @F.pandas_udf("struct<text:string,removed:array<struct<first:int,n:int>>>")
     def apply(texts: pd.Series, cuts: pd.Series, is_copy: pd.Series) -> pd.DataFrame:
         out, removed = [], []
         for value, found, copied in zip(texts, cuts, is_copy):
-            if value is None or (found is None and not copied):
+            if value is None:
                 gone = []
             elif copied:
                 n = len(_WORD.findall(value))
@@ -349,19 +378,17 @@ def _cut(docs: DataFrame, key: str, text: str, copies: DataFrame, cuts: DataFram
             removed.append([{"first": a, "n": n} for a, n in gone])
         return pd.DataFrame({"text": out, "removed": removed})
 
-    is_copy = F.coalesce(F.col("_first") < F.col("_d"), F.lit(False))
-    touched = is_copy | F.col("_cuts").isNotNull()
-    # Texts without any repeat do not pass through Python.
-    done = joined.where(touched).withColumn("_done", apply(exact(docs, text), F.col("_cuts"), is_copy))
-    keepers = F.when(is_copy, F.array("_first")).otherwise(F.coalesce("_keepers", F.array().cast("array<long>")))
-    none = F.array().cast("array<struct<first:int,n:int>>")
-    kept_columns = [c for c in docs.columns]
-    changed = done.select(
-        *[F.col("_done.text").alias(c) if c == text else F.col(f"`{c}`") for c in kept_columns],
-        F.col("_done.removed").alias("_removed"),
-        F.when(F.size("_done.removed") > 0, keepers).otherwise(F.array().cast("array<long>")).alias("_kept_in"),
-    )
-    same = joined.where(~touched).select(
-        *all_named(kept_columns), none.alias("_removed"), F.array().cast("array<long>").alias("_kept_in")
+    is_copy = F.coalesce(F.col("first") < F.col("d"), F.lit(False))
+    touched = is_copy | F.col("cuts").isNotNull()
+    held = F.col("row").getField(text)
+    # Only texts that repeat anything pass through Python.
+    done = joined.withColumn("copied", is_copy).withColumn("touched", touched)
+    done = done.withColumn("done", apply(F.when(F.col("touched"), held), F.when(F.col("touched"), F.col("cuts")), F.col("copied")))
+    cut = F.col("touched") & (F.size("done.removed") > 0)
+    keepers = F.when(F.col("copied"), F.array("first")).otherwise(F.coalesce("keepers", F.array().cast("array<long>")))
+    kept = [c for c in docs.columns if c not in ("_removed", "_kept_in")]
+    return done.select(
+        *[(F.when(cut, F.col("done.text")).otherwise(held) if c == text else F.col("row").getField(c)).alias(c) for c in kept],
+        F.when(cut, F.col("done.removed")).otherwise(F.array().cast("array<struct<first:int,n:int>>")).alias("_removed"),
+        F.when(cut, keepers).otherwise(F.array().cast("array<long>")).alias("_kept_in"),
     )
-    return same.unionByName(changed)
