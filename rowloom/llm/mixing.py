@@ -12,7 +12,8 @@ in which the budget ends, and only that bucket is ordered.
 
 Defined results: a null or empty text has no tokens and is taken with its turn; null levels form a branch
 named ``''``; without a weight a branch gets ``default_weight``. Repeated rows are documents of their own. An
-empty table gives an empty result. All columns of the input are returned, with ``_epoch`` (from 0) added.
+empty table gives an empty result. All columns of the input are returned, with ``_epoch`` (from 0) added
+or, where the input has one, replaced.
 """
 
 from __future__ import annotations
@@ -109,11 +110,13 @@ def mix(
     names = [f"_level{i}" for i in range(len(levels))]
     # The row's own hash tells rows of one key apart, so that ties are decided by content.
     row = F.xxhash64(exact(docs, key), exact(docs, text))
+    # The columns of the table stay together in one, so none of them can clash with those made here.
     sized = docs.select(
-        "*", *[F.coalesce(level.cast("string"), F.lit("")).alias(n) for n, level in zip(names, levels)],
-        F.coalesce(count, F.lit(0)).cast("long").alias("_tokens"), row.alias("_row"),
+        F.struct(*all_named(docs.columns)).alias("doc"), exact(docs, key).alias("_key"), row.alias("_row"),
+        *[F.coalesce(level.cast("string"), F.lit("")).alias(n) for n, level in zip(names, levels)],
+        F.coalesce(count, F.lit(0)).cast("long").alias("_tokens"),
     )
-    slim = written(sized.select(exact(docs, key).alias("_key"), *names, "_tokens", "_row"), "mixing-sizes")
+    slim = written(sized.select("_key", *names, "_tokens", "_row"), "mixing-sizes")
     leaves = slim.groupBy(*names).agg(F.sum("_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
     held = {tuple(r[n] for n in names): r["n"] for r in leaves}
     amount = int(total * sum(held.values())) if isinstance(total, float) else total
@@ -150,6 +153,7 @@ def mix(
     taken = chosen[0].unionByName(chosen[1]).unionByName(chosen[2])
     # Rows that equal each other in key and text share all their places; one of them stands for all.
     taken = taken.distinct().groupBy("_key", "_row").agg(F.collect_set("_epoch").alias("_epochs"))
-    rows = sized.select(*all_named(docs.columns), exact(docs, key).alias("_own"), "_row")
+    rows = sized.select("doc", F.col("_key").alias("_own"), "_row")
     joined = rows.join(taken.withColumnRenamed("_row", "_row2"), F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_row") == F.col("_row2")))
-    return joined.select(*all_named(docs.columns), F.explode("_epochs").alias("_epoch"))
+    kept = [c for c in docs.columns if c != "_epoch"]
+    return joined.select(*[F.col("doc").getField(c).alias(c) for c in kept], F.explode("_epochs").alias("_epoch"))
