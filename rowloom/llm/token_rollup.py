@@ -50,7 +50,7 @@ class Rollup:
         """Stores the sums of a batch of signed rows under the batch's name."""
         if not batch or any(c in batch for c in "/\\=:") or batch.startswith(("_", ".")):
             raise ValueError(f"not a name for a batch: {batch!r}")
-        if batch in self._folded():
+        if self._folded().where(F.col("batch") == batch).limit(1).count():
             return
         summed = deltas.groupBy(*_KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         summed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch}")
@@ -60,18 +60,16 @@ class Rollup:
         rows = self._read(f"{self.path}/batches", f"{_SCHEMA}, batch string")
         base = self._base()
         if base:
-            folded = [b for b in self._folded()]
-            rows = rows.where(~F.col("batch").isin(folded)) if folded else rows
-            rows = rows.drop("batch").unionByName(self._read(f"{self.path}/{base}/sums", _SCHEMA))
+            rows = rows.join(self._folded(), "batch", "left_anti").drop("batch").unionByName(self._read(f"{self.path}/{base}/sums", _SCHEMA))
         out = rows.groupBy(*_KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return out.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def compact(self) -> None:
         """Folds all batches into a new base; the name list is written last and makes it valid."""
         number = int((self._base() or "base-0").split("-")[1]) + 1
-        names = sorted({*self._folded(), *self._batches()})
         self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base-{number}/sums")
-        listed = self.spark.createDataFrame([(n, number) for n in names], "batch string, base int")
+        stored = self._read(f"{self.path}/batches", f"{_SCHEMA}, batch string").select("batch")
+        listed = self._folded().unionByName(stored).distinct().withColumn("base", F.lit(number))
         listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/names/number={number}")
 
     def _read(self, path: str, schema: str) -> DataFrame:
@@ -82,14 +80,12 @@ class Rollup:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _batches(self) -> list[str]:
-        return [r[0] for r in self._read(f"{self.path}/batches", f"{_SCHEMA}, batch string").select("batch").distinct().collect()]
-
     def _base(self) -> str | None:
         last = self._read(f"{self.path}/names", "batch string, base int, number int").agg(F.max("base")).first()[0]
         return f"base-{last}" if last else None
 
-    def _folded(self) -> list[str]:
+    def _folded(self) -> DataFrame:
+        """The names of the batches that are in the base, one row each."""
         named = self._read(f"{self.path}/names", "batch string, base int, number int")
         last = named.agg(F.max("base")).first()[0]
-        return [] if not last else [r[0] for r in named.where(F.col("base") == last).select("batch").collect()]
+        return named.where(F.col("base") == (last or 0)).select("batch")
