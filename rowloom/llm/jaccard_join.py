@@ -165,7 +165,7 @@ def ngram_join(
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, n_links)`` per row: the smallest id reachable by links, and the direct links."""
     at = Threshold(num, den)
-    rows = columns(docs, _key=key, _text=text)
+    rows = columns(docs, _key=key, _text=text).withColumn("_t", F.xxhash64("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,15 +178,18 @@ def ngram_join(
                 names.append(digest(values) if len(values) else None)
                 keys.append(block_keys(values, at) if len(values) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["_key", "n", "name", "keys"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["_key", "_t", "n", "name", "keys"],
             )
 
-    found = written(rows.mapInArrow(sets_of, f"_key {kind}, n long, name binary, keys array<long>"), "sets")
+    found = written(rows.mapInArrow(sets_of, f"_key {kind}, _t long, n long, name binary, keys array<long>"), "sets")
     # Copies are combined before the shuffle; one row per different set is left.
     different = written(
         found.where(F.col("n") > 0).groupBy("name")
-        .agg(F.min("_key").alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+        .agg(
+            F.min("_key").alias("first"), F.min_by("_t", F.struct("_key", "_t")).alias("first_t"), F.first("n").alias("n"),
+            F.count("*").alias("copies"), F.first("keys").alias("keys"),
+        )
         .withColumn("node", F.monotonically_increasing_id()),
         "different-sets",
     )
@@ -195,24 +198,30 @@ def ngram_join(
     heads = heads.where(F.col("head") < F.col("last")).select("list", "head")
     near = listed.join(heads, "list").where(F.col("node") != F.col("head")).select("head", "node").distinct()
     groups = components(near, "head", "node")
-    members = groups.join(different.drop("keys"), "node").select("root", "node", "name", "first", "n", "copies")
+    members = groups.join(different.drop("keys"), "node").select("root", "node", "name", "first", "first_t", "n", "copies")
     members = block_tasks(written(members, "members"), at)
 
     def member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, seen = Hasher(), set()
         for batch in batches:
             keep, values = [], []
-            for row, (value, name) in enumerate(zip(batch.column("_text"), batch.column("name"))):
+            for row, (value, name, task) in enumerate(zip(batch.column("_text"), batch.column("name"), batch.column("task"))):
+                # Rows that repeat id and text come from a task once.
+                if (task.as_py(), name.as_py()) in seen:
+                    continue
                 found = shingle_set(hasher.words(split_words(value.as_py() or "")), width)
                 if digest(found) == name.as_py():
+                    seen.add((task.as_py(), name.as_py()))
                     keep.append(row)
                     values.append(found.tobytes())
             kept = batch.select(["task", "side", "node", "copies"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(values, pa.binary())], names=["task", "side", "node", "copies", "shingles"])
 
     small = members.count() <= BROADCAST_ROWS
-    wanted = members.select("name", "first", "node", "copies", "tasks")
-    texts = rows.join(F.broadcast(wanted) if small else wanted, F.col("_key").eqNullSafe(F.col("first")))
+    wanted = members.select("name", "first", "first_t", "node", "copies", "tasks")
+    # By id and text, so that rows without an id, or with a repeated one, meet the sets they have.
+    meets = F.col("_key").eqNullSafe(F.col("first")) & F.col("_t").eqNullSafe(F.col("first_t"))
+    texts = rows.join(F.broadcast(wanted) if small else wanted, meets)
     # Each set is computed once; then it goes to every task that needs it.
     texts = texts.select("_text", "name", "node", "copies", F.explode("tasks").alias("_task")).select(
         "_text", "name", "node", "copies", F.col("_task.task").alias("task"), F.col("_task.side").alias("side")
