@@ -1,23 +1,27 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-The markup is stripped into lines, one per block. Elements that are no article by their very kind
-(menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) leave blank lines behind. Text lengths are summed over sliding windows of lines; text begins where
-the sums surge and ends where they dive to nothing, and whatever lies between is kept. Headings and paragraphs that are too
-short to surge stay beside text that does.
-A marked article is evidence alone: blank lines lie along its border, what is removed inside of it leaves no gap, and
-text on the other side of the border than the page's largest window sum has to surge ``BESIDE`` times as high.
-Elements whose end tags are omitted end where HTML ends them.
+The markup is stripped into lines, one per block. A line weighs its characters less those of its links. Weights are summed over sliding
+windows of lines; text begins where the sums surge to ``SURGE`` of the page's largest one and ends where they dive below it,
+between any two lines. Of such a stretch light lines at either end go unless they are headings or paragraphs, and whatever lies between is kept.
+
+Tags are evidence for the sums. Elements of kinds that hold no article (menus, page headers and footers, sidebars, forms, scripts,
+styles) leave a gap. Elements whose class, id or role marks them (adverts, notices, comments, …) leave one too, but only if the rest
+of the page can be the article: a mark does not count on an element that holds every article, main and first-level heading of the
+page and ``LARGE`` of its weight, nor, where a page has none of these, on one that holds half of the weight. A marked article is
+kept whole if its sums surge: what is removed inside of it leaves no gap, and text on the other side of its border than the page's largest
+window sum has to surge ``BESIDE`` times as high. Headings and paragraphs that are too short to surge stay beside text that does.
+Elements whose end tags are omitted end where HTML ends them. A page is read in one pass, whatever is left open in it.
 
 Defined results: null or empty html gives ``''``; character references are decoded; white space inside a block
-becomes one space; blocks are joined by one line feed. Very long pages are read in one pass. Rows are
-independent, so repeated rows give equal texts, and columns beside the named ones are ignored.
+becomes one space; blocks are joined by one line feed. Rows are independent, so repeated rows give equal texts, and columns beside
+the named ones are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
@@ -31,6 +35,8 @@ WINDOW = 3
 SURGE = 0.15
 #: How much higher sums must surge across the border of a marked article.
 BESIDE = 2
+#: The share of a page's weight in an element that holds all its articles, from which on a mark on it does not count.
+LARGE = 0.3
 
 # Elements without article text, elements whose content is no markup, inline elements,
 # elements without content, and the words in class, id or role that mark what is no article.
@@ -49,6 +55,13 @@ MARKS = frozenset(
     "newsletter subscribe signup login search comment comments commentlist disqus replies share sharing social related "
     "recommended complementary contentinfo".split()
 )
+# Words that say nothing beside a mark (comment-list, top-ad); with any other word (no-sidebar, search-results) it is none.
+BESIDE_MARKS = frozenset(
+    "area bar block body bottom box center col column container content footer form global group header home inner item items left "
+    "link links list main mobile outer page post primary right row secondary section site slot small text thread top unit wrap wrapper".split()
+)
+# What the last line of a page says that is no article.
+_RIGHTS = re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | {"p"}
@@ -79,25 +92,29 @@ _IN_HEAD = frozenset("head base link meta noscript script style template title".
 _TABLE = frozenset(("table",))
 _TABLE_PARTS = _ROWS | _CELLS | {"tr"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"<>]*\"|'[^'<>]*')*+|[^>]*)>", re.S
-)
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
+# The rest of a tag whose quotes are closed.
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_END_OF_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
+def _is_marked(attributes: str, words: frozenset[str]) -> bool:
+    for found in _MARK.findall(attributes):
+        for token in "".join(found).lower().split():
+            parts = _WORD.findall(token)
+            if any(p in words for p in parts) and all(p in words or p in BESIDE_MARKS for p in parts):
+                return True
+    return False
 
 
 def _is_no_text(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element holds no article by its kind, or is not shown."""
     if name in NO_TEXT or (name == "header" and not inside):
         return True
-    if not attributes or name in ("html", "body", "article", "main") and not inside:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(
-        word in MARKS or (word == "header" and not inside)
-        for found in _MARK.findall(attributes) for word in _WORD.findall("".join(found).lower())
-    )
+    return bool(attributes) and name not in ("html", "body") and bool(_HIDDEN.search(attributes))
 
 
 class _Open:
@@ -157,53 +174,109 @@ class _Open:
             self.end(names, _SCOPE | {"ul", "ol"} if name == "li" else _SCOPE)
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool]]:
-    """The lines of a page, each with whether it lies in a marked article and whether in a heading or paragraph.
-
-    Blank lines stand where something was removed outside of articles, and along the border of articles.
-    """
-    lines: list[tuple[str, bool, bool]] = []
+@dataclass
+class Line:
+    """A block's text, its characters outside of links, and where it stands."""
+
+    text: str
+    weight: int
+    inside: bool  # in a marked article
+    prose: bool  # in a heading or paragraph
+    heading: bool
+    marks: tuple[int, ...]  # the marked elements around it
+    gap: bool  # something was removed in front of it
+
+
+@dataclass
+class Mark:
+    """A marked element: what of the page it holds."""
+
+    weight: int = 0
+    articles: int = 0
+
+
+class _Tags:
+    """The tags of a page in order; every search ends at a tag or is not begun again, so all of them take one pass."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, html.rfind(">"), 3
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """Start, end, name, attributes of the next tag and whether it closes; the name is empty for comments and the like."""
+        html = self.html
+        while True:
+            found = _TAG.search(html, at)
+            if found is None:
+                return None
+            start, at = found.span()
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), "", "", False
+            if at > self.last:
+                # No tag ends behind this place; only a comment can hide what follows.
+                at = html.find("<!--", at)
+                if at < 0:
+                    return None
+                continue
+            end = html.find(">", at) + 1
+            if found[2] and self.quotes:
+                rest = _REST.match(html, at)
+                end = rest.end() if rest else end
+                # A page with quotes that are never closed is read up to the next mark of a tag's end.
+                self.quotes -= rest is None
+            return start, end, (found[2] or "").lower(), html[at : end - 1], found[1] == "/"
+
+
+def lines_of(html: str) -> tuple[list[Line], list[Mark], int]:
+    """The lines of a page, its marked elements, and how many articles, main elements and first-level headings it has."""
+    lines: list[Line] = []
     block: list[str] = []
-    stack = _Open()
+    linked = 0  # characters of the block inside of links
+    stack, tags = _Open(), _Tags(html)
     articles: list[int] = []  # the depths of open articles
-    skipped = -1  # the depth of the element that is skipped
-    blank = [("", False, False)] * WINDOW
-    side = None
+    marked: list[tuple[int, int]] = []  # depths and numbers of open marked elements
+    marks: list[Mark] = []
+    skipped, n_articles, gap = -1, 0, False
     at, end = 0, len(html)
 
     def close_block() -> None:
-        nonlocal side
-        text = " ".join(unescape("".join(block)).split())
+        nonlocal gap, linked
+        text, in_links = " ".join(unescape("".join(block)).split()), linked
         block.clear()
+        linked = 0
         if not text:
             return
-        inside = bool(articles)
-        if side not in (None, inside):
-            lines.extend(blank)
-        side = inside
-        lines.append((text, inside, stack.last(PROSE) >= 0))
+        weight = max(0, len(text) - in_links)
+        for _, number in marked:
+            marks[number].weight += weight
+        heading = stack.last(HEADINGS) >= 0
+        lines.append(Line(text, weight, bool(articles), heading or stack.last(PROSE) >= 0, heading, tuple(n for _, n in marked), gap))
+        gap = False
 
     def settle() -> None:
-        """Forgets articles and the skipped element once they are no longer open."""
+        """Forgets articles, marked elements and the skipped one once they are no longer open."""
         nonlocal skipped
         while articles and articles[-1] >= len(stack.names):
             articles.pop()
+        while marked and marked[-1][0] >= len(stack.names):
+            marked.pop()
         if skipped >= len(stack.names):
             skipped = -1
 
     while at < end:
-        token = _TOKEN.search(html, at)
-        start = token.start() if token else end
+        tag = tags.next(at)
+        start = tag[0] if tag else end
         if skipped < 0 and start > at:
             block.append(html[at:start])
-        if token is None:
+            if stack.depths.get("a"):
+                linked += len(" ".join(unescape(html[at:start]).split()))
+        if tag is None:
             break
-        at = token.end()
-        if token[2] is None:
+        _, at, name, attributes, closing = tag
+        if not name:
             continue
-        closing, name, attributes = token[1] == "/", token[2].lower(), token[3]
         if name in RAW and not closing:
-            stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            stop = _END_OF_RAW[name].search(html, at)
             at = stop.end() if stop else end
             continue
         if name not in INLINE:
@@ -221,44 +294,119 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
         if name in VOID or attributes.endswith("/"):
             continue
         if skipped < 0:
-            if (attributes or name not in INLINE) and _is_no_text(name, attributes, bool(articles)):
+            top = name in ("html", "body") or name in ("article", "main") and not articles
+            is_marked = bool(attributes) and not top and _is_marked(attributes, MARKS if articles else MARKS | {"header"})
+            if _is_no_text(name, attributes, bool(articles)) or (is_marked and name in INLINE):
                 close_block()
                 skipped = len(stack.names)
-                if not articles:
-                    lines.extend(blank)
-            elif name in ("article", "main"):
-                articles.append(len(stack.names))
+                gap = gap or not articles
+            elif is_marked:
+                marked.append((len(stack.names), len(marks)))
+                marks.append(Mark())
+            if skipped < 0 and name in ("article", "main", "h1"):
+                n_articles += 1
+                for _, number in marked:
+                    marks[number].articles += 1
+                if name != "h1":
+                    articles.append(len(stack.names))
         stack.push(name)
     close_block()
-    return lines
+    return lines, marks, n_articles
 
 
 def main_text(html: str | None) -> str:
     """The text between surge and dive points of one page."""
-    return "\n".join(_between(lines_of(html))) if html else ""
-
-
-def _between(lines: list[tuple[str, bool, bool]]) -> list[str]:
-    sizes = [len(line) for line, _, _ in lines]
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    # Stretches of text between blank lines: lines, the largest sum, the side of the border, whether all are prose.
-    regions: list[tuple[list[str], int, bool, bool]] = []
-    fresh = True
-    for (line, inside, prose), total in zip(lines, sums):
-        if line and fresh:
-            regions.append(([line], total, inside, prose))
-        elif line:
-            found, peak, _, before = regions[-1]
-            found.append(line)
-            regions[-1] = (found, max(peak, total), inside, before and prose)
-        fresh = not line
-    _, most, main, _ = max(regions, key=lambda r: r[1], default=([], 0, False, False))
-    surges = [peak >= SURGE * most * (1 if inside == main else BESIDE) for _, peak, inside, _ in regions]
+    return "\n".join(_between(*lines_of(html))) if html else ""
+
+
+def _without_marked(lines: list[Line], marks: list[Mark], n_articles: int) -> list[Line]:
+    """The lines outside of the elements whose marks count."""
+    whole = sum(line.weight for line in lines)
+    counts = [
+        m.weight < LARGE * whole or m.articles < n_articles if n_articles else 2 * m.weight < whole for m in marks
+    ]
+    kept, gap = [], False
+    for line in lines:
+        if any(counts[number] for number in line.marks):
+            gap = gap or not line.inside
+            continue
+        line.gap = line.gap or gap
+        kept.append(line)
+        gap = False
+    return kept
+
+
+@dataclass
+class _Region:
+    """Lines without a gap on one side of an article's border."""
+
+    lines: list[Line]
+    sums: list[int]
+
+    @property
+    def peak(self) -> int:
+        return max(self.sums)
+
+    @property
+    def inside(self) -> bool:
+        return self.lines[0].inside
+
+
+def _regions(lines: list[Line]) -> list[_Region]:
+    found: list[list[Line]] = []
+    for line in lines:
+        if not found or line.gap or line.inside != found[-1][-1].inside:
+            found.append([])
+        found[-1].append(line)
+    regions = []
+    for some in found:
+        weights = [line.weight for line in some]
+        regions.append(_Region(some, [sum(weights[i : i + WINDOW]) for i in range(len(weights))]))
+    return regions
+
+
+def _stretches(region: _Region, least: float) -> list[Line]:
+    """The lines of a region between surge and dive points, without light lines at the ends of a stretch."""
+    n = len(region.lines)
+    high = [any(region.sums[j] >= least for j in range(max(0, i - WINDOW + 1), i + 1)) for i in range(n)]
+    out, i = [], 0
+    while i < n:
+        if not high[i]:
+            i += 1
+            continue
+        stop = i
+        while stop < n and high[stop]:
+            stop += 1
+        first, last = i, stop
+        while first < last and _is_light(region.lines[first], least):
+            first += 1
+        while first < last and (_is_light(region.lines[last - 1], least) or _RIGHTS.search(region.lines[last - 1].text) and region.lines[last - 1].weight < least):
+            last -= 1
+        out.extend(region.lines[first:last])
+        i = stop
+    return out
+
+
+def _is_light(line: Line, least: float) -> bool:
+    return not line.heading and line.weight * WINDOW < least and not (line.prose and line.weight > 0)
+
+
+def _between(lines: list[Line], marks: list[Mark], n_articles: int) -> list[str]:
+    regions = _regions(_without_marked(lines, marks, n_articles))
+    main = max(regions, key=lambda r: r.peak, default=None)
+    if main is None:
+        return []
+    least = [SURGE * main.peak * (1 if r.inside == main.inside else BESIDE) for r in regions]
+    surges = [r.peak >= t for r, t in zip(regions, least)]
     out: list[str] = []
-    for i, (found, _, inside, prose) in enumerate(regions):
-        beside = (j for j in (i - 1, i + 1) if 0 <= j < len(regions))
-        if surges[i] or (prose and any(surges[j] and regions[j][2] == inside for j in beside)):
-            out.extend(found)
+    for i, region in enumerate(regions):
+        if surges[i]:
+            kept = region.lines if region.inside else _stretches(region, least[i])
+            out.extend(line.text for line in kept)
+        elif all(line.prose for line in region.lines):
+            beside = (j for j in (i - 1, i + 1) if 0 <= j < len(regions))
+            if any(surges[j] and regions[j].inside == region.inside for j in beside):
+                out.extend(line.text for line in region.lines)
     return out
 
 

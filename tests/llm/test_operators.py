@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rowloom.llm import (
     html_text, jaccard_join, mixing, packing, quality_model, quality_rules, substring_dedup, token_rollup, vector_search, warc,
 )
+from rowloom.llm.common import table
 from rowloom.llm.components import components
 from rowloom.llm.queries import QUERIES, SQL, tokenizer_path
 from rowloom.llm.tokens import Encoder
@@ -425,11 +426,87 @@ def test_omitted_end_tags(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("mark", [
+    "layout no-sidebar", "page has-banner", "with-comments", "post share-enabled", "search-results", "code-comment", "sidebar", "comments",
+])
+def test_marks_do_not_drop_the_article(mark):
+    for tag, head in (("div", "<h1>Title</h1>"), ("section", "")):
+        html = f'<body><nav>menu</nav><{tag} class="{mark}">{head}<p>{LONG}</p><p>{LONG}</p><p>end</p></{tag}><footer>x</footer></body>'
+        want = "\n".join(([head[4:9]] if head else []) + [LONG.strip()] * 2 + ["end"])
+        assert html_text.main_text(html) == want, (tag, mark)
+
+
+def test_marks_count_beside_an_article():
+    talk = "<li><article><p>" + LONG * 3 + "</p></article></li>"
+    html = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div class='comments'><ol class='comment-list'>{talk * 6}</ol></div>"
+    assert html_text.main_text(html) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_menus_without_marks():
+    menu = "".join(f'<div><a href="/{i}">Topic number {i}</a></div>' for i in range(9)) + "<div>Home</div><div>About us</div>"
+    article = f"<div>{LONG}</div><div>A short remark.</div><div>{LONG}</div><div>{LONG}</div>"
+    html = f"<body>{menu}<h1>Title</h1>{article}<div>Contact</div><div>All rights reserved. 2024</div>{menu}</body>"
+    assert html_text.main_text(html) == "\n".join(["Title", LONG.strip(), "A short remark.", LONG.strip(), LONG.strip()])
+    assert html_text.main_text(f'<p title="a > b">{LONG}</p>') == LONG.strip()
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '>", "<p>", "<b>", "</div>", "<!-", "<div class=ad>", '<a x=">" ', "&lt;", "<script>", "<li><p>x", "<"])
+def test_hostile_pages_take_one_pass(piece):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 6
+
+
+def test_pages_against_their_articles(spark):
+    """Precision and recall of words over all pages; the truth is what stands in the article by another parser's account."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.words = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.words += data.split()
+
+    pages = table(spark, SF_DIR, "pages")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    kept = right = wanted = 0
+    for row in QUERIES["op4_html_extraction"](spark, SF_DIR).collect():
+        parser = Article()
+        parser.feed(html[row["page_id"]])
+        assert row["n_chars"] == len(row["text"])
+        got = row["text"].split()
+        same = sum(a == b for a, b in zip(got, parser.words))
+        kept, right, wanted = kept + len(got), right + same, wanted + len(parser.words)
+    assert right >= 0.99 * kept and right >= 0.99 * wanted
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>ä b</p>", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect()), key=repr) == [(1, "u", "ä b", 3), (None, None, "", 0)]
 
 
+def test_rows_without_ids_fetch_their_own_texts(spark):
+    """Each text is fetched for the sets it has, however many rows share an id or have none."""
+    base = [" ".join(f"t{i}x{w}" for w in range(60)) for i in range(40)]
+    rows = [(None, t) for t in base] + [(None, t + " and more") for t in base] + [(7, t + " and others") for t in base] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard_join.ngram_join(df)
+    got = sorted((r["component_id"] is None, r["n_links"]) for r in out.collect())
+    # Every text has its longer forms as links: one without an id, three copies with one.
+    assert got == [(False, 4)] * 200 and {r["component_id"] for r in out.collect()} == {7}
+
+
 def test_rollup(spark, docs, tmp_path):
     rollup = token_rollup.Rollup(spark, str(tmp_path / "rollup"))
     df = docs.withColumn("source", F.lit("s")).withColumn("lang", F.when(F.col("doc_id") > 5, F.lit("en")))
