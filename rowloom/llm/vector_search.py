@@ -207,7 +207,7 @@ def _nearest_of_length(rows: DataFrame, length: int, k: int, every: int, confide
     asked = written(asked.select(F.col("name").alias("query"), "cell", F.col("x").alias("q")), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
-    part = "query long, cell long, q binary, bound double"
+    part = "query long, cell long, bound double"
     answer = "query long, name long, score double"
 
     def search(own: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
@@ -225,16 +225,18 @@ def _nearest_of_length(rows: DataFrame, length: int, k: int, every: int, confide
         })
 
     def run(wanted: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("query"), F.lit(blocks))
-        copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-        left = copies.groupBy("cell", "block")
-        return left.cogroup(wanted.withColumn("block", block.cast("long")).groupBy("cell", "block")).applyInPandas(search, answer)
+        """Visits ``(query, cell, bound)`` meet the vectors of their cell, which is copied only to blocks of queries that visit it."""
+        dealt = wanted.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("long"))
+        visited = dealt.select(F.col("cell").alias("visited"), F.col("block").alias("by")).distinct()
+        copies = index.join(visited, F.col("cell") == F.col("visited")).drop("visited").groupBy("cell", "by")
+        those = dealt.join(asked.select("query", "q"), "query").groupBy("cell", "block")
+        return copies.cogroup(those).applyInPandas(search, answer)
 
     def best(answers: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))
         return answers.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
 
-    home = written(run(asked.withColumn("bound", F.lit(float("-inf")))), "own-cells")
+    home = written(run(asked.select("query", "cell", F.lit(float("-inf")).alias("bound"))), "own-cells")
     answers = home
     if depth:
         low_high = [F.min(F.col("y")[d]).alias(f"low{d}") for d in range(PROJECTED)] + [F.max(F.col("y")[d]).alias(f"high{d}") for d in range(PROJECTED)]
@@ -256,11 +258,11 @@ def _nearest_of_length(rows: DataFrame, length: int, k: int, every: int, confide
                 row, cell = np.nonzero(near)
                 taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column("query"), pa.array(numbers[cell], pa.int64()), taken.column("q"), taken.column("bound")],
-                    names=["query", "cell", "q", "bound"],
+                    [taken.column("query"), pa.array(numbers[cell], pa.int64()), taken.column("bound")],
+                    names=["query", "cell", "bound"],
                 )
 
-        answers = home.unionByName(run(bounded.mapInArrow(visits, part)))
+        answers = home.unionByName(run(written(bounded.mapInArrow(visits, part), "visits")))
     top = best(answers).join(entries.select("name", "ids"), "name")
     pairs = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("id")))
     lists = top.groupBy("query").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("all"))
