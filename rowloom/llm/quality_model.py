@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -247,18 +248,19 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``_score``, the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 1 MB, whatever the data
 
-    @F.pandas_udf("double")
-    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def probability(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, model = Words(), shared.value
         for part in parts:
             if "constant" in model:
-                yield pd.Series(np.full(len(part), model["constant"]))
+                yield pa.array(np.full(len(part), model["constant"]))
                 continue
-            out = []
+            out = [np.zeros(0)]
+            # Few texts at a time become Python strings; the batch stays as it came.
             for start in range(0, len(part), ROWS):
-                x = pooled([t or "" for t in part.iloc[start : start + ROWS]], model["vectors"], words)
+                x = pooled([t or "" for t in part.slice(start, ROWS).to_pylist()], model["vectors"], words)
                 out.append(_sigmoid(_logits(model, x) / model["temperature"]))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pa.array(np.concatenate(out).astype(np.float64))
 
     return docs.withColumn("_score", probability(F.coalesce(F.col(text), F.lit(""))))
 
