@@ -2,7 +2,10 @@
 
 Index level: the positions of the hash space are cut into blocks, as many as two linked sets of a size can differ in
 and some more, so linked sets agree in a whole block. An index list holds the sets that agree in a block;
-sets with no block in common are never compared. Answer level: sets that hang together by lists are compared
+sets with no block in common are never compared. Sets that meet in a list for a passage they share are many, so every pair of a list is
+first held against 128 bits of each set, one per MinHash: pairs whose bits agree less often than those of linked sets do by eight
+standard deviations (a chance of about 1e-12 for a link) are skipped, and only what is left hangs together. Answer level: sets that
+hang together are compared
 inside a task over index lists ordered by size, of which only the part behind a set's own position is read; and
 the answer of a set is derived from the computed answer of a highly similar one by reading the lists of the
 shingles alone in which the two differ.
@@ -37,6 +40,13 @@ GROUP_SHINGLES = 2_000_000
 BROADCAST_ROWS = 600_000
 #: Answers kept to derive others from.
 PIVOTS = 8
+#: Sets of one list that one task holds against each other; longer lists are cut into pairs of blocks.
+LIST_SETS = 30_000
+#: Texts whose keys are held at a time.
+ROWS = 1_000
+#: Bits of a set's sketch.
+BITS = 128
+_SEEDS = mixed(np.arange(1, BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Threshold:
@@ -92,6 +102,56 @@ def block_keys(values: np.ndarray, at: Threshold) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """One bit of the smallest shingle under each of ``BITS`` permutations."""
+    least = np.full(BITS, np.iinfo(np.uint64).max)
+    for at in range(0, len(values), 4096):
+        some = (values[at : at + 4096, None] ^ _SEEDS) * np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, some.min(axis=0), out=least)
+    return np.packbits((least >> np.uint64(20)) & np.uint64(1) == 1).tobytes()
+
+
+def least_agreeing(at: Threshold) -> int:
+    """How many bits of linked sets agree at least, but for eight standard deviations."""
+    share = (1 + at.num / at.den) / 2
+    return int(BITS * share - 8 * np.sqrt(BITS * share * (1 - share)))
+
+
+def list_clusters(tasks: np.ndarray, sides: np.ndarray, bits: np.ndarray, least: int) -> np.ndarray:
+    """For each row the first one of its cluster, in rows sorted by task: what pairs of a task join whose bits agree often enough.
+
+    ``bits`` has two numbers a row. Rows of one task on the same side (a number of at least 0) are not compared. Pairs that hang together
+    already are not looked at again.
+    """
+    n = len(tasks)
+    label = np.arange(n)
+    starts = np.flatnonzero(np.r_[True, tasks[1:] != tasks[:-1]])
+    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+
+    def top(i: int) -> int:
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    active, step = np.arange(n), 0
+    while len(active):
+        step += 1
+        active = active[active + step < ends[active]]
+        apart = label[active] != label[active + step]
+        apart &= (sides[active] < 0) | (sides[active] != sides[active + step])
+        one = active[apart]
+        other = one + step
+        agreeing = BITS - np.bitwise_count(bits[one] ^ bits[other]).sum(axis=1, dtype=np.int64)
+        near = agreeing >= least
+        for i, j in zip(one[near].tolist(), other[near].tolist()):
+            low, high = sorted((top(i), top(j)))
+            label[high] = low
+        if near.any():
+            while not (label[label] == label).all():
+                label = label[label]
+    return label
+
+
 def links(sets: list[np.ndarray], weights: np.ndarray, sides: np.ndarray, at: Threshold):
     """Links among sets: ``(edges, counts)``.
 
@@ -170,35 +230,35 @@ def ngram_join(
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
-            n, names, keys = [], [], []
+        for batch in (whole.slice(at_row, ROWS) for whole in batches for at_row in range(0, whole.num_rows, ROWS)):
+            n, names, keys, bits = [], [], [], []
             for value in batch.column(1):
                 values = shingle_set(hasher.words(split_words(value.as_py() or "")), width)
                 n.append(len(values))
                 names.append(digest(values) if len(values) else None)
                 keys.append(block_keys(values, at) if len(values) else None)
+                bits.append(sketch(values) if len(values) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["_key", "_t", "n", "name", "keys"],
+                [
+                    batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(names, pa.binary()),
+                    pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
+                ],
+                names=["_key", "_t", "n", "name", "keys", "bits"],
             )
 
-    found = written(rows.mapInArrow(sets_of, f"_key {kind}, _t long, n long, name binary, keys array<long>"), "sets")
+    found = written(rows.mapInArrow(sets_of, f"_key {kind}, _t long, n long, name binary, keys array<long>, bits binary"), "sets")
     # Copies are combined before the shuffle; one row per different set is left.
     different = written(
         found.where(F.col("n") > 0).groupBy("name")
         .agg(
             F.min("_key").alias("first"), F.min_by("_t", F.struct("_key", "_t")).alias("first_t"), F.first("n").alias("n"),
-            F.count("*").alias("copies"), F.first("keys").alias("keys"),
+            F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("bits").alias("bits"),
         )
         .withColumn("node", F.monotonically_increasing_id()),
         "different-sets",
     )
-    listed = different.select("node", F.explode("keys").alias("list"))
-    heads = listed.groupBy("list").agg(F.min("node").alias("head"), F.max("node").alias("last"))
-    heads = heads.where(F.col("head") < F.col("last")).select("list", "head")
-    near = listed.join(heads, "list").where(F.col("node") != F.col("head")).select("head", "node").distinct()
-    groups = components(near, "head", "node")
-    members = groups.join(different.drop("keys"), "node").select("root", "node", "name", "first", "first_t", "n", "copies")
+    groups = components(_near_sets(different, at), "head", "node")
+    members = groups.join(different.drop("keys", "bits"), "node").select("root", "node", "name", "first", "first_t", "n", "copies")
     members = block_tasks(written(members, "members"), at)
 
     def member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +312,39 @@ def ngram_join(
     )
 
 
+def _near_sets(different: DataFrame, at: Threshold) -> DataFrame:
+    """Edges ``(head, node)`` that join the sets of each list whose bits agree often enough."""
+    listed = different.select("node", F.explode("keys").alias("list"))
+    counts = listed.groupBy("list").agg(F.count("*").alias("sets")).where(F.col("sets") > 1)
+    entries = listed.join(counts, "list").join(different.select("node", "bits"), "node")
+    entries = written(entries.select("list", "sets", "node", "bits"), "list-entries")
+    short = entries.where(F.col("sets") <= LIST_SETS).select(F.col("list").alias("task"), "node", F.lit(-1).alias("side"), "bits")
+    # Blocks of long lists; each set weighs so much that a block holds half of ``LIST_SETS``.
+    long = entries.where(F.col("sets") > LIST_SETS)
+    weight = F.lit(GROUP_SHINGLES // LIST_SETS).cast("long").alias("n")
+    tasks = block_tasks(long.select(F.col("list").alias("root"), "node", "bits", weight), at)
+    split = tasks.select("node", "bits", F.explode("tasks").alias("t")).select(
+        F.xxhash64("t.task").alias("task"), "node", F.col("t.side").alias("side"), "bits"
+    )
+    least = least_agreeing(at)
+
+    def clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        # Lists are short and dealt evenly, so a task holds a share of all entries: some 50 bytes each.
+        whole = pa.Table.from_batches(held)
+        task, node, side = (whole[c].to_numpy() for c in ("task", "node", "side"))
+        bits = np.frombuffer(b"".join(whole["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        first = list_clusters(task, side, bits, least)
+        joined = np.flatnonzero(first != np.arange(len(first)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[first[joined]]), pa.array(node[joined])], names=["head", "node"])
+
+    rows = short.unionByName(split).repartition("task").sortWithinPartitions("task", "node")
+    edges = rows.mapInArrow(clusters, "head long, node long").where(F.col("head") != F.col("node"))
+    return edges.distinct()
+
+
 def block_tasks(members: DataFrame, at: Threshold) -> DataFrame:
     """Adds the comparing tasks of each member: one for a group of bounded size, else one per pair of its blocks.
 

@@ -496,6 +496,40 @@ def test_extract(spark):
     assert sorted(map(tuple, html_text.extract(df).collect()), key=repr) == [(1, "u", "ä b", 3), (None, None, "", 0)]
 
 
+@pytest.mark.parametrize("most", [30_000, 12])
+def test_five_words_with_shared_passages(spark, monkeypatch, most):
+    """Many texts that share a passage and are not alike, beside families that are: the links of brute force, and small groups."""
+    monkeypatch.setattr(jaccard_join, "LIST_SETS", most)
+    rng = random.Random(41)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"u{i}x{w}" for w in range(60)] for i in range(60)]
+    for family in range(6):
+        base = [f"f{family}x{w}" for w in range(150)] + passage
+        for copy in range(14):
+            own = list(base)
+            for _ in range(copy % 5):
+                own[rng.randrange(150)] = f"e{family}x{copy}x{rng.random()}"
+            texts.append(own)
+    rng.shuffle(texts)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in texts]
+    n_links = [sum(5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.ngram_join(df, 80, 100, 5).collect()}
+    assert [got[i] for i in range(len(texts))] == n_links and max(n_links) >= 5
+
+
+def test_sketches_keep_linked_sets():
+    at = jaccard_join.Threshold(4, 5)
+    rng = np.random.default_rng(8)
+    agreeing = []
+    for _ in range(300):
+        shared = rng.integers(0, 1 << 63, 800).astype(np.uint64)
+        one, other = (np.unique(np.append(shared, rng.integers(0, 1 << 63, 100).astype(np.uint64))) for _ in range(2))
+        a, b = (np.frombuffer(jaccard_join.sketch(v), np.uint64) for v in (one, other))
+        agreeing.append(jaccard_join.BITS - int(np.bitwise_count(a ^ b).sum()))
+    assert min(agreeing) >= jaccard_join.least_agreeing(at) + 5 and 113 <= np.mean(agreeing) <= 117
+
+
 def test_rows_without_ids_fetch_their_own_texts(spark):
     """Each text is fetched for the sets it has, however many rows share an id or have none."""
     base = [" ".join(f"t{i}x{w}" for w in range(60)) for i in range(40)]
