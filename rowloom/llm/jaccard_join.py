@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import columns
+from rowloom.llm.common import columns, tidy
 from rowloom.llm.components import components
 from rowloom.llm.shingles import Hasher, digest, mixed, shingle_set, split_words
 from rowloom.session import written
@@ -246,7 +246,7 @@ def ngram_join(
                 names=["_key", "_t", "n", "name", "keys", "bits"],
             )
 
-    found = written(rows.mapInArrow(sets_of, f"_key {kind}, _t long, n long, name binary, keys array<long>, bits binary"), "sets")
+    found = written(rows.mapInArrow(tidy(sets_of), f"_key {kind}, _t long, n long, name binary, keys array<long>, bits binary"), "sets")
     # Copies are combined before the shuffle; one row per different set is left.
     different = written(
         found.where(F.col("n") > 0).groupBy("name")
@@ -286,7 +286,7 @@ def ngram_join(
     texts = texts.select("_text", "name", "node", "copies", F.explode("tasks").alias("_task")).select(
         "_text", "name", "node", "copies", F.col("_task.task").alias("task"), F.col("_task.side").alias("side")
     )
-    sets = texts.mapInArrow(member_sets, "task string, side int, node long, copies long, shingles binary")
+    sets = texts.mapInArrow(tidy(member_sets), "task string, side int, node long, copies long, shingles binary")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates(["node"])
@@ -341,7 +341,7 @@ def _near_sets(different: DataFrame, at: Threshold) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(node[first[joined]]), pa.array(node[joined])], names=["head", "node"])
 
     rows = short.unionByName(split).repartition("task").sortWithinPartitions("task", "node")
-    edges = rows.mapInArrow(clusters, "head long, node long").where(F.col("head") != F.col("node"))
+    edges = rows.mapInArrow(tidy(clusters), "head long, node long").where(F.col("head") != F.col("node"))
     return edges.distinct()
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import columns
+from rowloom.llm.common import columns, tidy
 from rowloom.llm.tokens import worker_encoder
 from rowloom.session import written
 
@@ -72,7 +72,7 @@ def pieces(
 
     chosen = columns(docs, **{key: key, "_text": text})
     kind = chosen.schema[key].dataType.simpleString()
-    return chosen.mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return chosen.mapInArrow(tidy(cut), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:

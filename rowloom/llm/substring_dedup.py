@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.names import all_named
-from rowloom.llm.common import columns, exact
+from rowloom.llm.common import exact, tidy
 from rowloom.llm.components import components
 from rowloom.llm.jaccard_join import Threshold, block_tasks, links
 from rowloom.llm.shingles import Hasher, doubled, mixed, sequence_name, shingle_set, split_words, windows
@@ -215,7 +215,7 @@ def _units(rows: DataFrame, min_words: int, bands: int, band_rows: int, shingle:
             if texts:
                 yield from found(batch, texts)
 
-    return rows.mapInArrow(units, "d long, t long, line int, first int, n int, name long, keys array<long>")
+    return rows.mapInArrow(tidy(units), "d long, t long, line int, first int, n int, name long, keys array<long>")
 
 
 def _paragraph_groups(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -268,7 +268,7 @@ def _looked(rows: DataFrame, places: DataFrame, shingle: int, min_words: int) ->
                     yield pa.RecordBatch.from_pylist(out, schema)
 
     kinds = "node long, root long, n long, shingles binary, d long, t long, first int, names array<long>"
-    return rows.join(places, ["d", "t"]).select("d", "t", "text", "lines", "places").mapInArrow(look, kinds)
+    return rows.join(places, ["d", "t"]).select("d", "t", "text", "lines", "places").mapInArrow(tidy(look), kinds)
 
 
 def _near_paragraphs(lines: DataFrame, classes: DataFrame, looked: DataFrame, similarity: float) -> DataFrame:
