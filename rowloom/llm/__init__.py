@@ -1,18 +1,7 @@
 """Operators for training corpora, and the queries that apply them to whole tables."""
 
-import importlib
 import sys
 
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def load() -> tuple[dict, dict]:
-    """All queries of this subpackage and of the pipeline, and their SQL, by name."""
-    found, sql = {}, {}
-    for name in ("rowloom.llm.queries", "corpus_pipeline"):
-        module = importlib.import_module(name)
-        found.update(module.QUERIES)
-        sql.update(module.SQL)
-    return found, sql
