@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import columns
+from rowloom.llm.common import columns, tidy
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
@@ -36,33 +36,101 @@ BUCKETS, DIMENSIONS, HIDDEN = 4096, 64, 32
 EPOCHS, BATCH, RATE, SEED = 30, 128, 3e-3, 7
 #: Parts of the sample; each gives one partial table of context vectors (1 MB).
 PARTS = 12
-CACHE_WORDS = 100_000
-#: Documents per matrix product.
-ROWS = 64
+CACHE_WORDS = 50_000
+#: Documents that are pooled together, and words of several documents that are looked up together.
+ROWS, NEW_WORDS = 64, 10_000
 
 _SHAPES = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile(r"\d+"), "0"))
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of every word's features (itself, its trigrams, its shape), one word after the other, and how many each has.
+
+    Words hold no white space. They are worked on as one array of bytes; a feature's bucket is the crc32 of its name.
+    """
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    joined = "\n".join(words)
+    low = joined.lower().replace("\n", ">\n<").join("<>").encode("utf-8", "replace")
+    data = np.frombuffer(low + b"\n", np.uint8)
+    # Where characters begin, the line ends between words among them.
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    breaks = data[begins] == 10
+    owner = np.cumsum(breaks) - breaks
+    # Trigrams of a very long word are those of its whole length: features are a set of bounded size.
+    inside = np.flatnonzero(owner[: len(begins) - 3] == owner[3:]) if len(begins) > 3 else np.zeros(0, dtype=np.int64)
+    first, stop = begins[inside], begins[inside + 3]
+    crc = np.full(len(inside), 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(int((stop - first).max(initial=0))):
+        byte = data[np.minimum(first + i, len(data) - 1)]
+        crc = np.where(first + i < stop, _CRC[(crc ^ byte) & 0xFF] ^ (crc >> 8), crc)
+    shape = joined
+    for pattern, name in _SHAPES:
+        shape = pattern.sub(name, shape)
+    crc32, numbers = zlib.crc32, np.arange(len(words)) * BUCKETS
+    whole = np.array([crc32(b"w" + word) for word in low.split(b"\n")]) % BUCKETS
+    shaped = np.array([crc32(b"s" + one) for one in shape.encode("utf-8", "replace").split(b"\n")]) % BUCKETS
+    trigrams = (crc ^ np.uint32(0xFFFFFFFF)) % BUCKETS
+    every = np.sort(np.concatenate([numbers[owner[inside]] + trigrams, numbers + whole, numbers + shaped]))
+    every = every[np.append(True, every[1:] != every[:-1])]
+    return every % BUCKETS, np.bincount(every // BUCKETS, minlength=len(words))
+
+
+def _means(words: list[str], vectors: np.ndarray) -> np.ndarray:
+    """A row per word: the mean of ``vectors`` over its features."""
+    out = np.zeros((len(words), vectors.shape[1]), dtype=np.float32)
+    for at in range(0, len(words), 10_000):
+        flat, sizes = features_of(words[at : at + 10_000])
+        # The first feature of all words, then the second of those that have one, and so on; words with most come first.
+        order = np.argsort(-sizes, kind="stable")
+        first, least = (np.cumsum(sizes) - sizes)[order], -sizes[order]
+        sums = np.zeros((len(sizes), vectors.shape[1]), dtype=np.float32)
+        for i in range(int(sizes.max(initial=0))):
+            n = np.searchsorted(least, -i)
+            sums[:n] += vectors[flat[first[:n] + i]]
+        out[at + order] = sums / sizes[order, None]
+    return out
+
+
 class Words:
-    """Hashed features of words, remembered for a bounded number of them."""
+    """Vectors of words, remembered for a bounded number of them."""
 
     def __init__(self):
-        self.known: dict[str, np.ndarray] = {}
-
-    def features(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            shape = word
-            for pattern, name in _SHAPES:
-                shape = pattern.sub(name, shape)
-            low = f"<{word.lower()}>"
-            # Trigrams of a very long word are those of its whole length: features are a set of bounded size.
-            names = {"w" + low, "s" + shape, *(low[i : i + 3] for i in range(len(low) - 2))}
-            found = np.array(sorted({zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names}), dtype=np.int64)
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        self.places: dict[str, int] = {}
+        self.of: np.ndarray | None = None
+        self.means = np.zeros((0, 0), dtype=np.float32)
+
+    def learn(self, words: set[str], vectors: np.ndarray) -> None:
+        """Makes sure that all of these words are known."""
+        if self.of is not vectors:
+            self.of, self.means = vectors, np.zeros((1024, vectors.shape[1]), dtype=np.float32)
+            self.places.clear()
+        unseen = sorted(words.difference(self.places))
+        if len(self.places) + len(unseen) > CACHE_WORDS:
+            self.places.clear()
+            unseen = sorted(words)
+        start, end = len(self.places), len(self.places) + len(unseen)
+        if end > len(self.means):
+            larger = np.zeros((max(end, min(2 * end, CACHE_WORDS)), vectors.shape[1]), dtype=np.float32)
+            larger[:start] = self.means[:start]
+            self.means = larger
+        if unseen:
+            self.means[start:end] = _means(unseen, vectors)
+            self.places.update(zip(unseen, range(start, end)))
+
+    def vectors(self, words: Iterable[str], count: int) -> np.ndarray:
+        """A row per word; all have been learnt."""
+        return self.means[np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=count)]
 
 
 def index_vectors() -> np.ndarray:
@@ -85,16 +153,15 @@ def contexts(texts: Iterator[str], index: np.ndarray) -> np.ndarray:
 
     Sums are kept by word, and spread over the features of the words whenever ``CACHE_WORDS`` words have come together.
     """
-    words, total, places = Words(), np.zeros_like(index), {}
+    total, places = np.zeros_like(index), {}
     own = np.zeros((CACHE_WORDS, index.shape[1]), dtype=np.float32)
     sums = np.zeros_like(own)
 
     def spread() -> None:
         known = list(places)
         for start in range(0, len(known), 10_000):
-            features = [words.features(w) for w in known[start : start + 10_000]]
-            owners = np.repeat(np.arange(start, start + len(features)), [len(f) for f in features])
-            _add(total, np.concatenate(features), sums, owners)
+            features, sizes = features_of(known[start : start + 10_000])
+            _add(total, features, sums, np.repeat(np.arange(start, start + len(sizes)), sizes))
         places.clear()
         sums[:] = 0
 
@@ -110,10 +177,7 @@ def contexts(texts: Iterator[str], index: np.ndarray) -> np.ndarray:
                 sums = np.zeros_like(own)
         unseen = [word for word in distinct if word not in places]
         if unseen:
-            features = [words.features(word) for word in unseen]
-            sizes = np.array([len(f) for f in features])
-            means = np.add.reduceat(index[np.concatenate(features)], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-            own[len(places) : len(places) + len(unseen)] = means
+            own[len(places) : len(places) + len(unseen)] = _means(unseen, index)
             places.update(zip(unseen, range(len(places), len(places) + len(unseen))))
         ids = np.fromiter(map(places.__getitem__, found), dtype=np.int64, count=len(found))
         _add(sums, ids[1:], own, ids[:-1])
@@ -124,22 +188,25 @@ def contexts(texts: Iterator[str], index: np.ndarray) -> np.ndarray:
 
 def pooled(texts: list[str], vectors: np.ndarray, words: Words) -> np.ndarray:
     """A row per text: means over words and over distinct words, their norms, and the sizes behind them."""
-    tokens = np.zeros((len(texts), BUCKETS), dtype=np.float32)
-    distinct = np.zeros_like(tokens)
+    a = np.zeros((len(texts), vectors.shape[1]), dtype=np.float32)
+    b = np.zeros_like(a)
     sizes = np.zeros((len(texts), 2), dtype=np.float32)
+    held: list[tuple[int, Counter]] = []
+    n_held = 0
     for row, text in enumerate(texts):
-        counts = Counter(text.split())
-        if not counts:
+        held.append((row, Counter(text.split())))
+        n_held += len(held[-1][1])
+        # Words that are new come together over several texts.
+        if n_held < NEW_WORDS and row < len(texts) - 1:
             continue
-        features = [words.features(w) for w in counts]
-        lengths = np.array([len(f) for f in features])
-        n, flat = sum(counts.values()), np.concatenate(features)
-        share = np.repeat(1.0 / lengths, lengths)
-        often = np.repeat(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) / lengths, lengths)
-        tokens[row] = np.bincount(flat, weights=often / n, minlength=BUCKETS)
-        distinct[row] = np.bincount(flat, weights=share / len(counts), minlength=BUCKETS)
-        sizes[row] = np.log1p(n) / 10, len(counts) / n
-    a, b = tokens @ vectors, distinct @ vectors
+        words.learn({word for _, counts in held for word in counts}, vectors)
+        for at, counts in held:
+            if counts:
+                n, often = sum(counts.values()), np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
+                means = words.vectors(counts, len(counts))
+                a[at], b[at] = often @ means / n, means.mean(axis=0)
+                sizes[at] = np.log1p(n) / 10, len(counts) / n
+        held, n_held = [], 0
     norms = np.stack([np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1), np.linalg.norm(a - b, axis=1)], axis=1)
     return np.hstack([a, b, norms, sizes]).astype(np.float32)
 
@@ -215,7 +282,7 @@ def fit(
             yield pd.DataFrame({"part": [total.tobytes()]})
 
     # PARTS tables of fixed size; sorted, so that their sum does not depend on the order of arrival.
-    tables = sorted(bytes(r["part"]) for r in rows.mapInPandas(partial, "part binary").collect())
+    tables = sorted(bytes(r["part"]) for r in rows.mapInPandas(tidy(partial), "part binary").collect())
     vectors = index.copy()
     if tables:
         around = sum(np.frombuffer(t, dtype=np.float32).reshape(index.shape).astype(np.float64) for t in tables)
@@ -233,7 +300,7 @@ def fit(
 
     kind = rows.schema["_key"].dataType.simpleString()
     found = sorted(
-        (r["key"], r["label"], bytes(r["x"])) for r in rows.mapInPandas(features, f"key {kind}, label int, x binary").collect()
+        (r["key"], r["label"], bytes(r["x"])) for r in rows.mapInPandas(tidy(features), f"key {kind}, label int, x binary").collect()
     )
     y = np.array([label for _, label, _ in found], dtype=np.float64)
     if len(set(y)) < 2 or len(y) < 10:
@@ -249,6 +316,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 1 MB, whatever the data
 
     @F.arrow_udf("double")
+    @tidy
     def probability(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, model = Words(), shared.value
         for part in parts:

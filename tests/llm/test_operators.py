@@ -17,6 +17,7 @@ from rowloom.llm.common import table
 from rowloom.llm.components import components
 from rowloom.llm.queries import QUERIES, SQL, tokenizer_path
 from rowloom.llm.tokens import Encoder
+from rowloom.session import written
 from tests.compare import compare
 from tests.conftest import SF_DIR
 
@@ -561,3 +562,24 @@ def test_rollup(spark, docs, tmp_path):
     assert [(r["source"], r["lang"], r["n_tokens"]) for r in rows] == [("s", "en", want)]
     rollup.compact()
     assert rollup.totals().collect() == rows
+
+
+def test_features_of_many_words_are_those_of_each():
+    """Words worked on as one array have the features of their names, whatever their characters."""
+    import re
+    import zlib
+
+    from rowloom.llm.quality_model import BUCKETS, _means, features_of, index_vectors
+
+    words = ["a", "Word", "x-Y9", "\u00dcn\u00efT", "\u0391\u03a3\u03a3", "\u0130x", "\ud800x", "\u06634", "\U0001f600ab", "aaaa", "Long" * 90]
+    flat, sizes = features_of(words)
+    index, at = index_vectors(), 0
+    for word, size, mean in zip(words, sizes, _means(words, index)):
+        low, shape = f"<{word.lower()}>", word
+        for pattern, name in (("[A-Z\u00c0-\u00d6\u00d8-\u00de]+", "A"), ("[a-z\u00df-\u00f6\u00f8-\u00ff]+", "a"), (r"\d+", "0")):
+            shape = re.sub(pattern, name, shape)
+        names = {"w" + low, "s" + shape, *(low[i : i + 3] for i in range(len(low) - 2))}
+        wanted = sorted({zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names})
+        assert flat[at : at + size].tolist() == wanted
+        assert np.allclose(mean, index[wanted].mean(axis=0), atol=1e-6)
+        at += size
