@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import columns, tidy
@@ -203,11 +203,12 @@ def links(sets: list[np.ndarray], weights: np.ndarray, sides: np.ndarray, at: Th
         if common is None:
             common = read(mine)
             answers = [*answers[-PIVOTS + 1 :], (r, common)]
-        hit = at.linked(common, int(sizes[r]), sizes)
-        hit[: r + 1] = False
+        # Sets follow by size, so those that can be linked stand together.
+        last = np.searchsorted(sizes, at.largest(int(sizes[r])), side="right")
+        hit = at.linked(common[r + 1 : last], int(sizes[r]), sizes[r + 1 : last])
         if sides[r] >= 0:
-            hit &= sides != sides[r]
-        found = np.flatnonzero(hit)
+            hit &= sides[r + 1 : last] != sides[r]
+        found = np.flatnonzero(hit) + (r + 1)
         if len(found):
             counts[r] += weights[found].sum()
             counts[found] += weights[r]
@@ -229,36 +230,43 @@ def ngram_join(
     kind = rows.schema["_key"].dataType.simpleString()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, seen = Hasher(), set()
         for batch in (whole.slice(at_row, ROWS) for whole in batches for at_row in range(0, whole.num_rows, ROWS)):
-            n, names, keys, bits = [], [], [], []
+            n, names, marks, keys, bits = [], [], [], [], []
             for value in batch.column(1):
                 values = shingle_set(hasher.words(split_words(value.as_py() or "")), width)
+                name = digest(values) if len(values) else None
+                # Of equal sets a task gives keys and bits once.
+                fresh = name is not None and name not in seen
+                if fresh:
+                    seen.add(name)
                 n.append(len(values))
-                names.append(digest(values) if len(values) else None)
-                keys.append(block_keys(values, at) if len(values) else None)
-                bits.append(sketch(values) if len(values) else None)
+                names.append(name)
+                marks.append(int.from_bytes(name[:8], "big", signed=True) if name else None)
+                keys.append(block_keys(values, at) if fresh else None)
+                bits.append(sketch(values) if fresh else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(names, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
+                    pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
                 ],
-                names=["_key", "_t", "n", "name", "keys", "bits"],
+                names=["_key", "_t", "n", "name", "mark", "keys", "bits"],
             )
 
-    found = written(rows.mapInArrow(tidy(sets_of), f"_key {kind}, _t long, n long, name binary, keys array<long>, bits binary"), "sets")
+    schema = f"_key {kind}, _t long, n long, name binary, mark long, keys array<long>, bits binary"
+    found = written(rows.mapInArrow(tidy(sets_of), schema), "sets")
     # Copies are combined before the shuffle; one row per different set is left.
     different = written(
         found.where(F.col("n") > 0).groupBy("name")
         .agg(
             F.min("_key").alias("first"), F.min_by("_t", F.struct("_key", "_t")).alias("first_t"), F.first("n").alias("n"),
-            F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("bits").alias("bits"),
+            F.count("*").alias("copies"), F.first("mark").alias("mark"), F.first("bits", ignorenulls=True).alias("bits"),
         )
         .withColumn("node", F.monotonically_increasing_id()),
         "different-sets",
     )
-    groups = components(_near_sets(different, at), "head", "node")
-    members = groups.join(different.drop("keys", "bits"), "node").select("root", "node", "name", "first", "first_t", "n", "copies")
+    groups = components(_near_sets(found, different, at), "head", "node")
+    members = groups.join(different.drop("mark", "bits"), "node").select("root", "node", "name", "first", "first_t", "n", "copies")
     members = block_tasks(written(members, "members"), at)
 
     def member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,11 +320,26 @@ def ngram_join(
     )
 
 
-def _near_sets(different: DataFrame, at: Threshold) -> DataFrame:
-    """Edges ``(head, node)`` that join the sets of each list whose bits agree often enough."""
-    listed = different.select("node", F.explode("keys").alias("list"))
-    counts = listed.groupBy("list").agg(F.count("*").alias("sets")).where(F.col("sets") > 1)
-    entries = listed.join(counts, "list").join(different.select("node", "bits"), "node")
+def _shared_lists(found: DataFrame) -> DataFrame:
+    """``(list, mark)`` of the lists that hold more than one set, each set once.
+
+    The keys, many for each set, go through one exchange, as two numbers each, and are written nowhere else; most lists hold one set.
+    """
+    listed = found.select("mark", F.explode("keys").alias("list"))
+    whole = Window.partitionBy("list")
+    several = F.min("mark").over(whole) != F.max("mark").over(whole)
+    return listed.withColumn("several", several).where("several").select("list", "mark").distinct()
+
+
+def _near_sets(found: DataFrame, different: DataFrame, at: Threshold) -> DataFrame:
+    """Edges ``(head, node)`` that join the sets of each list whose bits agree often enough.
+
+    A set goes by the first 64 bits of its name until its list is known to hold others; sets that share them come along, and are
+    compared like all of a list.
+    """
+    pairs = written(_shared_lists(found), "shared-lists")
+    counts = pairs.groupBy("list").agg(F.count("*").alias("sets"))
+    entries = pairs.join(counts, "list").join(different.select("mark", "node", "bits"), "mark")
     entries = written(entries.select("list", "sets", "node", "bits"), "list-entries")
     short = entries.where(F.col("sets") <= LIST_SETS).select(F.col("list").alias("task"), "node", F.lit(-1).alias("side"), "bits")
     # Blocks of long lists; each set weighs so much that a block holds half of ``LIST_SETS``.

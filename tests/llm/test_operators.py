@@ -583,3 +583,15 @@ def test_features_of_many_words_are_those_of_each():
         assert flat[at : at + size].tolist() == wanted
         assert np.allclose(mean, index[wanted].mean(axis=0), atol=1e-6)
         at += size
+
+
+def test_keys_of_sets_go_through_one_exchange(spark):
+    """Lists with one set are dropped where the lists are made; copies of a set do not make a list."""
+    from rowloom.llm.jaccard_join import _shared_lists
+
+    rows = [(1, [10, 11]), (2, [11, 12]), (3, [13]), (3, [13]), (4, None), (5, [11, 14]), (5, [11, 14])]
+    found = written(spark.createDataFrame(rows, "mark long, keys array<long>"), "found")
+    shared = _shared_lists(found)
+    assert sorted(map(tuple, shared.collect())) == [(11, 1), (11, 2), (11, 5)]
+    plan = shared._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1
