@@ -248,24 +248,42 @@ def _looked(rows: DataFrame, places: DataFrame, shingle: int, min_words: int) ->
     reach = min_words - WINDOW
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, out, held = Hasher(), [[] for _ in schema], 0
+
+        def give(*row) -> None:
+            for column, value in zip(out, row):
+                column.append(value)
+
+        def given() -> pa.RecordBatch:
+            arrays = [pa.array(column, field.type) for column, field in zip(out, schema)]
+            for column in out:
+                column.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
         for batch in batches:
             for d, t, value, lines, at in zip(*(batch.column(c) for c in ("d", "t", "text", "lines", "places"))):
-                value, out = value.as_py(), []
+                value = value.as_py()
                 if len(lines):
                     text_lines = value.split("\n")
                     for line in lines.as_py():
                         found = shingle_set(_words(text_lines[line["line"]], hasher), shingle)
-                        out.append({"node": line["node"], "root": line["root"], "n": len(found), "shingles": found.tobytes()})
+                        give(line["node"], line["root"], len(found), found.tobytes(), None, None, None, None)
+                        held += len(found)
                 if len(at):
                     hashes = doubled(_words(value, hasher), WINDOW).view(np.int64)
                     begins = np.maximum(at.values.to_numpy() - reach, 0)
                     ends = np.minimum(at.values.to_numpy() + reach + 1, len(hashes))
                     apart = np.flatnonzero(np.r_[True, begins[1:] > ends[:-1]])
                     for a, b in zip(begins[apart], ends[np.r_[apart[1:] - 1, len(ends) - 1]]):
-                        out.append({"d": d.as_py(), "t": t.as_py(), "first": int(a), "names": hashes[a:b]})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                        give(None, None, None, None, d.as_py(), t.as_py(), int(a), hashes[a:b])
+                    # A part of an array keeps all of it.
+                    held += len(hashes)
+                # What several texts give goes on together.
+                if held >= WORDS:
+                    yield given()
+                    held = 0
+        if out[0]:
+            yield given()
 
     kinds = "node long, root long, n long, shingles binary, d long, t long, first int, names array<long>"
     return rows.join(places, ["d", "t"]).select("d", "t", "text", "lines", "places").mapInArrow(tidy(look), kinds)
