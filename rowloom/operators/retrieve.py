@@ -109,21 +109,30 @@ def _fits(side: DataFrame, limits: Limits, row_bytes: Column | None = None) -> b
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """The vectors of a column as rows of a matrix, in double precision."""
+    """The vectors of a column as rows of a matrix, in the precision they are stored in."""
     flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.chunk(0) if flat.num_chunks else pa.array([], flat.type)
     count = len(flat)
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(count, -1 if count else 0)
+    values = flat.flatten().to_numpy(zero_copy_only=False)
+    if values.dtype not in (np.float32, np.float64):
+        values = values.astype(np.float64)
+    return values.reshape(count, -1 if count else 0)
 
 
 def _norms(matrix: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norms = _norms(matrix)[:, None]
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+def _norms_and_units(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The norms of the rows, and the rows divided by them in single precision; some rows at a time are held in double precision."""
+    norms, unit = np.zeros(len(matrix)), np.zeros(matrix.shape, dtype=np.float32)
+    for start in range(0, len(matrix), _COLUMNS):
+        some = matrix[start : start + _COLUMNS].astype(np.float64)
+        norms[start : start + _COLUMNS] = _norms(some)
+        each = norms[start : start + _COLUMNS, None]
+        unit[start : start + _COLUMNS] = np.divide(some, each, out=np.zeros_like(some), where=each > 0)
+    return norms, unit
 
 
 #: Queries and chunks of one matrix product; candidates that are scored exactly at a time.
@@ -165,7 +174,7 @@ def _block_top_k(
 
 
 def _exact(queries: _Side, rows: np.ndarray, chunks: _Side, columns: np.ndarray) -> np.ndarray:
-    product = np.einsum("ij,ij->i", queries.matrix[rows], chunks.matrix[columns])
+    product = np.einsum("ij,ij->i", queries.matrix[rows].astype(np.float64), chunks.matrix[columns].astype(np.float64))
     scale = queries.norms[rows] * chunks.norms[columns]
     return np.round(np.divide(product, scale, out=np.zeros_like(product), where=scale > 0), SCORE_DIGITS)
 
@@ -186,31 +195,49 @@ _PLACE = ("doc_ord", "chunk_ord")
 
 
 class _Side:
-    """Vectors of one side as matrices, with their norms and identifying columns."""
+    """Vectors of one side as stored and as units, with their norms and identifying columns."""
 
     def __init__(self, rows: pa.Table | pa.RecordBatch, names: Sequence[str], copies: int | None = None):
-        """``copies`` puts the rows in the order of ``names`` and keeps so many of equal vectors:
-        a copy after k others in front of it is never among the k best."""
+        """``copies`` keeps the rows of ``_ranking_order``."""
         if copies is not None:
-            rows = rows.take(pc.sort_indices(rows, [(name, "ascending") for name in names]))
+            rows = _ranking_order(rows, names, copies)
         self.matrix = _matrix(rows.column("embedding"))
-        if copies is not None and len(rows) > copies:
-            kept = np.flatnonzero(_copy_number(self.matrix) < copies)
-            if len(kept) < len(rows):
-                rows, self.matrix = rows.take(pa.array(kept)), self.matrix[kept]
         self.ids = {name: rows.column(name) for name in names}
-        self.norms = _norms(self.matrix)
-        self.unit = _unit(self.matrix).astype(np.float32)
+        self.norms, self.unit = _norms_and_units(self.matrix)
+
+
+def _ranking_order(rows: pa.Table | pa.RecordBatch, names: Sequence[str], copies: int) -> pa.Table | pa.RecordBatch:
+    """The rows in the order of ``names``, and so many of equal vectors: a copy after k others in front of it is
+    never among the k best."""
+    rows = rows.take(pc.sort_indices(rows, [(name, "ascending") for name in names]))
+    if len(rows) > copies:
+        kept = np.flatnonzero(_copy_number(_matrix(rows.column("embedding"))) < copies)
+        if len(kept) < len(rows):
+            rows = rows.take(pa.array(kept))
+    return rows
 
 
 def _copy_number(matrix: np.ndarray) -> np.ndarray:
-    """How many equal rows come before each row."""
+    """How many equal rows come before each row.
+
+    Rows are sorted by a hash and held against the one before; if the hashes of different rows agree, some copies count as rows of
+    their own, which keeps more of them than needed.
+    """
     flat = np.ascontiguousarray(matrix)
-    _, group = np.unique(flat.view(np.dtype((np.void, flat.shape[1] * flat.itemsize))).ravel(), return_inverse=True)
-    order = np.argsort(group, kind="stable")
-    ordered = group[order]
+    parts = flat.view(np.uint32)
+    odd = np.random.default_rng(1).integers(0, 1 << 62, parts.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    name = np.zeros(len(flat), dtype=np.uint64)
+    for start in range(0, len(flat), _COLUMNS):
+        some = (parts[start : start + _COLUMNS] + np.uint64(1)) * odd
+        name[start : start + _COLUMNS] = (some ^ (some >> np.uint64(29))).sum(axis=1, dtype=np.uint64)
+    order = np.argsort(name, kind="stable")
+    fresh = np.ones(len(order), dtype=bool)
+    for start in range(1, len(order), _COLUMNS):
+        ends = order[start : start + _COLUMNS]
+        fresh[start : start + len(ends)] = (parts[ends] != parts[order[start - 1 : start - 1 + len(ends)]]).any(axis=1)
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
     number = np.empty(len(order), dtype=np.int64)
-    number[order] = np.arange(len(order)) - np.searchsorted(ordered, ordered)
+    number[order] = np.arange(len(order)) - first
     return number
 
 
@@ -239,12 +266,15 @@ def _ranks(found: pa.Table, query_id: str) -> np.ndarray:
 
 
 def _chunks_broadcast(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema) -> DataFrame:
-    """Every query meets all chunks in its own task: no shuffle, and ranks are final."""
-    shared = queries.sparkSession.sparkContext.broadcast(chunks.toArrow())
+    """Every query meets all chunks in its own task: no shuffle, and ranks are final.
+
+    Chunks are put in order and copies dropped before they are sent, so a task holds them as they came and as units, in single precision.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(_ranking_order(chunks.toArrow().combine_chunks(), _PLACE, k))
     ranked = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = _Side(shared.value, _PLACE, copies=k)
+        side = _Side(shared.value, _PLACE)
         for batch in batches:
             best = _score(_Side(batch, [query_id]), side, k)
             yield from best.append_column("rank", pa.array(_ranks(best, query_id))).to_batches()
@@ -296,6 +326,10 @@ def _trim(found: pa.Table, k: int, floors: np.ndarray) -> pa.Table:
     return found.filter(pa.array(ranks <= k))
 
 
+#: Queries of several blocks go to the chunks together up to so many bytes, as every part reads all chunks.
+_PART_BYTES = 32 << 20
+
+
 def _through_parts(
     queries: DataFrame, chunks: DataFrame, k: int, query_id: str, schema, limits: Limits, n_queries: int
 ) -> DataFrame:
@@ -306,12 +340,16 @@ def _through_parts(
     tasks, instead of k per query from every task. The result is exact, as every chunk meets every query as
     a row of a matrix product. Neither chunks nor queries are shuffled by key; only the rows that reach a floor are.
 
-    A part holds ``limits.block_queries`` queries, and no more bytes than may be broadcast.
+    A part holds ``limits.block_queries`` queries, or more where ``_PART_BYTES`` hold them, and no more bytes than may be broadcast. Few chunks
+    are spread over the cores once, not for every part: what the parts read is never shuffled.
     """
+    spread = spread_small(chunks)
+    chunks = chunks if spread is chunks else written(spread, "chunk-vectors")
     picked = chunks.withColumn("at", F.xxhash64("doc_ord", "chunk_ord")).orderBy("at").limit(limits.pivots).drop("at")
     floored = _with_floors(queries, _first_copies(picked, k), k, query_id)
     size = queries.agg(F.sum(F.lit(8) * F.size("embedding"))).first()[0] or 0
-    parts = max(1, -(-n_queries // max(1, limits.block_queries)), -(-size // limits.broadcast_bytes))
+    blocks = min(-(-n_queries // max(1, limits.block_queries)), -(-size // _PART_BYTES))
+    parts = max(1, blocks, -(-size // limits.broadcast_bytes))
     asked, found = new_folder(queries.sparkSession, "asked"), new_folder(queries.sparkSession, "found")
     part = F.pmod(F.xxhash64(query_id), F.lit(parts)).alias("part")
     floored.select("*", part).write.partitionBy("part").parquet(asked)

@@ -197,3 +197,48 @@ def test_context_text(spark):
     ]
     assert [r[0] for r in df.select(context_text(F.col("c"), "plain")).collect()] == ["a\n\nb", "", ""]
     assert df.select(source_label(F.lit("/a/b.txt"), F.lit("c"))).first()[0] == "[b.txt] c"
+
+
+def test_parts_read_chunks_that_are_spread_once(spark, monkeypatch):
+    """However many blocks of queries there are, chunks are exchanged once at most."""
+    from rowloom.operators import retrieve
+
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((300, 8)).astype(np.float32)
+    c = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(vectors)], "doc_ord long, chunk_ord long, embedding array<float>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "query_id long, embedding array<float>")
+    chunks, plans, own = written(c.coalesce(1), "chunks"), [], retrieve._queries_broadcast
+
+    def seen(*args):
+        plans.append(plan_of(own(*args)))
+        return own(*args)
+
+    monkeypatch.setattr(retrieve, "_queries_broadcast", seen)
+    limits = Limits(broadcast_rows=0, broadcast_queries=0, block_chunks=64, block_queries=10, pivots=100)
+    found = top_k(q, chunks, 5, limits=limits).where("rank = 1").collect()
+    assert all(r["chunk_ord"] == r["query_id"] for r in found) and len(found) == 300
+    assert len(plans) == 1 and not any("Exchange" in p for p in plans)
+
+
+def test_a_side_holds_vectors_in_single_precision():
+    """Beside the vectors as they came a side holds them once more, and little else while it is made."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from rowloom.operators.retrieve import _PLACE, _copy_number, _ranking_order, _Side
+
+    values = np.random.default_rng(7).standard_normal((100_000, 16)).astype(np.float32)
+    values[50_000:] = values[:50_000]
+    ids = np.arange(len(values))
+    offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * 16)
+    vectors = pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))
+    rows = pa.table({"doc_ord": ids, "chunk_ord": ids, "embedding": vectors})
+    tracemalloc.start()
+    side = _Side(rows, _PLACE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * values.nbytes
+    assert np.array_equal(side.matrix, values)
+    assert np.array_equal(_copy_number(values), np.repeat([0, 1], 50_000))
+    assert len(_ranking_order(rows, _PLACE, 1)) == 50_000
