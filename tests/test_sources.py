@@ -283,3 +283,18 @@ def test_row_ids_follow_the_file(spark, tmp_path):
     path = put(tmp_path, "t.csv", "".join(f"{i},x\n" for i in range(500)))
     df = with_row_id(load_table(spark, path))
     assert [r["_c0"] for r in df.orderBy("row_id").collect()] == [str(i) for i in range(500)]
+
+
+def test_round_trip_parts_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Parts whose cells hold line ends are read whole, so their number follows the size of the text."""
+    from registry import tables
+
+    rows = [(i, f'a "quoted" word,\nline {i}\n' * 4 + "end", "en", "web", 5) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    paths, own = [], tables.save_table
+    monkeypatch.setattr(tables, "_PART_BYTES", 400)
+    monkeypatch.setattr(tables, "save_table", lambda *args: paths.append(own(*args)) or paths[-1])
+    got = tables.csv_round_trip(spark, str(tmp_path)).collect()
+    assert sum(r["is_header"] for r in got) == 1
+    assert sorted((r["doc_id"], r["text"]) for r in got if not r["is_header"]) == sorted((str(r[0]), r[1].strip()) for r in rows)
+    assert len(spark.read.text(paths[0]).inputFiles()) > 6
