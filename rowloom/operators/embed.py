@@ -189,7 +189,8 @@ def get_cached(docs: DataFrame, store: str) -> DataFrame:
     hits = salted_join(docs, entries, "content_hash", "inner")
     chunks = _parts(spark, store, hits)
     # Both sides may repeat: many copies of one content, and many chunks in one document.
-    return salted_join(hits, chunks, ["content_hash", "write_id"], "inner", right_unique=False).drop("write_id")
+    pair = ["content_hash", "write_id"]
+    return salted_join(hits, chunks, pair, "inner", right_unique=False, right_spread=[*pair, "chunk_ord"]).drop("write_id")
 
 
 def missing(docs: DataFrame, store: str, force: bool = False) -> DataFrame:
@@ -282,7 +283,16 @@ def compact(store: str, spark: SparkSession) -> str:
     """Brings the chunks of all entries that count into one write; returns its id. ``vacuum`` then frees the older ones."""
     write_id = uuid.uuid4().hex
     entries = written(complete_entries(spark, store), "entries")
-    chunks = _read(spark, f"{store}/parts", _PART_SCHEMA).join(entries.select("content_hash", "write_id"), ["content_hash", "write_id"], "left_semi")
+    # What counts is told by what does not: the entries that a newer write replaced, which are few beside all. Chunks are shuffled once, for their
+    # new folders.
+    pairs = _read(spark, f"{store}/meta", META_SCHEMA).select("content_hash", "write_id").distinct()
+    counting = entries.select("content_hash", "write_id")
+    writes = [r[0] for r in counting.select("write_id").distinct().collect()]
+    replaced = pairs.where(F.col("write_id").isin(writes)).join(counting, ["content_hash", "write_id"], "left_anti")
+    replaced = written(replaced, "replaced")
+    few = replaced.count() <= BROADCAST_CONTENTS
+    chunks = _read(spark, f"{store}/parts", _PART_SCHEMA).where(F.col("content_hash").isNotNull() & F.col("write_id").isin(writes))
+    chunks = chunks.join(F.broadcast(replaced) if few else replaced, ["content_hash", "write_id"], "left_anti")
     moved = chunks.withColumn("write_id", F.lit(write_id)).repartition("digit", "content_hash").sortWithinPartitions("digit", "content_hash")
     moved.write.mode("append").partitionBy("digit", "write_id").parquet(f"{store}/parts")
     _finish(entries.drop("write_id", "cached_at"), store, write_id)

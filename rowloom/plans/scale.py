@@ -94,6 +94,7 @@ def salted_join(
     how: str = "left",
     right_unique: bool = True,
     left_counts: DataFrame | None = None,
+    right_spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """An equi-join that splits hot keys: every task gets about ``ROWS_PER_SALT`` rows of one key.
 
@@ -104,7 +105,8 @@ def salted_join(
     The piece of a row is a hash of the row, so a task that runs again makes the same choice.
 
     Finding the hot keys takes one aggregate over the keys of ``left``; ``left_counts`` (the keys and
-    ``rows``) saves it where the counts are at hand.
+    ``rows``) saves it where the counts are at hand. ``right_spread`` names columns of ``right`` that tell the rows of a
+    key apart; the others need not be read then to choose a piece.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not right_unique and how != "inner":
@@ -114,7 +116,7 @@ def salted_join(
     salts = ["_salt"]
     if not right_unique:
         hot = _hot_keys(right.drop("_salt"), keys)
-        right, left = _deal(right, keys, hot, "_salt2"), _copy(left, keys, hot, "_salt2")
+        right, left = _deal(right, keys, hot, "_salt2", right_spread), _copy(left, keys, hot, "_salt2")
         salts.append("_salt2")
     return left.join(right, [*keys, *salts], how).drop(*salts)
 
@@ -132,8 +134,8 @@ def _with_pieces(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFram
     return df.join(hot, match, "left").drop(*[f"_hot_{k}" for k in keys])
 
 
-def _deal(df: DataFrame, keys: Sequence[str], hot: DataFrame, salt: str) -> DataFrame:
-    row = F.xxhash64(*all_named(df.columns))
+def _deal(df: DataFrame, keys: Sequence[str], hot: DataFrame, salt: str, spread: Sequence[str] | None = None) -> DataFrame:
+    row = F.xxhash64(*all_named(spread or df.columns))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()

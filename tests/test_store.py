@@ -157,3 +157,23 @@ def test_a_reader_opens_the_folders_it_needs(docs, tmp_path):
     digit = one.first()["content_hash"][0]
     assert any(f"= {digit})" in found and first in found for found in filters), filters
     assert get_cached(one, store).count() == 1
+
+
+def test_counting_cached_chunks_reads_no_vectors(spark, docs, tmp_path):
+    """Pieces of hot keys are chosen by the place of a chunk, so columns that nobody asks for are not read."""
+    store = str(tmp_path / "store")
+    embed_missing(docs, store, hashing_encoder(8))
+    counted = get_cached(docs.select("content_hash"), store).groupBy("content_hash").count()
+    assert "embedding" not in counted._jdf.queryExecution().executedPlan().toString() and counted.count() == 2
+
+
+def test_compaction_leaves_out_replaced_entries(spark, docs, tmp_path):
+    """Contents that a newer write holds move once; those of older writes that still count move too."""
+    store = str(tmp_path / "store")
+    embed_missing(docs, store, hashing_encoder(8))
+    embed_missing(docs.where("path = 'd/b.txt'"), store, hashing_encoder(8), force=True)
+    before = get_cached(docs.select("path", "content_hash"), store).select("path", "chunk_ord", "chunk").collect()
+    write = compact(store, spark)
+    moved = spark.read.parquet(f"{store}/parts").where(F.col("write_id") == write)
+    assert moved.count() == moved.select("content_hash", "chunk_ord").distinct().count() == 3
+    assert sorted(get_cached(docs.select("path", "content_hash"), store).select("path", "chunk_ord", "chunk").collect()) == sorted(before)
