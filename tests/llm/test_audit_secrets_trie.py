@@ -182,6 +182,61 @@ def test_the_network_finds_what_no_pattern_names(spark):
     assert all(np.array_equal(model[k], again[k]) for k in model)
 
 
+def test_the_network_is_fitted_on_all_windows(spark, monkeypatch):
+    """More windows of a label than one part has: calibration and thresholds are those of all held-out windows, each kept once."""
+    monkeypatch.setattr(secret_scan, "PART", 1000)
+    rng = random.Random(5)
+
+    def value(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    texts = [f"password={value('0123456789abcdef', 24)} done" for _ in range(300)] + [f"say {value('ghijklm', 14)}{i} now" for i in range(3400)]
+    found = secret_scan.findings(spark.createDataFrame(list(enumerate(texts + texts[:50])), "doc_id long, text string"))
+    parts, fit_parts = [], secret_scan._train_parts
+    monkeypatch.setattr(secret_scan, "_train_parts", lambda table_, *rest: parts.append(table_) or fit_parts(table_, *rest))
+    model = secret_scan.fit(found)
+    rows = {r["part"]: sorted(tuple(w) for w in r["windows"]) for r in parts[0].collect()}
+    windows = {w["window"] for r in found.collect() for w in r["found"]}
+    assert len(windows) > 3500 and len(rows) > 2
+    assert sorted(w for part in rows.values() for w, _, _ in part) == sorted(windows)
+
+    net = {k: v for k, v in model.items() if k not in ("scale", "limits")}
+    logits, secret, shapes = [], [], []
+    for part, own in rows.items():
+        held = [(w, s) for w, s, out in own if out]
+        codes, labels = secret_scan.encoded([w for w, _ in held]), np.array([s for _, s in held])
+        judged = secret_scan._judged(net, codes, labels, np.random.default_rng([11, part, secret_scan._EPOCHS]))
+        for all_, some in zip((logits, secret, shapes), judged):
+            all_.extend(some.tolist())
+    logits, secret, shapes = np.array(logits), np.array(secret), np.array(shapes)
+
+    def sums(slope, offset):
+        p = 1 / (1 + np.exp(-np.clip(slope * logits + offset, -60, 60)))
+        weight = p * (1 - p)
+        return ((p - secret) * logits).sum(), (p - secret).sum(), (weight * logits**2).sum(), (weight * logits).sum(), weight.sum()
+
+    scale = secret_scan._calibration(sums)
+    assert model["scale"] == pytest.approx(scale, rel=1e-4)
+    sure, limits = scale[0] * logits + scale[1], []
+    for shape in range(3):
+        of, other = ([x for x in (sure[(secret == label) & (shapes == shape)], sure[secret == label]) if len(x) >= 20 or len(x) == (secret == label).sum()][0] for label in (True, False))
+        limits.append(secret_scan._limit(np.quantile(of, 0.01, method="lower"), np.quantile(other, 0.999, method="higher")))
+    assert model["limits"] == pytest.approx(limits, rel=1e-4)
+    assert all(np.array_equal(model[k], again) for k, again in secret_scan.fit(found).items())
+
+
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(3)
+    logits = np.concatenate([rng.standard_normal(500) * 10, np.repeat([0.0, -0.5, 1e-30], 40)]).astype(np.float32)
+    secret, shape = rng.random(len(logits)) < 0.4, rng.integers(0, 3, len(logits))
+    rows = list(zip(secret_scan._place(logits).tolist(), secret.tolist(), shape.tolist()))
+    df = spark.createDataFrame(rows, "place long, secret boolean, shape int")
+    wanted = [(s, k, i) for s in (True, False) for k in (0, 1, 2, None) for i in (0, 7, 60)]
+    got = secret_scan.order_statistics(df, wanted)
+    for (s, k, i), value in zip(wanted, got):
+        assert value == np.sort(logits[(secret == s) & ((shape == k) if k is not None else True)])[i]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(2)
     net = {k: v.astype(np.float64) for k, v in secret_scan._initial(rng).items()}
