@@ -374,33 +374,28 @@ def block_tasks(members: DataFrame, at: Threshold) -> DataFrame:
     Large groups are cut by stretches of sizes and by hash into blocks of bounded size; only blocks of the same and of
     neighbouring stretches meet.
     """
-    totals = members.groupBy("root").agg(F.sum("n").alias("all"))
-    rows = members.join(totals, "root")
-    one = F.array(F.struct(F.col("root").cast("string").alias("task"), F.lit(-1).alias("side")))
-    small = rows.where(F.col("all") <= GROUP_SHINGLES).withColumn("tasks", one)
     bounds = F.array(*[F.lit(int(b)) for b in at.bounds if b < 1 << 40])
-    stretch = F.size(F.filter(bounds, lambda b: b <= F.col("n"))) - 1
-    large = rows.where(F.col("all") > GROUP_SHINGLES).withColumn("stretch", stretch)
-    blocks = large.groupBy("root", "stretch").agg(F.ceil(F.sum("n") / (GROUP_SHINGLES // 2)).cast("int").alias("blocks"))
-    beside = lambda step, name: blocks.select("root", (F.col("stretch") + step).alias("stretch"), F.col("blocks").alias(name))
-    large = large.join(blocks, ["root", "stretch"]).join(beside(1, "below"), ["root", "stretch"], "left").join(
-        beside(-1, "above"), ["root", "stretch"], "left"
+    rows = members.withColumn("stretch", F.size(F.filter(bounds, lambda b: b <= F.col("n"))) - 1)
+    # How many blocks each stretch of a group has, as one map for the group.
+    size = F.ceil(F.col("n") / (GROUP_SHINGLES // 2)).cast("int")
+    totals = rows.groupBy("root", "stretch").agg(F.sum("n").alias("n")).groupBy("root").agg(
+        F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("stretch", size))).alias("blocks")
     )
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    large = large.withColumn("own", own)
+    rows = rows.join(totals, "root")
+    one = F.array(F.struct(F.col("root").cast("string").alias("task"), F.lit(-1).alias("side")))
+    blocks = lambda step: F.try_element_at("blocks", F.col("stretch") + step)
     none = F.array().cast("array<int>")
     upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
     name = lambda s1, h1, s2, h2: F.concat_ws(":", "root", s1, h1, s2, h2)
-    s, h = F.col("stretch"), F.col("own")
+    s, h = F.col("stretch"), F.pmod(F.xxhash64("node"), blocks(0)).cast("int")
     same = F.transform(
-        upto(F.col("blocks")),
+        upto(blocks(0)),
         lambda o: F.struct(
             name(s, F.least(h, o), s, F.greatest(h, o)).alias("task"),
             F.when(o == h, F.lit(-1)).when(h < o, F.lit(0)).otherwise(F.lit(1)).alias("side"),
         ),
     )
-    up = F.transform(upto(F.col("above")), lambda o: F.struct(name(s, h, s + 1, o).alias("task"), F.lit(0).alias("side")))
-    down = F.transform(upto(F.col("below")), lambda o: F.struct(name(s - 1, o, s, h).alias("task"), F.lit(1).alias("side")))
-    large = large.withColumn("tasks", F.concat(same, up, down))
-    kept = [*members.columns, "tasks"]
-    return small.select(kept).unionByName(large.select(kept))
+    up = F.transform(upto(blocks(1)), lambda o: F.struct(name(s, h, s + 1, o).alias("task"), F.lit(0).alias("side")))
+    down = F.transform(upto(blocks(-1)), lambda o: F.struct(name(s - 1, o, s, h).alias("task"), F.lit(1).alias("side")))
+    tasks = F.when(F.col("all") <= GROUP_SHINGLES, one).otherwise(F.concat(same, up, down))
+    return rows.withColumn("tasks", tasks).select(*members.columns, "tasks")

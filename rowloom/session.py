@@ -73,4 +73,4 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = _PATHS.pop(df, None)
         if path:
-            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+            df.sparkSession.range(0, numPartitions=1).write.mode("overwrite").parquet(path)

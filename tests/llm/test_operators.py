@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom import session
 from rowloom.llm import (
     html_text, jaccard_join, mixing, packing, quality_model, quality_rules, substring_dedup, token_rollup, vector_search, warc,
 )
@@ -179,6 +181,53 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(40)} | {200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("within", [True, False])
+def test_components_take_few_plans(spark, monkeypatch, within):
+    module, steps = sys.modules[components.__module__], []
+    if not within:
+        monkeypatch.setattr(module, "_within", lambda pairs: pairs)
+    monkeypatch.setattr(module, "written", lambda df, name: steps.append(name) or session.written(df, name))
+    edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(300, 250), (250, 200)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()}
+    assert got == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(40)} | {200: 200, 250: 200, 300: 200}
+    # A task that holds all edges settles them; otherwise steps go on until they are.
+    assert steps == ["edges"] if within else set(steps[1:]) == {"stars"}
+    parts = [module.put_together(*np.array(edges[a : a + 9]).T) for a in range(0, len(edges), 9)]
+    u, v = module.put_together(*map(np.concatenate, zip(*parts)))
+    assert dict(zip(v.tolist(), u.tolist())) == {node: root for node, root in got.items() if node != root}
+    texts = spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")
+    assert sorted(map(tuple, components(texts).collect())) == [("a", "a"), ("b", "a"), ("c", "a")]
+
+
+def test_tasks_of_groups_take_one_join(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 1000)
+    at = jaccard_join.Threshold(80, 100)
+    sizes = {1: [10, 20], 2: [300] * 9 + [100] * 12 + [110, 80, 5], 3: [2000]}
+    rows = [(root, 1000 * root + i, n) for root, some in sizes.items() for i, n in enumerate(some)]
+    found = jaccard_join.block_tasks(spark.createDataFrame(rows, "root long, node long, n long"), at)
+    assert len(re.findall(r"Join ", found._jdf.queryExecution().optimizedPlan().toString())) == 1
+    tasks = {r["node"]: {t["task"]: t["side"] for t in r["tasks"]} for r in found.collect()}
+    assert tasks[1000] == tasks[1001] == {"1": -1} and len(tasks) == len(rows)
+    for _, a, n in rows:
+        for _, b, m in rows:
+            if a < b and a // 1000 == b // 1000:
+                met = [k for k in tasks[a].keys() & tasks[b].keys() if tasks[a][k] != tasks[b][k] or tasks[a][k] < 0]
+                near = sum(sizes[a // 1000]) <= 1000 or abs(at.stretch(n) - at.stretch(m)) <= 1
+                assert len(met) == near, (a, b, met)
+
+
+def test_discarded_tables_hold_nothing(spark):
+    kept = session.written(spark.range(5).selectExpr("id AS a", "array(id) AS b"), "test-discard")
+    assert kept.count() == 5
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("test-discard", "")
+    session.discard(kept)
+    ids = jobs.getJobIdsForGroup("test-discard")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(jobs.getStageInfo(i).numTasks for job in ids for i in jobs.getJobInfo(job).stageIds) <= 1
+    assert spark.read.schema(kept.schema).parquet(kept.inputFiles()[0].rpartition("/")[0]).count() == 0
+
+
 def test_substring_dedup(spark, empty):
     passage, near = words(55), words(70)
     changed = near.split()
