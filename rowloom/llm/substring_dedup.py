@@ -6,6 +6,7 @@ group are compared by the exact Jaccard of their word shingles (large groups in
 pairs are clustered by connected components. Passages inside of paragraphs are found by windows of ``WINDOW`` words: of every
 ``min_words`` words in a row the window with the smallest hash is kept, so any passage of that many words that two texts share has a
 window in both; where a window occurs in several texts, every window around it is compared, and a passage is found to its last word.
+A window that a text holds again and again at close places (a run of one word, a short period) is one row there, not one for each place.
 
 The smallest doc_id that holds a passage keeps it; others lose it if it has at least ``min_words`` words in one stretch.
 Copies of whole texts are settled first, by hashes of the text alone.
@@ -99,6 +100,20 @@ def starts(words: np.ndarray, begins: np.ndarray, min_words: int) -> tuple[np.nd
     return places, hashes[places]
 
 
+def together(places: np.ndarray, names: np.ndarray, owner: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first and the last of equal names stand that follow one another at most ``gap`` places apart in one text.
+
+    ``places`` are in order, as are the texts that own them; both results are positions among them, by the first.
+    """
+    order = np.argsort(names, kind="stable")
+    places, names, owner = places[order], names[order], owner[order]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(places) > gap)
+    first, last = order[fresh], order[np.append(fresh[1:], True)[: len(order)]]
+    by_first = np.argsort(first)
+    return first[by_first], last[by_first]
+
+
 def spans(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of all spans, one after the other, and where among them each span begins."""
     begins = np.cumsum(sizes) - sizes
@@ -130,11 +145,11 @@ def remove_repeats(
     lines, found = units.where(F.col("line") >= 0), units.where(F.col("line") < 0)
     classes, shown = _paragraph_groups(lines)
     around = _repeated_windows(found)
-    no_line, no_place = F.lit(None).cast("struct<line:int,node:bigint,root:bigint>"), F.lit(None).cast("int")
-    places = shown.select("d", "t", F.struct("line", "node", "root").alias("line"), no_place.alias("first")).unionByName(
-        around.select("d", "t", no_line.alias("line"), "first")
+    no_line, no_place = F.lit(None).cast("struct<line:int,node:bigint,root:bigint>"), F.lit(None).cast("struct<first:int,n:int>")
+    places = shown.select("d", "t", F.struct("line", "node", "root").alias("line"), no_place.alias("place")).unionByName(
+        around.select("d", "t", no_line.alias("line"), F.struct("first", "n").alias("place"))
     )
-    places = places.groupBy("d", "t").agg(F.collect_list("line").alias("lines"), F.sort_array(F.collect_set("first")).alias("places"))
+    places = places.groupBy("d", "t").agg(F.collect_list("line").alias("lines"), F.sort_array(F.collect_set("place")).alias("places"))
     is_first = texts.select(F.col("first").alias("d"), "t")
     places = written(places.join(is_first, ["d", "t"], "left_semi"), "places")
     looked = written(_looked(rows, _checked(places), shingle, min_words), "looked")
@@ -159,7 +174,11 @@ def _checked(table: DataFrame) -> DataFrame:
 
 
 def _units(rows: DataFrame, min_words: int, bands: int, band_rows: int, shingle: int) -> DataFrame:
-    """Paragraphs ``(d, t, line, first, n, name, keys)`` and kept windows (the same with line -1 and no keys)."""
+    """Paragraphs ``(d, t, line, first, n, name, keys)`` and kept windows (the same with line -1 and no keys).
+
+    Equal kept windows of a text are one row if all between them is looked at anyway: ``n`` words from the first to the last.
+    """
+    gap = 2 * (min_words - WINDOW) + 1
 
     def some(texts: list[tuple[int, list[list[bytes]]]], hasher: Hasher) -> list[tuple]:
         """The columns of what a few texts give, worked on as one array of words."""
@@ -180,9 +199,9 @@ def _units(rows: DataFrame, min_words: int, bands: int, band_rows: int, shingle:
             out.append((rows[owner], numbers[long], line_first[long] - begins[owner], sizes[long], np.array(names), list(keys)))
         places, names = starts(words, begins, min_words)
         owner = np.searchsorted(begins, places, side="right") - 1
-        nothing = np.full(len(places), -1)
-        windows_ = np.full(len(places), WINDOW)
-        out.append((rows[owner], nothing, places - begins[owner], windows_, names.view(np.int64), [None] * len(places)))
+        a, b = together(places, names, owner, gap)
+        nothing, n = np.full(len(a), -1), places[b] - places[a] + WINDOW
+        out.append((rows[owner[a]], nothing, places[a] - begins[owner[a]], n, names[a].view(np.int64), [None] * len(a)))
         return out
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +257,8 @@ def _paragraph_groups(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _looked(rows: DataFrame, places: DataFrame, shingle: int, min_words: int) -> DataFrame:
     """What the texts hold at the places: shingles of paragraphs, and all windows around those that repeat.
 
-    A row has ``node``, ``root``, ``n``, ``shingles`` or else ``d``, ``t``, ``first`` and ``names``, the windows from there on.
+    A row has ``node``, ``root``, ``n``, ``shingles`` or else ``d``, ``t``, ``first``, ``n`` and ``names``, the windows from there on.
+    Equal windows that touch or overlap are one name in a row of its own, of the ``n`` words that they cover.
     """
     schema = pa.schema([
         ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary()),
@@ -260,6 +280,17 @@ def _looked(rows: DataFrame, places: DataFrame, shingle: int, min_words: int) ->
                 column.clear()
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
+        def give_windows(d: int, t: int, at: int, names: np.ndarray) -> None:
+            each = np.arange(len(names))
+            first, last = together(each, names, np.zeros_like(each), WINDOW)
+            repeats = last > first
+            for a, b in zip(first[repeats], last[repeats]):
+                give(None, None, int(b - a) + WINDOW, None, d, t, at + int(a), names[a : a + 1])
+            alone = first[~repeats]
+            for part in np.split(alone, np.flatnonzero(np.diff(alone) > 1) + 1):
+                if len(part):
+                    give(None, None, WINDOW, None, d, t, at + int(part[0]), names[part[0] : part[-1] + 1])
+
         for batch in batches:
             for d, t, value, lines, at in zip(*(batch.column(c) for c in ("d", "t", "text", "lines", "places"))):
                 value = value.as_py()
@@ -271,11 +302,12 @@ def _looked(rows: DataFrame, places: DataFrame, shingle: int, min_words: int) ->
                         held += len(found)
                 if len(at):
                     hashes = doubled(_words(value, hasher), WINDOW).view(np.int64)
-                    begins = np.maximum(at.values.to_numpy() - reach, 0)
-                    ends = np.minimum(at.values.to_numpy() + reach + 1, len(hashes))
+                    first, n = (at.values.field(c).to_numpy() for c in ("first", "n"))
+                    begins = np.maximum(first - reach, 0)
+                    ends = np.maximum.accumulate(np.minimum(first + n - WINDOW + reach + 1, len(hashes)))
                     apart = np.flatnonzero(np.r_[True, begins[1:] > ends[:-1]])
                     for a, b in zip(begins[apart], ends[np.r_[apart[1:] - 1, len(ends) - 1]]):
-                        give(None, None, None, None, d.as_py(), t.as_py(), int(a), hashes[a:b])
+                        give_windows(d.as_py(), t.as_py(), int(a), hashes[a:b])
                     # A part of an array keeps all of it.
                     held += len(hashes)
                 # What several texts give goes on together.
@@ -318,21 +350,21 @@ def _near_paragraphs(lines: DataFrame, classes: DataFrame, looked: DataFrame, si
 
 
 def _repeated_windows(found: DataFrame) -> DataFrame:
-    """Kept windows ``(d, t, first)`` that other documents with another text hold as well."""
+    """Kept windows ``(d, t, first, n)`` that other documents with another text hold as well."""
     span = [f("d" if c == "d" else "t").alias(f"{n}_{c}") for c in ("d", "t") for n, f in (("least", F.min), ("most", F.max))]
     repeated = found.groupBy("name").agg(*span).where("least_d < most_d AND least_t < most_t").select("name")
-    return found.join(written(repeated, "repeated"), "name").select("d", "t", "first")
+    return found.join(written(repeated, "repeated"), "name").select("d", "t", "first", "n")
 
 
 def _held_windows(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stretches of windows that a smaller id holds too, and the table ``(name, keeper)`` they are found by."""
-    every = looked.select("d", "t", "first", F.posexplode("names").alias("at", "name")).select(
-        "d", "t", (F.col("first") + F.col("at")).alias("first"), "name"
+    every = looked.select("d", "t", "first", "n", F.posexplode("names").alias("at", "name")).select(
+        "d", "t", (F.col("first") + F.col("at")).alias("first"), "n", "name"
     )
     keepers = every.groupBy("name").agg(F.min("d").alias("keeper"), F.max("d").alias("last"))
     keepers = written(keepers.where(F.col("keeper") < F.col("last")).drop("last"), "keepers")
     held = every.join(keepers, "name").where(F.col("keeper") < F.col("d"))
-    return held.select("d", "t", "first", F.lit(WINDOW).alias("n"), "keeper"), keepers
+    return held.select("d", "t", "first", F.col("n").cast("int").alias("n"), "keeper"), keepers
 
 
 def stretches_of(cuts: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:

@@ -321,6 +321,55 @@ def test_kept_windows_cover_every_choice():
     assert set(places.tolist()) == want
 
 
+@pytest.mark.parametrize("period", [1, 3, 16, 17, 40, 90])
+def test_windows_that_a_text_repeats_are_few_rows(spark, monkeypatch, period):
+    """Every text holds the same 400 words of a short period: rows follow the texts, not the places of its windows in each."""
+    rng = random.Random(period)
+    draw = lambda n: [f"y{rng.randrange(10**9)}" for _ in range(n)]
+    passage = (draw(period) * 400)[:400]
+    rows = [(d, draw(60), draw(60)) for d in range(12)]
+    seen, repeated, held = {}, substring_dedup._repeated_windows, substring_dedup._held_windows
+
+    def counted(found):
+        around = repeated(found)
+        seen["kept"] = around.count()
+        return around
+
+    def counted_held(looked):
+        inside, keepers = held(looked)
+        seen["held"] = inside.count()
+        return inside, keepers
+
+    monkeypatch.setattr(substring_dedup, "_repeated_windows", counted)
+    monkeypatch.setattr(substring_dedup, "_held_windows", counted_held)
+    df = spark.createDataFrame([(d, " ".join(a + passage + b)) for d, a, b in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(df).collect()}
+    assert got[0]["text"] == " ".join(rows[0][1] + passage + rows[0][2])
+    for d, a, b in rows[1:]:
+        assert got[d]["text"] == " ".join(a + b) and [tuple(r) for r in got[d]["_removed"]] == [(60, 400)]
+    # A text of 400 words without a period has some 23 kept windows.
+    assert seen["kept"] <= 30 * len(rows)
+    if period <= substring_dedup.WINDOW:
+        assert seen["kept"] <= 3 * len(rows) and seen["held"] == period * (len(rows) - 1)
+
+
+@pytest.mark.parametrize("gap", [1, 16, 69])
+def test_equal_names_within_a_gap_are_put_together(gap):
+    rng = np.random.default_rng(gap)
+    places = np.sort(rng.choice(2000, 600, replace=False))
+    names, owner = rng.integers(0, 9, 600).astype(np.uint64), np.searchsorted([300, 301, 900], places, side="right")
+    want = []
+    for i in range(600):
+        before = [x for x in want if names[x[1]] == names[i] and owner[x[1]] == owner[i] and places[i] - places[x[1]] <= gap]
+        if before:
+            before[0][1] = i
+        else:
+            want.append([i, i])
+    first, last = substring_dedup.together(places, names, owner, gap)
+    assert [list(pair) for pair in zip(first, last)] == want
+    assert [len(x) for x in substring_dedup.together(places[:0], names[:0], owner[:0], gap)] == [0, 0]
+
+
 def test_banding_reaches_its_recall():
     bands, rows = substring_dedup.tune(0.8, 0.99)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99
